@@ -53,13 +53,12 @@ def contributions(ranked: Column, k: int) -> Column:
 
 def reconstruct_udf(spark: SparkSession, bundle: Bundle):
     """The same forward pass as a vectorized UDF, kept as an independent second scorer."""
-    shared = spark.sparkContext.broadcast(bundle)
+    layers = [(np.asarray(w), np.asarray(b)) for w, b in zip(bundle.weights, bundle.biases)]
+    shared = spark.sparkContext.broadcast((np.asarray(bundle.mean), np.asarray(bundle.std), layers))
 
     @F.pandas_udf("array<double>")
     def reconstruct(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = shared.value
-        mean, std = np.asarray(model.mean), np.asarray(model.std)
-        layers = [(np.asarray(w), np.asarray(b)) for w, b in zip(model.weights, model.biases)]
+        mean, std, layers = shared.value
         for batch in batches:
             h = (np.stack(batch.to_numpy()) - mean) / std if len(batch) else np.empty((0, len(mean)))
             for i, (w, b) in enumerate(layers):

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accesslens.functions import log_format as lf
+from accesslens.operators.settling import settle
 from accesslens.schemas import REQUEST_COLUMNS
 
 
@@ -31,7 +32,7 @@ def parse_requests(df: DataFrame, column: str = "value", keep: Sequence[str] = (
     """
     keep = list(keep)
     out = df.select(*keep, lf.strip_line_end(F.col(column)).alias("raw")).filter(lf.is_parseable(F.col("raw")))
-    out = out.select(*keep, "raw", F.split(lf.reordered(F.col("raw")), " ", 6).alias("_fields"))
+    out = settle(out, [*keep, "raw"], F.split(lf.reordered(F.col("raw")), " ", 6), "_fields")
 
     def field(i):
         return F.get("_fields", F.lit(i))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accesslens.functions import verdicts as v
 from accesslens.models.bundle import Bundle
 from accesslens.operators.featurizing import add_features
 from accesslens.operators.parsing import parse_requests
+from accesslens.operators.settling import settle
 from accesslens.schemas import FEATURE_NAMES
 
 
@@ -24,8 +25,8 @@ def standardize(df: DataFrame, bundle: Bundle) -> DataFrame:
     return df.select(*[scaled.get(c, F.col(c)) for c in df.columns])
 
 
-def add_errors(df: DataFrame, bundle: Bundle) -> tuple[DataFrame, list[str]]:
-    """Run the network; returns the frame with its squared-error columns, and their names.
+def add_errors(df: DataFrame, bundle: Bundle) -> tuple[DataFrame, list[Column]]:
+    """Run the network; returns the frame with its squared errors, and a column for each.
 
     Features come from the twenty named columns, or from ``features`` if those are absent.
     """
@@ -41,8 +42,8 @@ def add_errors(df: DataFrame, bundle: Bundle) -> tuple[DataFrame, list[str]]:
         last = depth == len(bundle.weights) - 1
         h, columns = _named(f"h{depth}_", v.layer(h, w, b, not last))
         out = out.select(*keep, *x, *columns)
-    errors, columns = _named("e", [F.pow(F.col(r) - F.col(n), 2) for r, n in zip(h, x)])
-    return out.select(*keep, *columns), errors
+    squares = F.array(*[(F.col(r) - F.col(n)) * (F.col(r) - F.col(n)) for r, n in zip(h, x)])
+    return settle(out, keep, squares, "_errors"), [F.get("_errors", F.lit(i)) for i in range(bundle.n_features)]
 
 
 def score_features(df: DataFrame, bundle: Bundle, top_k: int = 3) -> DataFrame:
@@ -54,8 +55,8 @@ def score_features(df: DataFrame, bundle: Bundle, top_k: int = 3) -> DataFrame:
         raise ValueError(f"top_k must be between 1 and {bundle.n_features}")
     keep = df.columns
     out, errors = add_errors(df, bundle)
-    out = out.select(*keep, v.mean_of([F.col(e) for e in errors]).alias("error"),
-                     v.ranked_errors([F.col(e) for e in errors], bundle.feature_names, top_k).alias("_ranked"))
+    out = out.select(*keep, v.mean_of(errors).alias("error"),
+                     v.ranked_errors(errors, bundle.feature_names, top_k).alias("_ranked"))
     return out.select(
         *keep, "error",
         F.round("error", 5).alias("score"),

@@ -6,18 +6,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from accesslens.functions import autoencoder
+from accesslens.functions.verdicts import mean_of
 from accesslens.models.bundle import Bundle
 from accesslens.operators.scoring import add_errors, standardize
 from accesslens.operators.selection import exact_percentile
-from accesslens.functions.verdicts import mean_of
 from accesslens.schemas import FEATURE_NAMES
 from accesslens.session import cut_lineage
 
-HIDDEN, LATENT = 12, 6
+# The package need not be installed on the workers for this small helper.
+cloudpickle.register_pickle_by_value(autoencoder)
 
 
 def fit_scaler(df: DataFrame) -> DataFrame:
@@ -39,7 +41,7 @@ def fit_scaler(df: DataFrame) -> DataFrame:
 def error_summary(df: DataFrame, bundle: Bundle, pct: float = 99.0) -> dict:
     """Mean, percentile and maximum reconstruction error of the rows of ``df``."""
     scored, errors = add_errors(df.select(*FEATURE_NAMES), bundle)
-    scored = scored.select(mean_of([F.col(e) for e in errors]).alias("error")).persist(StorageLevel.MEMORY_AND_DISK)
+    scored = scored.select(mean_of(errors).alias("error")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n, mean, top = scored.agg(F.count("*"), F.avg("error"), F.max("error")).first()
         return {"n_rows": n, "mean": mean, "percentile": exact_percentile(scored, "error", pct), "max": top}
@@ -47,52 +49,10 @@ def error_summary(df: DataFrame, bundle: Bundle, pct: float = 99.0) -> dict:
         scored.unpersist()
 
 
-def _shapes(n: int) -> list[tuple[int, int]]:
-    return [(HIDDEN, n), (LATENT, HIDDEN), (HIDDEN, LATENT), (n, HIDDEN)]
-
-
-def _initial(n: int, seed: int) -> np.ndarray:
-    """Uniform in +-1/sqrt(fan-in), weights and biases alike, as one flat vector."""
-    rng = np.random.default_rng(seed)
-    parts = []
-    for out, fan_in in _shapes(n):
-        bound = fan_in ** -0.5
-        parts += [rng.uniform(-bound, bound, out * fan_in), rng.uniform(-bound, bound, out)]
-    return np.concatenate(parts)
-
-
-def _views(flat: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Weight and bias views into the flat vector."""
-    layers, at = [], 0
-    for out, fan_in in _shapes(n):
-        w = flat[at:at + out * fan_in].reshape(out, fan_in)
-        at += out * fan_in
-        layers.append((w, flat[at:at + out]))
-        at += out
-    return layers
-
-
-def _gradient(flat: np.ndarray, x: np.ndarray) -> tuple[float, np.ndarray]:
-    """Mean squared reconstruction error of a batch and its gradient."""
-    layers = _views(flat, x.shape[1])
-    activations = [x]
-    for i, (w, b) in enumerate(layers):
-        z = activations[-1] @ w.T + b
-        activations.append(np.maximum(z, 0.0) if i < len(layers) - 1 else z)
-    diff = activations[-1] - x
-    grad = np.empty_like(flat)
-    views = _views(grad, x.shape[1])
-    delta = 2.0 * diff / diff.size
-    for i in range(len(layers) - 1, -1, -1):
-        views[i][0][...] = delta.T @ activations[i]
-        views[i][1][...] = delta.sum(axis=0)
-        if i:
-            delta = (delta @ layers[i][0]) * (activations[i] > 0)
-    return float((diff ** 2).mean()), grad
-
-
 def _local_round(state, step, round_no, seed, batch, lr, epochs=1):
     """A task's share of a round: mini-batch Adam over its rows, Arrow batch by Arrow batch."""
+    loss_and_gradient = autoencoder.gradient
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, m, v = (a.copy() for a in np.split(state, 3))
         t, rows, loss_sum, rng = step, 0, 0.0, None
@@ -107,7 +67,7 @@ def _local_round(state, step, round_no, seed, batch, lr, epochs=1):
                 order = rng.permutation(len(x))
                 for at in range(0, len(x), batch):
                     chunk = x[order[at:at + batch]]
-                    loss, grad = _gradient(flat, chunk)
+                    loss, grad = loss_and_gradient(flat, chunk)
                     t += 1
                     m = 0.9 * m + 0.1 * grad
                     v = 0.999 * v + 0.001 * grad ** 2
@@ -143,7 +103,7 @@ def train_detector(df: DataFrame, key: str, rounds: int = 60, batch: int = 128,
     n = len(FEATURE_NAMES)
     if mean[0] is None:
         raise ValueError("no training rows")
-    blank = Bundle.from_arrays([np.zeros(s) for s in _shapes(n)], [np.zeros(s[0]) for s in _shapes(n)], mean, std, 0.0)
+    blank = Bundle.from_arrays([np.zeros(s) for s in autoencoder.shapes(n)], [np.zeros(s[0]) for s in autoencoder.shapes(n)], mean, std, 0.0)
     parts = partitions or default_partitions(df.count())
     dealt = standardize(df.select(key, *FEATURE_NAMES), blank).select(
         F.xxhash64(F.col(key)).alias("_h"), F.col(key).alias("_k"), F.array(*FEATURE_NAMES).alias("x"))
@@ -151,7 +111,7 @@ def train_detector(df: DataFrame, key: str, rounds: int = 60, batch: int = 128,
              .select(F.spark_partition_id().alias("part"), "x"))
     dealt = cut_lineage(dealt).persist(StorageLevel.MEMORY_AND_DISK)
 
-    weights = _initial(n, seed)
+    weights = autoencoder.initial(n, seed)
     state = np.concatenate([weights, np.zeros(2 * len(weights))])
     step, losses = 0, []
     exact = "decimal(38,18)"
@@ -169,7 +129,7 @@ def train_detector(df: DataFrame, key: str, rounds: int = 60, batch: int = 128,
     finally:
         dealt.unpersist()
 
-    layers = _views(state[:len(weights)], n)
+    layers = autoencoder.views(state[:len(weights)], n)
     fitted = Bundle.from_arrays([w for w, _ in layers], [b for _, b in layers], mean, std, 0.0)
     summary = error_summary(df, fitted, pct)
     return Bundle.from_arrays(fitted.weights, fitted.biases, mean, std, summary["percentile"]), losses
