@@ -27,7 +27,7 @@ _REORDERED = '$1 $2 $3 $6 $7 $4]$5"$8"$9'
 
 # day/mon/year:h:m:s offset, where the offset is +hhmm, +hh:mm, +hhmmss or +hh:mm:ss
 _TIME_PATTERN = (
-    r"^([ 0-9]?[0-9])/([A-Za-z]{3})/([0-9]{4}):([0-9]{1,2}):([0-9]{1,2}):([0-9]{1,2})"
+    r"^([ 0-9]?[0-9])/([A-Za-z]{3})/((?!0000)[0-9]{4}):([0-9]{1,2}):([0-9]{1,2}):([0-9]{1,2})"
     r"[ \t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
     r"([+-][0-9]{2}):?([0-5][0-9])(?:(?<=:[0-9][0-9]):([0-5][0-9])|(?<!:[0-9][0-9])([0-5][0-9]))?$"
 )

@@ -11,19 +11,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def count_token(col: Column, token: str) -> Column:
-    """Non-overlapping occurrences of an ASCII token.
+def literal(text: str) -> str:
+    """``text`` as an SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def count_token(sql: str, token: str) -> str:
+    """Non-overlapping occurrences of an ASCII token, as SQL.
 
     The byte-length difference costs one substring search and no regex.
     """
-    removed = F.octet_length(col) - F.octet_length(F.replace(col, F.lit(token), F.lit("")))
-    return removed if len(token) == 1 else (removed / F.lit(len(token))).cast("int")
+    removed = f"(octet_length({sql}) - octet_length(replace({sql}, {literal(token)}, '')))"
+    return removed if len(token) == 1 else f"{removed} div {len(token)}"
 
 
-def count_chars(col: Column, chars: str) -> Column:
-    """How many characters of ``col`` belong to a set of ASCII characters."""
-    removed = F.regexp_replace(col, "[" + re.escape(chars) + "]", "")
-    return F.octet_length(col) - F.octet_length(removed)
+def count_chars(sql: str, chars: str) -> str:
+    """How many characters belong to a set of ASCII characters, as SQL."""
+    pattern = literal("[" + re.escape(chars) + "]")
+    return f"(octet_length({sql}) - octet_length(regexp_replace({sql}, {pattern}, '')))"
 
 
 @lru_cache(maxsize=None)
@@ -34,11 +39,10 @@ def _digit_class() -> str:
     return "[\\p{Nd}" + "".join("\\x{%x}" % ord(c) for c in extra) + "]"
 
 
-def count_digits(col: Column) -> Column:
-    """Digit characters.  Pure-ASCII text (the usual case) takes the short class."""
-    ascii_only = F.octet_length(col) == F.length(col)
-    return (F.when(ascii_only, F.octet_length(col) - F.octet_length(F.regexp_replace(col, "[0-9]", "")))
-            .otherwise(F.regexp_count(col, F.lit(_digit_class()))))
+def count_digits(sql: str) -> str:
+    """Digit characters, as SQL.  Pure-ASCII text (the usual case) takes the short class."""
+    return (f"CASE WHEN octet_length({sql}) = length({sql}) THEN {count_chars(sql, '0123456789')} "
+            f"ELSE regexp_count({sql}, {literal(_digit_class())}) END")
 
 
 @lru_cache(maxsize=None)
@@ -54,18 +58,16 @@ def ascii_decimal(col: Column) -> Column:
     return F.when(F.octet_length(col) == F.length(col), col).otherwise(F.translate(col, source, target))
 
 
-def entropy(col: Column) -> Column:
-    """Shannon entropy in bits per character.
+def entropy(sql: str) -> str:
+    """Shannon entropy in bits per character, as SQL.
 
     Uses H = log2(n) - sum(k * log2(k)) / n over the distinct characters, so a
     character seen once contributes nothing and needs no logarithm.
     """
-    n = F.length(col)
-    counts = F.transform(F.array_distinct(F.split(col, "")),
-                         lambda ch: n - F.length(F.replace(col, ch, F.lit(""))))
-    repeated = F.aggregate(counts, F.lit(0.0),
-                           lambda total, k: F.when(k > 1, total + k * F.log2(k)).otherwise(total))
-    return F.when(n > 0, F.log2(n) - repeated / n).otherwise(F.lit(0.0))
+    n = f"length({sql})"
+    counts = f"transform(array_distinct(split({sql}, '')), ch -> {n} - length(replace({sql}, ch, '')))"
+    repeated = f"aggregate({counts}, 0D, (total, k) -> CASE WHEN k > 1 THEN total + k * log2(k) ELSE total END)"
+    return f"CASE WHEN {n} > 0 THEN log2({n}) - {repeated} / {n} ELSE 0D END"
 
 
 # HTML entities in the order in which they must be replaced.

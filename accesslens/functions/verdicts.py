@@ -5,11 +5,10 @@ over columns: scoring stays in generated code and no row visits Python.
 """
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from accesslens.models.bundle import Bundle
@@ -19,36 +18,35 @@ def _number(x: float) -> str:
     return f"{float(x)!r}D"
 
 
-def layer(inputs: list[str], weights: list[list[float]], bias: list[float], rectify: bool) -> list[Column]:
-    """One dense layer over the named columns, one output column per unit."""
+def layer(inputs: list[str], weights: list[list[float]], bias: list[float], rectify: bool) -> list[str]:
+    """SQL of one dense layer over the named columns, one expression per unit."""
     units = []
     for row, b in zip(weights, bias):
         total = " + ".join([_number(b)] + [f"{_number(w)} * {x}" for w, x in zip(row, inputs)])
-        units.append(F.expr(f"greatest({total}, 0D)" if rectify else total))
+        units.append(f"greatest({total}, 0D)" if rectify else total)
     return units
 
 
-def standardized(x: Column, mean: float, std: float) -> Column:
-    return (x - F.lit(float(mean))) / F.lit(float(std))
+def standardized(sql: str, mean: float, std: float) -> str:
+    return f"({sql} - {_number(mean)}) / {_number(std)}"
 
 
-def mean_of(columns: list[Column]) -> Column:
-    return reduce(Column.__add__, columns) / F.lit(float(len(columns)))
+def mean_of(parts: list[str]) -> str:
+    return f"({' + '.join(parts)}) / {_number(len(parts))}"
 
 
-def ranked_errors(errors: list[Column], names: list[str], k: int) -> Column:
-    """The ``k`` largest squared errors; of equal ones the later feature comes first."""
-    entries = [F.struct(e.alias("error"), F.lit(i).alias("position"), F.lit(n).alias("feature"))
-               for i, (e, n) in enumerate(zip(errors, names))]
-    return F.slice(F.sort_array(F.array(*entries), asc=False), 1, k)
+def ranked_errors(errors: list[str], names: list[str], k: int) -> str:
+    """SQL of the ``k`` largest squared errors; of equal ones the later feature comes first."""
+    entries = ", ".join(f"named_struct('error', {e}, 'position', {i}, 'feature', '{n}')"
+                        for i, (e, n) in enumerate(zip(errors, names)))
+    return f"slice(sort_array(array({entries}), false), 1, {k})"
 
 
-def contributions(ranked: Column, k: int) -> Column:
-    """``ranked`` with each contribution rounded for the report."""
-    def entry(i):
-        e = F.get(ranked, F.lit(i))
-        return F.struct(e["feature"].alias("feature"), F.round(e["error"], 4).alias("contribution"))
-    return F.array(*[entry(i) for i in range(k)])
+def contributions(ranked: str, k: int) -> str:
+    """``ranked`` with each contribution rounded for the report, as SQL."""
+    return "array(" + ", ".join(
+        f"named_struct('feature', get({ranked}, {i}).feature, 'contribution', round(get({ranked}, {i}).error, 4))"
+        for i in range(k)) + ")"
 
 
 def reconstruct_udf(spark: SparkSession, bundle: Bundle):

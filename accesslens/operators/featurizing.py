@@ -14,12 +14,9 @@ def add_features(df: DataFrame) -> DataFrame:
 
     Unused features cost nothing: Catalyst prunes them column by column.
     """
-    blank, zero = F.lit(""), F.lit(0)
-    columns = rf.features(
-        F.coalesce("path", blank), F.coalesce("query", blank), F.coalesce("method", blank),
-        F.coalesce("status", zero), F.coalesce("bytes", zero), F.coalesce("user_agent", blank),
-    )
-    return df.select("*", *[columns[n].alias(n) for n in FEATURE_NAMES])
+    columns = rf.features("coalesce(path, '')", "coalesce(query, '')", "coalesce(method, '')",
+                          "coalesce(status, 0)", "coalesce(bytes, 0)", "coalesce(user_agent, '')")
+    return df.selectExpr("*", *[f"{sql} AS {name}" for name, sql in columns.items()])
 
 
 def add_feature_array(df: DataFrame) -> DataFrame:

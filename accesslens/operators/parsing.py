@@ -24,15 +24,24 @@ def split_target(df: DataFrame, target: str = "target") -> DataFrame:
     )
 
 
-def parse_requests(df: DataFrame, column: str = "value", keep: Sequence[str] = ()) -> DataFrame:
+def parse_requests(df: DataFrame, column: str = "value", keep: Sequence[str] = (),
+                   unparsed: bool = False) -> DataFrame:
     """Parse combined or common log lines; lines that do not match are dropped.
 
     ``keep`` names columns carried along (a line number, an offset, a label).
+    With ``unparsed`` all lines stay, a ``parsed`` flag tells them apart, and the
+    other columns of an unparsed line mean nothing: one pass can then count both.
     Values that several fields share are computed once per projection.
     """
     keep = list(keep)
-    out = df.select(*keep, lf.strip_line_end(F.col(column)).alias("raw")).filter(lf.is_parseable(F.col("raw")))
-    out = settle(out, [*keep, "raw"], F.split(lf.reordered(F.col("raw")), " ", 6), "_fields")
+    out = df.select(*keep, lf.strip_line_end(F.col(column)).alias("raw"))
+    if unparsed:
+        out = out.select("*", lf.is_parseable(F.col("raw")).alias("parsed"))
+        keep.append("parsed")
+    else:
+        out = out.filter(lf.is_parseable(F.col("raw")))
+    out = out.select(*keep, "raw", F.split(lf.reordered(F.col("raw")), " ", 6).alias("_fields"))
+    out = settle(out, [*keep, "raw"], "_fields")
 
     def field(i):
         return F.get("_fields", F.lit(i))
@@ -44,7 +53,7 @@ def parse_requests(df: DataFrame, column: str = "value", keep: Sequence[str] = (
         field(0).alias("ip"),
         field(1).alias("ident"),
         field(2).alias("user"),
-        lf.ascii_decimal(field(3)).cast("int").alias("status"),
+        lf.ascii_decimal(field(3)).try_cast("int").alias("status"),
         lf.number_or_zero(field(4)).alias("bytes"),
         lf.uniform_time(F.get(timed, F.lit(0))).alias("_time"),
         F.get(request, F.lit(0)).alias("method"),

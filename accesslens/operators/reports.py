@@ -15,13 +15,14 @@ def rate(part, whole):
     return F.when(whole == 0, F.lit(0.0)).otherwise(F.round(part / whole, 4))
 
 
-def scan_summary(n_lines: DataFrame, scored: DataFrame, threshold: float, limit: int = MAX_REPORTED) -> DataFrame:
+def scan_summary(scored: DataFrame, threshold: float, limit: int = MAX_REPORTED) -> DataFrame:
     """One row: lines, parsed requests, anomalies, their rate, and whether a report is cut.
 
-    ``n_lines`` is a one-row count of all lines, unparseable ones included.
+    ``scored`` holds all lines with a ``parsed`` flag, so one pass counts everything.
     """
-    counts = scored.agg(F.count("*").alias("parsed"), F.count_if("is_anomaly").alias("anomalies"))
-    return n_lines.crossJoin(counts).select(
+    counts = scored.agg(F.count("*").alias("total_lines"), F.count_if("parsed").alias("parsed"),
+                        F.count_if(F.col("parsed") & F.col("is_anomaly")).alias("anomalies"))
+    return counts.select(
         "total_lines", "parsed", "anomalies",
         rate(F.col("anomalies"), F.col("parsed")).alias("anomaly_rate"),
         F.lit(threshold).alias("threshold"),

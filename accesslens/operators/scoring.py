@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accesslens.functions import verdicts as v
@@ -13,37 +13,39 @@ from accesslens.operators.settling import settle
 from accesslens.schemas import FEATURE_NAMES
 
 
-def _named(prefix: str, columns) -> tuple[list[str], list]:
-    names = [f"_{prefix}{i}" for i in range(len(columns))]
-    return names, [c.alias(n) for n, c in zip(names, columns)]
+def _named(prefix: str, expressions: list[str]) -> tuple[list[str], list[str]]:
+    names = [f"_{prefix}{i}" for i in range(len(expressions))]
+    return names, [f"{e} AS {n}" for n, e in zip(names, expressions)]
+
+
+def _scaled(inputs: list[str], bundle: Bundle) -> list[str]:
+    return [v.standardized(c, m, s) for c, m, s in zip(inputs, bundle.mean, bundle.std)]
 
 
 def standardize(df: DataFrame, bundle: Bundle) -> DataFrame:
     """Replace every feature column by (x - mean) / std."""
-    scaled = {n: v.standardized(F.col(n), m, s).alias(n)
-              for n, m, s in zip(bundle.feature_names, bundle.mean, bundle.std)}
-    return df.select(*[scaled.get(c, F.col(c)) for c in df.columns])
+    scaled = {n: f"{sql} AS {n}" for n, sql in zip(bundle.feature_names, _scaled(bundle.feature_names, bundle))}
+    return df.selectExpr(*[scaled.get(c, f"`{c}`") for c in df.columns])
 
 
-def add_errors(df: DataFrame, bundle: Bundle) -> tuple[DataFrame, list[Column]]:
-    """Run the network; returns the frame with its squared errors, and a column for each.
+def add_errors(df: DataFrame, bundle: Bundle) -> tuple[DataFrame, list[str]]:
+    """Run the network; returns the frame with its squared errors, and SQL for each of them.
 
     Features come from the twenty named columns, or from ``features`` if those are absent.
     """
-    keep = df.columns
-    if set(FEATURE_NAMES) <= set(keep):
-        inputs = [F.col(n) for n in FEATURE_NAMES]
-    else:
-        inputs = [F.get("features", F.lit(i)) for i in range(bundle.n_features)]
-    x, columns = _named("x", [v.standardized(c, m, s) for c, m, s in zip(inputs, bundle.mean, bundle.std)])
-    out = df.select(*keep, *columns)
+    keep = [f"`{c}`" for c in df.columns]
+    named = set(FEATURE_NAMES) <= set(df.columns)
+    inputs = FEATURE_NAMES if named else [f"get(features, {i})" for i in range(bundle.n_features)]
+    x, columns = _named("x", _scaled(inputs, bundle))
+    out = df.selectExpr(*keep, *columns)
     h = x
     for depth, (w, b) in enumerate(zip(bundle.weights, bundle.biases)):
         last = depth == len(bundle.weights) - 1
         h, columns = _named(f"h{depth}_", v.layer(h, w, b, not last))
-        out = out.select(*keep, *x, *columns)
-    squares = F.array(*[(F.col(r) - F.col(n)) * (F.col(r) - F.col(n)) for r, n in zip(h, x)])
-    return settle(out, keep, squares, "_errors"), [F.get("_errors", F.lit(i)) for i in range(bundle.n_features)]
+        out = out.selectExpr(*keep, *x, *columns)
+    squares = ", ".join(f"({r} - {n}) * ({r} - {n})" for r, n in zip(h, x))
+    out = out.selectExpr(*keep, f"array({squares}) AS _errors")
+    return settle(out, keep, "_errors"), [f"get(_errors, {i})" for i in range(bundle.n_features)]
 
 
 def score_features(df: DataFrame, bundle: Bundle, top_k: int = 3) -> DataFrame:
@@ -53,23 +55,24 @@ def score_features(df: DataFrame, bundle: Bundle, top_k: int = 3) -> DataFrame:
     """
     if not 1 <= top_k <= bundle.n_features:
         raise ValueError(f"top_k must be between 1 and {bundle.n_features}")
-    keep = df.columns
+    keep = [f"`{c}`" for c in df.columns]
+    threshold = f"{bundle.threshold!r}D"
     out, errors = add_errors(df, bundle)
-    out = out.select(*keep, v.mean_of(errors).alias("error"),
-                     v.ranked_errors(errors, bundle.feature_names, top_k).alias("_ranked"))
-    return out.select(
-        *keep, "error",
-        F.round("error", 5).alias("score"),
-        (F.col("error") > F.lit(bundle.threshold)).alias("is_anomaly"),
-        F.lit(bundle.threshold).alias("threshold"),
-        F.col("_ranked.feature").alias("drivers"),
-        v.contributions(F.col("_ranked"), top_k).alias("top_features"),
-    )
+    out = out.selectExpr(*keep, f"{v.mean_of(errors)} AS error",
+                         f"{v.ranked_errors(errors, bundle.feature_names, top_k)} AS _ranked")
+    return out.selectExpr(
+        *keep, "error", "round(error, 5) AS score", f"error > {threshold} AS is_anomaly",
+        f"{threshold} AS threshold", "_ranked.feature AS drivers",
+        f"{v.contributions('_ranked', top_k)} AS top_features")
 
 
-def score_lines(df: DataFrame, bundle: Bundle, column: str = "value", keep=("line_no",), top_k: int = 3) -> DataFrame:
-    """Raw lines to scored requests; unparseable lines go, ``keep`` columns stay."""
-    featured = add_features(parse_requests(df, column, keep))
+def score_lines(df: DataFrame, bundle: Bundle, column: str = "value", keep=("line_no",), top_k: int = 3,
+                unparsed: bool = False) -> DataFrame:
+    """Raw lines to scored requests; unparseable lines go, ``keep`` columns stay.
+
+    ``unparsed`` keeps all lines, told apart by ``parsed`` (see ``parse_requests``).
+    """
+    featured = add_features(parse_requests(df, column, keep, unparsed))
     return score_features(featured, bundle, top_k).drop(*FEATURE_NAMES)
 
 
@@ -77,16 +80,13 @@ def score_parity(df: DataFrame, bundle: Bundle, top_k: int = 3) -> DataFrame:
     """How far the column scorer and the vectorized UDF scorer differ (one row)."""
     scored = score_features(df, bundle, top_k)
     recon = v.reconstruct_udf(df.sparkSession, bundle)
-    features = F.array(*[F.col(n) for n in FEATURE_NAMES])
-    both = scored.select("error", "drivers", features.alias("_f")).select(
-        "error", "drivers", "_f", recon("_f").alias("_recon"))
-    x = [v.standardized(F.get("_f", F.lit(i)), m, s) for i, (m, s) in enumerate(zip(bundle.mean, bundle.std))]
-    errors = [F.pow(F.get("_recon", F.lit(i)) - c, 2) for i, c in enumerate(x)]
-    names, columns = _named("u", errors)
-    both = both.select("error", "drivers", *columns)
-    cols = [F.col(n) for n in names]
-    both = both.select("error", "drivers", v.mean_of(cols).alias("_other"),
-                       v.ranked_errors(cols, bundle.feature_names, top_k)["feature"].alias("_drivers"))
+    both = scored.select("error", "drivers", F.array(*FEATURE_NAMES).alias("_f"))
+    both = both.select("error", "drivers", "_f", recon("_f").alias("_recon"))
+    x = _scaled([f"get(_f, {i})" for i in range(bundle.n_features)], bundle)
+    errors, columns = _named("u", [f"pow(get(_recon, {i}) - {sql}, 2)" for i, sql in enumerate(x)])
+    both = both.selectExpr("error", "drivers", *columns).selectExpr(
+        "error", "drivers", f"{v.mean_of(errors)} AS _other",
+        f"{v.ranked_errors(errors, bundle.feature_names, top_k)}.feature AS _drivers")
     return both.agg(
         F.count("*").alias("n_rows"),
         F.max(F.abs(F.col("error") - F.col("_other"))).alias("max_score_diff"),

@@ -26,14 +26,15 @@ def fit_scaler(df: DataFrame) -> DataFrame:
     """Mean and population standard deviation of every feature (one row per feature).
 
     One aggregate over all features; a feature without spread gets deviation 1.
+    Spread is told by the extremes: merged partial deviations need not be exactly 0.
     """
     aggregates = []
     for name in FEATURE_NAMES:
-        aggregates += [F.avg(name).alias(f"_mean_{name}"), F.stddev_pop(name).alias(f"_std_{name}")]
+        aggregates += [F.avg(name).alias(f"_mean_{name}"),
+                       F.when(F.min(name) == F.max(name), 1.0).otherwise(F.stddev_pop(name)).alias(f"_std_{name}")]
     one = df.agg(*aggregates)
     rows = F.array(*[
-        F.struct(F.lit(i).alias("position"), F.lit(n).alias("feature"), F.col(f"_mean_{n}").alias("mean"),
-                 F.when(F.col(f"_std_{n}") == 0, 1.0).otherwise(F.col(f"_std_{n}")).alias("std"))
+        F.struct(F.lit(i).alias("position"), F.lit(n).alias("feature"), F.col(f"_mean_{n}").alias("mean"), F.col(f"_std_{n}").alias("std"))
         for i, n in enumerate(FEATURE_NAMES)])
     return one.select(F.inline(rows))
 
@@ -41,7 +42,7 @@ def fit_scaler(df: DataFrame) -> DataFrame:
 def error_summary(df: DataFrame, bundle: Bundle, pct: float = 99.0) -> dict:
     """Mean, percentile and maximum reconstruction error of the rows of ``df``."""
     scored, errors = add_errors(df.select(*FEATURE_NAMES), bundle)
-    scored = scored.select(mean_of(errors).alias("error")).persist(StorageLevel.MEMORY_AND_DISK)
+    scored = scored.selectExpr(f"{mean_of(errors)} AS error").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n, mean, top = scored.agg(F.count("*"), F.avg("error"), F.max("error")).first()
         return {"n_rows": n, "mean": mean, "percentile": exact_percentile(scored, "error", pct), "max": top}

@@ -26,7 +26,7 @@ def _lines(messy: bool) -> str:
 def _requests(messy: bool) -> str:
     label = "" if messy else ", label"
     off = "regexp_extract(g.tm, ' ([^ ]*)$', 1)"
-    hours, minutes = f"CAST(substr({off}, 2, 2) AS INTEGER)", f"CAST(right({off}, 2) AS INTEGER)"
+    hours, minutes = f"TRY_CAST(substr({off}, 2, 2) AS INTEGER)", f"TRY_CAST(right({off}, 2) AS INTEGER)"
     return f"""{_lines(messy)},
 matched AS (SELECT *, regexp_extract(line, {_quoted(_LINE)}, {_PARTS}) AS g FROM lines
             WHERE regexp_matches(line, {_quoted(_LINE)})),
@@ -37,7 +37,7 @@ cut AS (SELECT *, string_split(g.request, ' ') AS p,
         FROM matched),
 aimed AS (SELECT *, CASE WHEN len(p) >= 2 THEN p[2] ELSE '' END AS target FROM cut),
 requests AS (SELECT event_id{label}, line AS raw, g.ip AS ip, g.ident AS ident, g.usr AS user_name,
-    CAST(epoch(wall) AS BIGINT) - off_s AS epoch,
+    coalesce(CAST(epoch(wall) AS BIGINT) - off_s, -1) AS epoch,
     CASE WHEN wall IS NULL THEN NULL ELSE concat(CASE WHEN off_s < 0 THEN '-' ELSE '+' END,
          lpad(CAST(abs(off_s) // 3600 AS VARCHAR), 2, '0'), ':',
          lpad(CAST(abs(off_s) // 60 % 60 AS VARCHAR), 2, '0')) END AS tz_offset,
@@ -47,7 +47,7 @@ requests AS (SELECT event_id{label}, line AS raw, g.ip AS ip, g.ident AS ident,
     regexp_extract(target, {_quoted(_URL)}, 4) AS query,
     CASE WHEN len(p) >= 3 THEN p[-1] ELSE '' END AS protocol,
     CAST(g.status AS INTEGER) AS status,
-    CASE WHEN regexp_full_match(g.bytes, '[0-9]+') THEN CAST(g.bytes AS BIGINT) ELSE 0 END AS bytes,
+    CASE WHEN regexp_full_match(g.bytes, '[0-9]+') THEN TRY_CAST(g.bytes AS BIGINT) ELSE 0 END AS bytes,
     g.referer AS referer, g.ua AS user_agent FROM aimed)"""
 
 
@@ -201,7 +201,7 @@ def all_checks() -> dict[str, str]:
             s AS (SELECT event_id, [{_x()}]::DOUBLE[] AS x FROM features) SELECT event_id, """
             + ", ".join(f"round(x[{i + 1}], 6) AS {n}" for i, n in enumerate(FEATURE_NAMES)) + " FROM s",
         "reconstructions": f"""WITH {_recon(False)} SELECT event_id, CAST(i - 1 AS INTEGER) AS position,
-            round(h3[i], 4) AS value FROM layer3, (SELECT unnest(range(1, 21)) AS i)""",
+            round(h3[i], 4) + 0.0 AS value FROM layer3, (SELECT unnest(range(1, 21)) AS i)""",
         "score_requests": f"""WITH {_scores()} SELECT event_id, method, path, query, status, score, is_anomaly,
             threshold FROM scores""",
         "top_drivers": f"""WITH {_scores()}, t AS (SELECT event_id, i, top[i + 1] AS d FROM scores,

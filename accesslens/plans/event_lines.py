@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from accesslens.session import use_all_cores
+
 SPARK = {
     "S": "STRING",
     "TIME": "date_format(ts, 'dd/MMM/yyyy:HH:mm:ss')",
@@ -70,12 +72,12 @@ def messy_sql(dialect: dict[str, str]) -> str:
 
 
 def _derive(spark: SparkSession, sf_dir: str, text: str, stream: bool = False) -> DataFrame:
-    path = f"{sf_dir.rstrip('/')}/events.parquet"
+    events = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
     if stream:
-        schema = spark.read.parquet(path).schema
-        events = spark.readStream.schema(schema).parquet(path)
+        events = (spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet")
+                  .parquet(sf_dir))
     else:
-        events = spark.read.parquet(path)
+        events = use_all_cores(events.select("event_id", "ts", "user_id", "event_type", "value"))
     return spark.sql(text.replace("FROM events", "FROM {events}"), events=events)
 
 

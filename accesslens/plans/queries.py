@@ -69,7 +69,7 @@ def suspicious_by_status(spark, sf_dir):
 
 def parsed_requests(spark, sf_dir):
     return _requests(spark, sf_dir, messy=True).select(
-        "event_id", "ip", "ident", F.col("user").alias("user_name"), F.unix_seconds("ts").alias("epoch"),
+        "event_id", "ip", "ident", F.col("user").alias("user_name"), F.coalesce(F.unix_seconds("ts"), F.lit(-1)).alias("epoch"),
         "tz_offset", "method", "path", "query", "protocol", "status", "bytes", "referer", "user_agent")
 
 
@@ -197,9 +197,9 @@ def listing_totals(spark, sf_dir):
 
 
 def scan_summary(spark, sf_dir):
-    lines, bundle = messy_lines(spark, sf_dir), packaged()
-    scored = score_lines(lines, bundle, "line", ["event_id"])
-    return reports.scan_summary(reports.line_count(lines), scored, bundle.threshold)
+    bundle = packaged()
+    every = score_lines(messy_lines(spark, sf_dir), bundle, "line", [], unparsed=True)
+    return reports.scan_summary(every, bundle.threshold)
 
 
 def ranked_anomalies(spark, sf_dir):

@@ -34,7 +34,8 @@ def scan_frame(lines: DataFrame, bundle: Bundle, order: str = "line_no", column:
     bounded top list, so neither sorts the whole log.
     """
     scored = score_lines(lines, bundle, column, keep=[order])
-    summary = reports.scan_summary(reports.line_count(lines), scored, bundle.threshold)
+    every = score_lines(lines, bundle, column, keep=[], unparsed=True)
+    summary = reports.scan_summary(every, bundle.threshold)
     return ScanReport(summary, reports.anomaly_report(scored, order), scored)
 
 

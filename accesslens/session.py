@@ -45,3 +45,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialize in the shared folder, so that lost executors lose no work."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def use_all_cores(df: DataFrame) -> DataFrame:
+    """Deal out the rows of a scan that has fewer splits than the cluster has cores.
+
+    So few splits hold little data, so the shuffle is small next to the work that
+    follows.  A scan with enough splits is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
