@@ -1,7 +1,7 @@
 """Combined / Common Log Format as column expressions.
 
-A line is matched once to filter and rewritten once into a form that plain
-separators can cut, instead of running one regex extraction per field.
+One regex pass matches a line and rewrites it into a form that plain separators
+can cut, instead of one extraction per field.
 """
 
 from __future__ import annotations
@@ -11,14 +11,16 @@ from pyspark.sql import functions as F
 
 from accesslens.functions.text import ascii_decimal
 
-# Unicode white space plus the four ASCII separators, which the JVM's class omits.
-_WORD = r"[^\s\x1c-\x1f]++"
+# Unicode white space and the four ASCII separators.  Listed, because
+# the JVM's own class omits the separators and is slower.
+_SPACES = r" \t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_WORD = rf"[^{_SPACES}]++"
 
 # Anchored at the start only: trailing text is allowed, and the referer and agent
 # pair is optional, so Common Log Format matches too.  No part can give
 # characters back, hence the possessive quantifiers.
 LINE_PATTERN = (
-    rf'(?U)^({_WORD}) ({_WORD}) ({_WORD}) \[([^\]]++)\] "([^"]*+)" (\p{{Nd}}{{3}}) ({_WORD})'
+    rf'^({_WORD}) ({_WORD}) ({_WORD}) \[([^\]]++)\] "([^"]*+)" (\p{{Nd}}{{3}}) ({_WORD})'
     r'(?: "([^"]*+)" "([^"]*+)")?+'
 )
 
@@ -28,7 +30,7 @@ _REORDERED = '$1 $2 $3 $6 $7 $4]$5"$8"$9'
 # day/mon/year:h:m:s offset, where the offset is +hhmm, +hh:mm, +hhmmss or +hh:mm:ss
 _TIME_PATTERN = (
     r"^([ 0-9]?[0-9])/([A-Za-z]{3})/((?!0000)[0-9]{4}):([0-9]{1,2}):([0-9]{1,2}):([0-9]{1,2})"
-    r"[ \t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+    rf"[{_SPACES}]+"
     r"([+-][0-9]{2}):?([0-5][0-9])(?:(?<=:[0-9][0-9]):([0-5][0-9])|(?<!:[0-9][0-9])([0-5][0-9]))?$"
 )
 
@@ -52,8 +54,17 @@ def is_parseable(col: Column) -> Column:
     return col.rlike(LINE_PATTERN)
 
 
+def has_text(col: Column) -> Column:
+    """Whether anything but white space is there."""
+    return col.rlike(f"[^{_SPACES}]")
+
+
 def reordered(col: Column) -> Column:
-    """Fields of a matching line behind separators that they cannot contain."""
+    """Fields of a matching line behind separators that they cannot contain.
+
+    A line that does not match comes back as it is; one that does never equals
+    its input, for its bracket moves.
+    """
     return F.regexp_replace(col, LINE_PATTERN + r"[\s\S]*+", _REORDERED)
 
 

@@ -14,15 +14,20 @@ from accesslens.models.bundle import Bundle
 from accesslens.schemas import PARSED_MESSAGE, VERDICT_MESSAGE
 
 
-def parsed_records(df: DataFrame, column: str = "value", offset: str = "offset", keep=()) -> DataFrame:
-    """Raw lines to ``offset, raw, record, features``; unparseable lines go."""
-    requests = parse_requests(df.select(*keep, F.col(offset).alias("offset"), F.col(column).alias("_line")),
-                              "_line", [*keep, "offset", "_line"])
+def parsed_records(df: DataFrame, column: str = "value", offset: str = "offset", keep=(),
+                   unparsed: bool = False) -> DataFrame:
+    """Raw lines to ``offset, raw, record, features``; unparseable lines go.
+
+    ``unparsed`` keeps all lines, told apart by ``parsed`` (see ``parse_requests``).
+    """
+    requests = parse_requests(df.select(*keep, F.col(offset).alias("offset"), F.col(column).alias("_message")),
+                              "_message", [*keep, "offset", "_message"], unparsed)
+    keep = [*keep, "parsed"] if unparsed else keep
     featured = add_features(requests)
     timestamp = iso_timestamp(F.col("ts"), F.col("tz_offset"))
     fields = [f.name for f in PARSED_MESSAGE["record"].dataType]
     record = F.struct(*[(timestamp if f == "timestamp" else F.col(f)).alias(f) for f in fields])
-    return featured.select(*keep, "offset", F.col("_line").alias("raw"), record.alias("record"),
+    return featured.select(*keep, "offset", F.col("_message").alias("raw"), record.alias("record"),
                            feature_array().alias("features"))
 
 

@@ -35,13 +35,14 @@ def parse_requests(df: DataFrame, column: str = "value", keep: Sequence[str] = (
     """
     keep = list(keep)
     out = df.select(*keep, lf.strip_line_end(F.col(column)).alias("raw"))
+    out = settle(out.select(*keep, "raw", lf.reordered(F.col("raw")).alias("_line")), [*keep, "raw"], "_line")
+    matched = F.col("_line") != F.col("raw")
     if unparsed:
-        out = out.select("*", lf.is_parseable(F.col("raw")).alias("parsed"))
+        out = out.select("*", F.coalesce(matched, F.lit(False)).alias("parsed"))
         keep.append("parsed")
     else:
-        out = out.filter(lf.is_parseable(F.col("raw")))
-    out = out.select(*keep, "raw", F.split(lf.reordered(F.col("raw")), " ", 6).alias("_fields"))
-    out = settle(out, [*keep, "raw"], "_fields")
+        out = out.filter(matched)
+    out = out.select(*keep, "raw", F.split("_line", " ", 6).alias("_fields"))
 
     def field(i):
         return F.get("_fields", F.lit(i))
@@ -70,7 +71,7 @@ def parse_requests(df: DataFrame, column: str = "value", keep: Sequence[str] = (
 def parse_quality(df: DataFrame, column: str = "value") -> DataFrame:
     """Non-blank lines, how many of them parse and how many do not (one row)."""
     value = F.col(column)
-    shown = df.filter(F.regexp_replace(value, r"(?U)[\s\x1c-\x1f]+", "") != "")
+    shown = df.filter(lf.has_text(value))
     return (shown.agg(F.count("*").alias("total"), F.count_if(lf.is_parseable(value)).alias("parsed"))
             .select("total", "parsed", (F.col("total") - F.col("parsed")).alias("failed")))
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from accesslens.operators.settling import settle
 from accesslens.session import use_all_cores
 
 SPARK = {
@@ -78,7 +79,8 @@ def _derive(spark: SparkSession, sf_dir: str, text: str, stream: bool = False) -
                   .parquet(sf_dir))
     else:
         events = use_all_cores(events.select("event_id", "ts", "user_id", "event_type", "value"))
-    return spark.sql(text.replace("FROM events", "FROM {events}"), events=events)
+    lines = spark.sql(text.replace("FROM events", "FROM {events}"), events=events)
+    return settle(lines, lines.columns[:-1], "line")
 
 
 def event_lines(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:

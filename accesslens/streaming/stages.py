@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from accesslens.functions.log_format import is_parseable
 from accesslens.models.bundle import Bundle
 from accesslens.operators import messages
 from accesslens.sinks.stores import store_verdicts
@@ -15,9 +14,9 @@ from accesslens.sources.messages import decode_parsed, decode_verdicts
 
 def ingest_stage(lines: DataFrame) -> DataFrame:
     """Raw lines (``value, offset``) to parsed-request messages."""
-    counted = lines.observe("ingest", F.count("*").alias("consumed"),
-                            F.count_if(is_parseable(F.col("value"))).alias("parsed"))
-    return messages.encode_parsed(messages.parsed_records(counted))
+    every = messages.parsed_records(lines, unparsed=True)
+    counted = every.observe("ingest", F.count("*").alias("consumed"), F.count_if("parsed").alias("parsed"))
+    return messages.encode_parsed(counted.filter("parsed"))
 
 
 def score_stage(parsed: DataFrame, bundle: Bundle) -> DataFrame:
