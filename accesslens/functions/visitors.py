@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed value: the salt of stored visitor hashes unless a deployment sets its own.
 DEFAULT_SALT = "logscan-v1"
 
 

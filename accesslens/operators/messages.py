@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accesslens.functions.log_format import iso_timestamp
+from accesslens.functions.log_format import is_parseable, iso_timestamp
 from accesslens.functions.request_features import feature_array
 from accesslens.operators.featurizing import add_features
 from accesslens.operators.parsing import parse_requests
 from accesslens.operators.scoring import score_features
 from accesslens.models.bundle import Bundle
+from accesslens.sources.logs import drop_blank
 from accesslens.schemas import PARSED_MESSAGE, VERDICT_MESSAGE
 
 
@@ -53,8 +54,6 @@ def keyed_lines(df: DataFrame, column: str = "value", limit: int | None = None)
     The key orders and routes messages in a topic.  No shuffle by key happens
     here, so an address that sends a third of all lines makes no task large.
     """
-    from accesslens.functions.log_format import is_parseable
-    from accesslens.sources.logs import drop_blank
     lines = drop_blank(df.select(F.col(column).alias("value")))
     if limit is not None:
         lines = lines.limit(limit)

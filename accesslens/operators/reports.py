@@ -30,10 +30,6 @@ def scan_summary(scored: DataFrame, threshold: float, limit: int = MAX_REPORTED)
     )
 
 
-def line_count(lines: DataFrame) -> DataFrame:
-    return lines.agg(F.count("*").alias("total_lines"))
-
-
 def anomalous(scored: DataFrame) -> DataFrame:
     return scored.filter("is_anomaly")
 
@@ -58,9 +54,10 @@ def anomaly_listing(scored: DataFrame, order: str = "line_no", n: int = 8) -> Da
         order, "score", "method", "path", F.substring("query", 1, 50).alias("query"), drivers.alias("drivers"))
 
 
-def listing_totals(n_lines: DataFrame, scored: DataFrame) -> DataFrame:
-    """How many anomalies of how many lines (one row)."""
-    return scored.agg(F.count_if("is_anomaly").alias("anomalies")).crossJoin(n_lines)
+def listing_totals(scored: DataFrame) -> DataFrame:
+    """How many anomalies of how many lines (one row), from all lines with a ``parsed`` flag."""
+    return scored.agg(F.count_if(F.col("parsed") & F.col("is_anomaly")).alias("anomalies"),
+                      F.count("*").alias("total_lines"))
 
 
 def with_severity(report: DataFrame, threshold: float) -> DataFrame:

@@ -219,7 +219,7 @@ def all_checks() -> dict[str, str]:
             array_to_string(list_transform(top, lambda t: concat([{', '.join(_quoted(n) for n in FEATURE_NAMES)}][t.i],
             '=', CAST(round(t.e, 4) AS VARCHAR))), ', ') AS drivers FROM scores WHERE is_anomaly
             ORDER BY event_id LIMIT 8""",
-        "listing_totals": f"""WITH {_scores()} SELECT count(*) FILTER (WHERE is_anomaly) AS anomalies,
+        "listing_totals": f"""WITH {_scores(True)} SELECT count(*) FILTER (WHERE is_anomaly) AS anomalies,
             (SELECT count(*) FROM lines) AS total_lines FROM scores""",
         "scan_summary": f"""WITH {_scores(True)} SELECT (SELECT count(*) FROM lines) AS total_lines, count(*) AS parsed,
             count(*) FILTER (WHERE is_anomaly) AS anomalies,

@@ -17,7 +17,7 @@ from accesslens.operators.selection import exact_percentile
 from accesslens.plans.event_lines import event_lines, messy_lines
 from accesslens.schemas import FEATURE_NAMES
 from accesslens.session import scratch_path, tune
-from accesslens.sinks.publish import publish_shards, publish_text
+from accesslens.sinks.publish import publish_shards
 from accesslens.sinks.stores import store_verdicts
 from accesslens.sources.logs import read_numbered_lines, stream_lines
 from accesslens.sources.messages import decode_parsed, decode_verdicts
@@ -182,7 +182,7 @@ def train_detector(spark, sf_dir):
     finally:
         normal.unpersist()
     rows = F.transform(F.array(*map(F.lit, losses)), lambda x, i: F.struct((i + 1).alias("round"), x.alias("loss")))
-    return spark.range(1).select(F.inline(rows), ).withColumn("threshold", F.lit(bundle.threshold))
+    return spark.range(1).select(F.inline(rows)).withColumn("threshold", F.lit(bundle.threshold))
 
 
 # ---- reports ------------------------------------------------------------------
@@ -192,8 +192,8 @@ def anomaly_listing(spark, sf_dir):
 
 
 def listing_totals(spark, sf_dir):
-    lines = event_lines(spark, sf_dir)
-    return reports.listing_totals(reports.line_count(lines), _scored(spark, sf_dir))
+    every = score_lines(messy_lines(spark, sf_dir), packaged(), "line", [], unparsed=True)
+    return reports.listing_totals(every)
 
 
 def scan_summary(spark, sf_dir):
