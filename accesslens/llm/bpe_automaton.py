@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -162,7 +163,7 @@ def _with(df: DataFrame, name: str, kind) -> StructType:
 def _pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that a piece holds few bytes of the column, or one row."""
     at, held = 0, 0
-    for i, n in enumerate(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()):
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
         if held and held + n > most:
             yield batch.slice(at, i - at)
             at, held = i, 0
