@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accesslens.llm import bpe_automaton, exact_dedup, hilbert_shards, language_id, line_dedup, mixing, quality, toxicity
+from accesslens.llm import bpe_automaton, exact_dedup, hilbert_shards, jaccard_join, language_id, line_dedup, mixing, quality, toxicity
 from accesslens.llm.support import table
 
 
@@ -43,6 +43,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,5 +57,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op3_toxicity, op4_language_id, op5_bpe_automaton, op9_quality, op2_hilbert_shards, op6_pivotal_mixing, op7_exact_dedup, op10_line_dedup]
+    named = [op3_toxicity, op4_language_id, op5_bpe_automaton, op8_jaccard_join, op9_quality, op2_hilbert_shards, op6_pivotal_mixing, op7_exact_dedup, op10_line_dedup]
     return {f.__name__: f for f in named}

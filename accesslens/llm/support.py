@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -50,16 +54,17 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
             .drop("_at", "_range", "_before"))
 
 
-def in_block_pairs(df: DataFrame, group: str, spread: Column, block_rows: int) -> DataFrame:
-    """Give each row the block pairs in which it meets every other row of its group: columns _low and _high.
+def in_block_pairs(df: DataFrame, group: str, spread: Column, block_rows: int, weight: Column | None = None, block_weight: int = 1) -> DataFrame:
+    """Give each row the block pairs in which it meets every other row of its group: columns _own, _low and _high.
 
-    A group of up to block_rows rows is one block.  A larger one is cut by the hash in spread, and each of its blocks
-    meets itself and each other block once, so a task holds about two blocks whatever the size of the group.
+    A group of up to block_rows rows, and block_weight in sum, is one block.  A larger one is cut by the hash in spread;
+    each of its blocks meets itself and each other block once, so a task holds about two blocks whatever the size of
+    the group.
     """
-    blocks = (df.groupBy(group).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_blocks"))
-              .filter("_blocks > 1"))
-    small = cut_lineage(blocks)
-    placed = (df.join(broadcast_if_small(small), group, "left")
+    rows = F.ceil(F.count("*") / block_rows)
+    need = rows if weight is None else F.greatest(rows, F.ceil(F.sum(weight) / block_weight))
+    blocks = cut_lineage(df.groupBy(group).agg(F.least(F.count("*"), need).cast("int").alias("_blocks")).filter("_blocks > 1"))
+    placed = (df.join(broadcast_if_small(blocks), group, "left")
               .withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
               .withColumn("_own", F.pmod(spread, F.col("_blocks")).cast("int")))
     met = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
@@ -67,6 +72,38 @@ def in_block_pairs(df: DataFrame, group: str, spread: Column, block_rows: int) -
             .drop("_blocks", "_other"))
 
 
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Cut sorted batches into tables of equal keys, one at a time in memory."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        edges = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        for start, end in zip([0, *edges], [*edges, batch.num_rows], strict=True):
+            now = tuple(c[start] for c in columns)
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(start, end - start))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def roots(links: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric boolean matrix the least index that its links reach."""
+    label = np.arange(len(links))
+    while True:
+        near = np.where(links, label[None, :], len(links)).min(axis=1, initial=len(links))
+        now = np.minimum(label, near)
+        now = now[now]
+        if (now == label).all():
+            return label
+        label = now
+
+
 def components(links: DataFrame) -> DataFrame:
     """Smallest node reachable from each linked node: (node, component), from links (a, b) of any orientation.
 
@@ -86,5 +123,6 @@ def components(links: DataFrame) -> DataFrame:
                             .union(low.select("a", F.col("m").alias("b"))).distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == last:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            heads = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(heads)
         last = now
