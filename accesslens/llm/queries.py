@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accesslens.llm import bpe_automaton, exact_dedup, hilbert_shards, jaccard_join, language_id, line_dedup, mixing, quality, toxicity
+from accesslens.llm import bpe_automaton, exact_dedup, hilbert_shards, jaccard_join, language_id, lattice_dedup, line_dedup, mixing, quality, toxicity
 from accesslens.llm.support import table
 
 
@@ -17,6 +17,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = hilbert_shards.place_in_shards(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
@@ -57,5 +61,6 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op3_toxicity, op4_language_id, op5_bpe_automaton, op8_jaccard_join, op9_quality, op2_hilbert_shards, op6_pivotal_mixing, op7_exact_dedup, op10_line_dedup]
+    named = [op1_lattice_dedup, op2_hilbert_shards, op3_toxicity, op4_language_id, op5_bpe_automaton, op6_pivotal_mixing,
+             op7_exact_dedup, op8_jaccard_join, op9_quality, op10_line_dedup]
     return {f.__name__: f for f in named}
