@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def label_join(lines: DataFrame, labels: DataFrame, on: str = "line_no") -> DataFrame:
+def label_join(lines: DataFrame, labels: DataFrame, on: str | list[str] = "line_no") -> DataFrame:
     """Lines that have a label.  Catalyst picks the join from the sizes it knows."""
     return lines.join(labels, on, "inner")
 
@@ -44,10 +44,20 @@ def false_positives(df: DataFrame) -> DataFrame:
     return df.filter((F.col("label") == 0) & F.col("is_anomaly"))
 
 
+def misclassified(df: DataFrame) -> DataFrame:
+    """Missed attacks and flagged normals, told apart by ``kind``."""
+    missed = (F.col("label") == 1) & ~F.col("is_anomaly")
+    flagged = (F.col("label") == 0) & F.col("is_anomaly")
+    return df.withColumn("kind", F.when(missed, "false_negative").when(flagged, "false_positive")).filter("kind IS NOT NULL")
+
+
 def misses(df: DataFrame, n: int = 5, width: int = 120) -> DataFrame:
-    """The ``n`` missed attacks of least error and the ``n`` flagged normals of greatest error."""
-    def shown(rows, kind):
-        return rows.select(F.lit(kind).alias("kind"), "error", F.substring("raw", 1, width).alias("raw"))
-    missed = false_negatives(df).orderBy("error", "raw").limit(n)
-    flagged = false_positives(df).orderBy(F.desc("error"), F.desc("raw")).limit(n)
-    return shown(missed, "false_negative").unionAll(shown(flagged, "false_positive"))
+    """The ``n`` missed attacks of least error and the ``n`` flagged normals of greatest error.
+
+    One pass: each task keeps its own first ``n`` of a kind before the ranks meet.
+    """
+    missed = F.col("kind") == "false_negative"
+    order = Window.partitionBy("kind").orderBy(F.when(missed, F.col("error")).otherwise(-F.col("error")),
+                                               F.when(missed, F.col("raw")), F.desc(F.when(~missed, F.col("raw"))))
+    ranked = misclassified(df).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= n)
+    return ranked.orderBy("kind", "_rank").select("kind", "error", F.substring("raw", 1, width).alias("raw"))

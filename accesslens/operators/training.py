@@ -85,7 +85,7 @@ def _local_round(state, step, round_no, seed, batch, lr, epochs=1):
 
 def default_partitions(n_rows: int) -> int:
     """How many ways to split the training rows: from the data, not from the cluster."""
-    return int(min(max(n_rows // 250_000, 4), 1024))
+    return max(n_rows // 250_000, 4)
 
 
 def train_detector(df: DataFrame, key: str, rounds: int = 60, batch: int = 128, lr: float = 1e-3,
@@ -95,10 +95,13 @@ def train_detector(df: DataFrame, key: str, rounds: int = 60, batch: int = 128,
 
     Data-parallel with parameter averaging: per round every partition runs Adam
     from the shared state over its rows and the states are averaged by row count.
-    ``key`` identifies rows.  Rows are dealt out and ordered by its hash, and the
-    averages are sums of decimals, so a repeated run (or a retried task) gives
-    the same detector.  The driver only ever sees the averaged state.
+    ``key`` identifies rows; a key of more than 1000 rows is spread over the tasks.  The input is
+    read once into the shared folder.  Rows are dealt out and ordered by hashes,
+    and the averages are sums of decimals, so a retried task repeats its part; a
+    repeated run may differ in the last digits, as the scaler's averages do.  The
+    driver only ever sees the averaged state.
     """
+    df = cut_lineage(df.select(F.xxhash64(key).alias("_h"), *FEATURE_NAMES))
     scaler = fit_scaler(df).orderBy("position").collect()
     mean, std = [r["mean"] for r in scaler], [r["std"] for r in scaler]
     n = len(FEATURE_NAMES)
@@ -106,9 +109,11 @@ def train_detector(df: DataFrame, key: str, rounds: int = 60, batch: int = 128,
         raise ValueError("no training rows")
     blank = Bundle.from_arrays([np.zeros(s) for s in autoencoder.shapes(n)], [np.zeros(s[0]) for s in autoencoder.shapes(n)], mean, std, 0.0)
     parts = partitions or default_partitions(df.count())
-    dealt = standardize(df.select(key, *FEATURE_NAMES), blank).select(
-        F.xxhash64(F.col(key)).alias("_h"), F.col(key).alias("_k"), F.array(*FEATURE_NAMES).alias("x"))
-    dealt = (dealt.repartition(parts, "_h").sortWithinPartitions("_h", "_k")
+    hot = cut_lineage(df.groupBy("_h").count().filter(F.col("count") > 1000).select("_h"))
+    spread = F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(1024))).otherwise(0)
+    marked = df.join(hot.withColumn("_hot", F.lit(True)), "_h", "left").withColumn("_spread", spread)
+    dealt = standardize(marked, blank).select("_h", "_spread", F.array(*FEATURE_NAMES).alias("x"))
+    dealt = (dealt.repartition(parts, "_h", "_spread").sortWithinPartitions("_h", "_spread", "x")
              .select(F.spark_partition_id().alias("part"), "x"))
     dealt = cut_lineage(dealt).persist(StorageLevel.MEMORY_AND_DISK)
 

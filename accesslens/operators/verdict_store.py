@@ -9,23 +9,14 @@ from accesslens.operators.reports import rate
 from accesslens.schemas import VERDICT_TABLE
 
 MAX_RECENT = 500
-_ROW_BITS, _PART_BITS, _BATCH_BITS = 24, 15, 24
 
 
 def verdict_id(batch_id: int) -> Column:
-    """A unique id that grows with the batch: batch, partition and row in 63 bits.
+    """A unique id that grows with the batch: the row's place in the batch, and 2 ** 63 for each batch before.
 
     It needs no pass over the batch and is the same when the batch is replayed.
-    A batch too large for the layout raises an error instead of reusing ids.
     """
-    if not 0 <= batch_id < 1 << _BATCH_BITS:
-        raise ValueError(f"batch id {batch_id} does not fit {_BATCH_BITS} bits")
-    raw = F.monotonically_increasing_id()
-    part, row = F.shiftright(raw, 33), raw.bitwiseAND(F.lit((1 << 33) - 1))
-    fits = (part < 1 << _PART_BITS) & (row < 1 << _ROW_BITS)
-    local = F.when(fits, F.shiftleft(part, _ROW_BITS) + row).otherwise(
-        F.raise_error(F.lit("micro-batch too large for verdict ids: lower its size")).cast("bigint"))
-    return F.lit(batch_id << (_PART_BITS + _ROW_BITS)).cast("bigint") + local
+    return (F.lit(str(batch_id << 63)).cast("decimal(38,0)") + F.monotonically_increasing_id().cast("decimal(20,0)")).cast("decimal(38,0)")
 
 
 def stored_rows(verdicts: DataFrame, batch_id: int = 0) -> DataFrame:
@@ -39,12 +30,19 @@ def stored_rows(verdicts: DataFrame, batch_id: int = 0) -> DataFrame:
 
 
 def decimal_rows(verdicts: DataFrame) -> DataFrame:
-    """The same rows for a store without binary floats: exact decimals, 0 when absent."""
-    def exact(name):
-        return F.coalesce(F.col(name), F.lit(0.0)).cast("string").cast("decimal(18,8)").alias(name)
+    """The same rows for a store without binary floats, 0 when absent.
+
+    ``score`` and ``threshold`` are decimals of 17 places, null where a number does not fit 38 digits;
+    ``score_text`` and ``threshold_text`` have all digits of every number.
+    """
+    numbers = ("score", "threshold")
+
+    def text(name):
+        return F.coalesce(F.col(name), F.lit(0.0)).cast("string")
     return verdicts.select(
-        *[exact(c) if c in ("score", "threshold") else F.col(c) for c in verdicts.columns
+        *[text(c).try_cast("decimal(38,17)").alias(c) if c in numbers else F.col(c) for c in verdicts.columns
           if c not in ("drivers", "is_anomaly")],
+        *[text(c).alias(f"{c}_text") for c in numbers],
         F.coalesce("drivers", F.array().cast("array<string>")).alias("drivers"),
         F.coalesce("is_anomaly", F.lit(False)).alias("is_anomaly"),
     )

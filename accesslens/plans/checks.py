@@ -156,7 +156,7 @@ _ISO = f"CASE WHEN wall IS NULL THEN NULL ELSE {_ISO} END"
 _SCANS = """ips AS (SELECT user_id, count(*) AS lines, count(*) FILTER (WHERE event_id % 20 = 0) AS anomalies,
     concat('10.', CAST(user_id % 256 AS VARCHAR), '.0.1') AS ip FROM events GROUP BY user_id),
 scans AS (SELECT CAST(user_id AS VARCHAR) AS scan_id, lines, anomalies,
-    substr(sha256(concat('logscan-v1|', CASE WHEN user_id % 3 = 0 OR user_id % 7 <> 0 THEN ip ELSE 'unknown' END)), 1, 32)
+    substr(sha256(concat('query-salt|', CASE WHEN user_id % 3 = 0 OR user_id % 7 <> 0 THEN ip ELSE 'unknown' END)), 1, 32)
       AS visitor_hash FROM ips)"""
 
 
@@ -264,8 +264,24 @@ def all_checks() -> dict[str, str]:
         "recent_anomalies": f"""WITH {_scores()} SELECT event_id AS "offset", path, status, score, drivers FROM scores
             WHERE is_anomaly ORDER BY event_id DESC LIMIT 50""",
         "decimal_verdicts": f"""WITH {_scores()} SELECT event_id AS "offset",
-            CAST(CAST(score AS DECIMAL(18, 8)) AS VARCHAR) AS score,
-            CAST(CAST(threshold AS DECIMAL(18, 8)) AS VARCHAR) AS threshold, is_anomaly FROM scores""",
+            CAST(CAST(CAST(score AS VARCHAR) AS DECIMAL(38, 17)) AS VARCHAR) AS score,
+            CAST(CAST(CAST(threshold AS VARCHAR) AS DECIMAL(38, 17)) AS VARCHAR) AS threshold, is_anomaly FROM scores""",
+        "replayed_batch": f"""WITH {_scores()} SELECT count(*) AS total, count(*) FILTER (WHERE is_anomaly) AS anomalies,
+            round(count(*) FILTER (WHERE is_anomaly) / count(*), 4) AS anomaly_rate FROM scores""",
+        "bundle_round_trip": f"WITH {_scores()} SELECT event_id, score, is_anomaly, threshold FROM scores",
+        "published_lines": f"WITH {_lines(True)} SELECT line AS value FROM lines WHERE line <> ''",
+        "upload_scan": f"""WITH {_scores(True)} SELECT (SELECT count(*) FROM lines) AS total_lines, count(*) AS parsed,
+            count(*) FILTER (WHERE is_anomaly) AS anomalies,
+            round(count(*) FILTER (WHERE is_anomaly) / count(*), 4) AS anomaly_rate,
+            {b.threshold!r}::DOUBLE AS threshold, count(*) FILTER (WHERE is_anomaly) > 200 AS truncated FROM scores""",
+        "label_csv": "SELECT doc_id AS line_no, toxic AS label FROM labels",
+        "recorded_usage": """WITH scans AS (SELECT user_id % 256 AS visitor, count(*) AS lines,
+            count(*) FILTER (WHERE event_id % 20 = 0) AS anomalies FROM events GROUP BY user_id)
+            SELECT count(*) AS scans_run, CAST(sum(lines) AS BIGINT) AS lines_processed,
+            CAST(sum(anomalies) AS BIGINT) AS anomalies_flagged, count(DISTINCT visitor) AS unique_visitors FROM scans""",
+        "train_detector": f"""WITH {_lines(False)} SELECT CAST(60 AS BIGINT) AS rounds, count(*) AS n_rows, true AS loss_fell,
+            CAST(0 AS BIGINT) AS missed_attacks, count(*) - 1 - CAST(floor(0.99 * (count(*) - 1)) AS BIGINT) AS flagged_normals
+            FROM lines WHERE label = 0""",
         "visitor_hashes": f"WITH {_SCANS} SELECT scan_id, visitor_hash FROM scans",
         "usage_totals": f"""WITH {_SCANS} SELECT count(*) AS scans_run, CAST(sum(lines) AS BIGINT) AS lines_processed,
             CAST(sum(anomalies) AS BIGINT) AS anomalies_flagged, count(DISTINCT visitor_hash) AS unique_visitors

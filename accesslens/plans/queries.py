@@ -15,15 +15,20 @@ from accesslens.operators.parsing import parse_quality, parse_requests, parse_sa
 from accesslens.operators.scoring import score_features, score_lines, score_parity, standardize
 from accesslens.operators.selection import exact_percentile
 from accesslens.plans.event_lines import event_lines, messy_lines
-from accesslens.schemas import FEATURE_NAMES
+from accesslens.plans.workflows import scan_upload
+from accesslens.schemas import FEATURE_NAMES, SCAN_EVENTS
 from accesslens.session import scratch_path, tune
-from accesslens.sinks.publish import publish_shards
-from accesslens.sinks.stores import store_verdicts
-from accesslens.sources.logs import read_numbered_lines, stream_lines
+from accesslens.sinks.publish import publish_shards, publish_text
+from accesslens.sinks.stores import record_scans, save_bundle, store_verdicts
+from accesslens.sources.bundles import load_bundle
+from accesslens.sources.labels import read_labels
+from accesslens.sources.logs import drop_blank, read_lines, read_numbered_lines, stream_lines
 from accesslens.sources.messages import decode_parsed, decode_verdicts
 from accesslens.streaming import stages
-from accesslens.streaming.progress import query_totals
+from accesslens.streaming.progress import ProgressTotals
 
+#: Salt of the registered queries; a deployment passes its own.
+QUERY_SALT = "query-salt"
 STRUCTURAL = ["path_len", "query_len", "n_path_segments", "n_special", "special_ratio",
               "n_percent", "n_digits", "log_bytes", "ua_len"]
 ONE_HOT = ["is_get", "is_post", "is_other_method", "is_2xx", "is_3xx", "is_4xx", "is_5xx"]
@@ -175,14 +180,15 @@ def parity(spark, sf_dir):
 
 
 def train_detector(spark, sf_dir):
-    """Loss per round and the fitted threshold of a training run on the normal lines."""
-    normal = _normal(spark, sf_dir).persist()
-    try:
-        bundle, losses = training.train_detector(normal, "event_id")
-    finally:
-        normal.unpersist()
-    rows = F.transform(F.array(*map(F.lit, losses)), lambda x, i: F.struct((i + 1).alias("round"), x.alias("loss")))
-    return spark.range(1).select(F.inline(rows)).withColumn("threshold", F.lit(bundle.threshold))
+    """What must hold of a detector trained on the normal lines, whatever its weights: rounds, rows, a loss that fell,
+    every attack flagged, and as many normal lines above the threshold as its percentile leaves."""
+    bundle, losses = training.train_detector(_normal(spark, sf_dir), "event_id")
+    scored = score_features(_features(spark, sf_dir), bundle)
+    return scored.agg(
+        F.lit(len(losses)).cast("bigint").alias("rounds"), F.count_if(F.col("label") == 0).alias("n_rows"),
+        F.lit(losses[-1] < losses[0]).alias("loss_fell"),
+        F.count_if((F.col("label") == 1) & ~F.col("is_anomaly")).alias("missed_attacks"),
+        F.count_if((F.col("label") == 0) & F.col("is_anomaly")).alias("flagged_normals"))
 
 
 # ---- reports ------------------------------------------------------------------
@@ -224,7 +230,8 @@ def report_markup(spark, sf_dir):
 def _labelled(spark, sf_dir):
     """Scored lines joined with a label table whose labels know nothing of the lines."""
     labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("event_id"), F.col("toxic").alias("label"))
-    return evaluation.label_join(_scored(spark, sf_dir, ["event_id"]), labels, "event_id")
+    lines = evaluation.label_join(event_lines(spark, sf_dir).drop("label"), labels, "event_id")
+    return score_lines(lines, packaged(), "line", ["event_id", "label"])
 
 
 def label_join(spark, sf_dir):
@@ -241,9 +248,7 @@ def eval_misses(spark, sf_dir):
 
 
 def misclassified(spark, sf_dir):
-    rows = _labelled(spark, sf_dir)
-    return (evaluation.false_negatives(rows).select("event_id", F.lit("false_negative").alias("kind"))
-            .unionAll(evaluation.false_positives(rows).select("event_id", F.lit("false_positive").alias("kind"))))
+    return evaluation.misclassified(_labelled(spark, sf_dir)).select("event_id", "kind")
 
 
 # ---- messages and stores ------------------------------------------------------
@@ -301,6 +306,56 @@ def decimal_verdicts(spark, sf_dir):
         "is_anomaly")
 
 
+def replayed_batch(spark, sf_dir):
+    """A batch of verdicts stored twice: it is there once."""
+    path = scratch_path(spark, "replayed")
+    rows = messages.verdicts(messages.parsed_records(_numbered(event_lines(spark, sf_dir))), packaged())
+    for _ in range(2):
+        store_verdicts(rows, path, 7)
+    return verdict_store.verdict_stats(verdict_store.read_verdicts(spark, path))
+
+
+def bundle_round_trip(spark, sf_dir):
+    """Scores of a detector that was saved and loaded again."""
+    path = scratch_path(spark, "bundle")
+    save_bundle(spark, packaged(), path)
+    scored = score_lines(event_lines(spark, sf_dir), load_bundle(spark, path), "line", ["event_id"])
+    return scored.select("event_id", "score", "is_anomaly", "threshold")
+
+
+def published_lines(spark, sf_dir):
+    """Lines written as text and read back, blank ones dropped."""
+    path = scratch_path(spark, "published")
+    publish_text(messy_lines(spark, sf_dir).select(F.col("line").alias("value")), path)
+    return drop_blank(read_lines(spark, path))
+
+
+def upload_scan(spark, sf_dir):
+    """Lines written as a log and scanned as an upload."""
+    path = scratch_path(spark, "upload")
+    publish_text(messy_lines(spark, sf_dir).select(F.col("line").alias("value")), path)
+    return scan_upload(spark, path, packaged()).summary
+
+
+def label_csv(spark, sf_dir):
+    """Labels written as CSV, each line twice with the last one right, and read back."""
+    path = scratch_path(spark, "labels")
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("line_no"), F.col("toxic").alias("label"))
+    twice = labels.select("line_no", F.explode(F.array(1 - F.col("label"), F.col("label"))).alias("label"))
+    twice.write.csv(path, header=True)
+    return read_labels(spark, path)
+
+
+def recorded_usage(spark, sf_dir):
+    """Usage rows written for each user's scan and totalled."""
+    path = scratch_path(spark, "usage")
+    scans = _table(spark, sf_dir, "events").groupBy("user_id").agg(
+        F.count("*").alias("total_lines"), F.count_if(F.col("event_id") % 20 == 0).alias("anomalies"))
+    ip = F.concat(F.lit("10."), (F.col("user_id") % 256).cast("string"), F.lit(".0.1"))
+    record_scans(scans.select(F.col("user_id").cast("string").alias("scan_id"), "total_lines", "anomalies", ip.alias("ip")), path, QUERY_SALT)
+    return usage.usage_totals(spark.read.schema(SCAN_EVENTS).parquet(path))
+
+
 def _scan_events(spark, sf_dir):
     """One recorded scan per user: lines, attacks, and a visitor behind a proxy or not."""
     ip = F.concat(F.lit("10."), (F.col("user_id") % 256).cast("string"), F.lit(".0.1"))
@@ -309,7 +364,7 @@ def _scan_events(spark, sf_dir):
     forwarded = F.when(F.col("user_id") % 3 == 0, F.concat(F.lit(" "), ip, F.lit(" , 172.16.0.1")))
     peer = F.when(F.col("user_id") % 7 != 0, ip)
     return events.select(F.col("user_id").cast("string").alias("scan_id"), "lines", "anomalies",
-                         visitor_hash(client_ip(forwarded, peer)).alias("visitor_hash"))
+                         visitor_hash(client_ip(forwarded, peer), QUERY_SALT).alias("visitor_hash"))
 
 
 def visitor_hashes(spark, sf_dir):
@@ -374,10 +429,10 @@ def stream_stages(spark, sf_dir):
 
 def stream_progress(spark, sf_dir):
     """What the three stages counted while they ran."""
-    _, started = _staged(spark, sf_dir)
-    totals = {}
-    for query in started:
-        totals.update(query_totals(query))
+    with ProgressTotals.listening(spark) as seen:
+        _, started = _staged(spark, sf_dir)
+        seen.wait_for(started)
+    totals = seen.totals()
     return spark.range(1).select(*[F.lit(totals[f"{s}.{n}"]).cast("bigint").alias(f"{s}_{n}") for s, n in (
         ("ingest", "consumed"), ("ingest", "parsed"), ("ingest", "skipped"), ("score", "scored"),
         ("score", "anomalies"), ("store", "stored"), ("store", "anomalies"))])
@@ -390,7 +445,7 @@ QUERIES = [
     score_feature_vectors, error_threshold, error_summary, parity, train_detector, anomaly_listing, listing_totals,
     scan_summary, ranked_anomalies, anomaly_report, severity, report_markup, label_join, eval_metrics, eval_misses,
     misclassified, parsed_messages, verdict_messages, keyed_lines, sharded_lines, verdict_stats, recent_anomalies,
-    decimal_verdicts, visitor_hashes, usage_totals, numbered_lines, stream_pipeline, stream_stages, stream_progress,
+    decimal_verdicts, replayed_batch, bundle_round_trip, published_lines, upload_scan, label_csv, recorded_usage, visitor_hashes, usage_totals, numbered_lines, stream_pipeline, stream_stages, stream_progress,
 ]
 
 

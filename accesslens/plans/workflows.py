@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from accesslens.models.bundle import Bundle
@@ -13,7 +12,7 @@ from accesslens.operators.featurizing import add_features
 from accesslens.operators.parsing import parse_requests
 from accesslens.operators.scoring import score_lines
 from accesslens.operators.training import train_detector
-from accesslens.session import tune
+from accesslens.session import cut_lineage, tune
 from accesslens.sources.labels import read_labels
 from accesslens.sources.logs import read_lines, read_numbered_lines, read_upload
 
@@ -62,9 +61,13 @@ def evaluate(scored: DataFrame) -> Evaluation:
 
 
 def evaluate_log(spark: SparkSession, log_path: str, labels_path: str, bundle: Bundle) -> Evaluation:
-    """Score a labelled log; lines without a label or that do not parse are left out."""
+    """Score a labelled log; lines without a label or that do not parse are left out.
+
+    Labels name lines by number alone, so the log must be one file.
+    """
+    if len(spark.read.text(log_path).inputFiles()) > 1:
+        raise ValueError("line numbers restart in each file: evaluate one file at a time")
     lines = read_numbered_lines(tune(spark), log_path)
     labelled = evaluation.label_join(lines, read_labels(spark, labels_path))
     scored = score_lines(labelled, bundle, keep=["line_no", "label"])
-    return evaluate(scored.select("line_no", "label", "error", "is_anomaly", "raw")
-                    .persist(StorageLevel.MEMORY_AND_DISK))
+    return evaluate(cut_lineage(scored.select("line_no", "label", "error", "is_anomaly", "raw")))

@@ -74,7 +74,7 @@ VERDICT_MESSAGE = T.StructType([
 
 # The stored verdict table.  batch_id and is_anomaly are directory columns.
 VERDICT_TABLE = T.StructType([
-    T.StructField("id", T.LongType()),
+    T.StructField("id", T.DecimalType(38, 0)),
     T.StructField("ts", T.TimestampType()),
     T.StructField("offset", T.LongType()),
     T.StructField("raw", T.StringType()),

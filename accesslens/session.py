@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
 _HUGE_METHOD = "spark.sql.codegen.hugeMethodLimit"
+_MIN_PARTITIONS = "spark.sql.files.minPartitionNum"
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -16,10 +17,13 @@ def tune(spark: SparkSession) -> SparkSession:
 
     HotSpot never compiles a method above 8000 bytes of bytecode.  Parsing and
     scoring fuse into larger ones, which would then run interpreted (measured:
-    eight times slower), so such stages are left unfused instead.
+    eight times slower), so such stages are left unfused instead.  The number of scan partitions is pinned,
+    so that two passes over the same files cut them alike.
     """
     if spark.conf.get(_HUGE_METHOD, "65535") == "65535":
         spark.conf.set(_HUGE_METHOD, "8000")
+    if spark.conf.get(_MIN_PARTITIONS, None) is None:
+        spark.conf.set(_MIN_PARTITIONS, str(spark.sparkContext.defaultParallelism))
     return spark
 
 
@@ -45,13 +49,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialize in the shared folder, so that lost executors lose no work."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
-
-
-def use_all_cores(df: DataFrame) -> DataFrame:
-    """Deal out the rows of a scan that has fewer splits than the cluster has cores.
-
-    So few splits hold little data, so the shuffle is small next to the work that
-    follows.  A scan with enough splits is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -14,7 +14,10 @@ from accesslens.schemas import BUNDLE
 
 
 def store_verdicts(verdicts: DataFrame, path: str, batch_id: int = 0) -> None:
-    """Write one batch of verdicts.  A replayed batch replaces itself, so nothing doubles."""
+    """Write one batch of verdicts.  A replayed batch replaces itself, so nothing doubles.
+
+    The old folder goes before the new one is complete, so a read during a replay can miss the batch.
+    """
     (stored_rows(verdicts, batch_id).write.mode("overwrite")
      .partitionBy("is_anomaly").parquet(f"{path.rstrip('/')}/batch_id={batch_id}"))
 
@@ -26,8 +29,12 @@ def save_bundle(spark: SparkSession, bundle: Bundle, path: str, mode: str = "err
               args={"row": row, "schema": BUNDLE.simpleString()}).select("b.*").write.mode(mode).json(path)
 
 
-def record_scan(summary: DataFrame, path: str, scan_id: str, ip: str = "") -> None:
+def record_scan(summary: DataFrame, path: str, scan_id: str, salt: str, ip: str = "") -> None:
     """Append one usage row from a scan summary: tallies and a salted hash, no address."""
-    (summary.select(F.lit(scan_id).alias("scan_id"), F.col("total_lines").alias("lines"), "anomalies",
-                    visitor_hash(F.lit(ip)).alias("visitor_hash"))
+    record_scans(summary.select(F.lit(scan_id).alias("scan_id"), "total_lines", "anomalies", F.lit(ip).alias("ip")), path, salt)
+
+
+def record_scans(summaries: DataFrame, path: str, salt: str) -> None:
+    """Append a usage row for each row ``scan_id, total_lines, anomalies, ip``, many to a file."""
+    (summaries.select("scan_id", F.col("total_lines").alias("lines"), "anomalies", visitor_hash(F.col("ip"), salt).alias("visitor_hash"))
      .write.mode("append").parquet(path))

@@ -6,10 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from accesslens.operators.parsing import parse_requests
-from accesslens.session import cut_lineage
-
-# Broadcasting the line offsets needs about 200 bytes per file split.
-MAX_BROADCAST_SPLITS = 500_000
+from accesslens.session import scratch_path
 
 _SPLIT_KEY = ["file", "_block"]
 
@@ -35,16 +32,15 @@ def drop_blank(df: DataFrame, column: str = "value") -> DataFrame:
     return df.withColumn(column, stripped).filter(F.col(column) != "")
 
 
-def read_numbered_lines(spark: SparkSession, paths, max_broadcast_splits: int = MAX_BROADCAST_SPLITS) -> DataFrame:
+def read_numbered_lines(spark: SparkSession, paths) -> DataFrame:
     """Lines with their 1-based ``line_no`` in their ``file``, without sorting them.
 
     One pass counts the lines of every file split; a prefix sum over the splits of
     a file gives each split its first number.  The second pass only adds.  Both
-    passes must cut the files alike, so the number of scan partitions is pinned
-    against a changing cluster size, and a row outside its split raises an error.
+    passes must cut the files alike: ``session.tune`` pins the number of scan
+    partitions against a changing cluster size, and a row outside its split raises
+    an error.  The offsets are written, so Catalyst knows their size for the join.
     """
-    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
-        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     lines = spark.read.text(paths).select(
         _decoded(),
         F.col("_metadata.file_path").alias("file"),
@@ -52,12 +48,13 @@ def read_numbered_lines(spark: SparkSession, paths, max_broadcast_splits: int =
         F.monotonically_increasing_id().alias("_id"),
     )
     before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    splits = cut_lineage(
+    counted = (
         lines.groupBy(*_SPLIT_KEY).agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
         .select(*_SPLIT_KEY, "_first", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     )
-    if splits.count() <= max_broadcast_splits:
-        splits = F.broadcast(splits)
+    kept = scratch_path(spark, "splits")
+    counted.write.parquet(kept)
+    splits = spark.read.parquet(kept)
     position = F.col("_id") - F.col("_first")
     inside = position.between(F.lit(0), F.col("_n") - 1)
     line_no = F.when(inside, F.col("_before") + position + 1).otherwise(
@@ -81,15 +78,16 @@ def stream_lines(spark: SparkSession, path: str, max_files_per_trigger: int | No
     return reader.load(path).select(_decoded(), F.lit(None).cast("bigint").alias("offset"))
 
 
-def stream_topic(spark: SparkSession, servers: str, topic: str, **options) -> DataFrame:
-    """Messages of a topic, from the earliest one on, with their offset.
+def stream_topic(spark: SparkSession, servers: str, topic: str, max_offsets_per_trigger: int, **options) -> DataFrame:
+    """Messages of a topic, from the earliest one on, with their offset; a micro-batch takes a bounded number.
 
     Needs Spark's own Kafka connector on the class path.
     """
     reader = (spark.readStream.format("kafka")
               .option("kafka.bootstrap.servers", servers)
               .option("subscribe", topic)
-              .option("startingOffsets", "earliest"))
+              .option("startingOffsets", "earliest")
+              .option("maxOffsetsPerTrigger", max_offsets_per_trigger))
     for name, value in options.items():
         reader = reader.option(name, value)
     return reader.load().select(_decoded(), "offset", "partition")

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections import Counter
-from threading import Lock
+from collections.abc import Iterator
+from contextlib import contextmanager
+from threading import Condition
 
+from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 
@@ -12,7 +15,18 @@ class ProgressTotals(StreamingQueryListener):
     """Adds up the observed counts of every micro-batch; skipped = consumed - parsed."""
 
     def __init__(self) -> None:
-        self._lock, self._totals = Lock(), Counter()
+        self._lock, self._totals, self._ended = Condition(), Counter(), set()
+
+    @classmethod
+    @contextmanager
+    def listening(cls, spark: SparkSession) -> Iterator[ProgressTotals]:
+        """Totals of all queries that start inside the block."""
+        totals = cls()
+        spark.streams.addListener(totals)
+        try:
+            yield totals
+        finally:
+            spark.streams.removeListener(totals)
 
     def onQueryStarted(self, event) -> None:
         pass
@@ -25,7 +39,16 @@ class ProgressTotals(StreamingQueryListener):
         pass
 
     def onQueryTerminated(self, event) -> None:
-        pass
+        with self._lock:
+            self._ended.add(str(event.runId))
+            self._lock.notify_all()
+
+    def wait_for(self, queries: list[StreamingQuery], seconds: float = 60) -> None:
+        """Wait until the last report of each ended query was counted."""
+        runs = {str(q.runId) for q in queries}
+        with self._lock:
+            if not self._lock.wait_for(lambda: runs <= self._ended, seconds):
+                raise TimeoutError("a query's end was not reported")
 
     def totals(self) -> dict[str, int]:
         with self._lock:
@@ -45,11 +68,3 @@ def with_skipped(counts: Counter) -> dict[str, int]:
     if "ingest.consumed" in out:
         out["ingest.skipped"] = out["ingest.consumed"] - out["ingest.parsed"]
     return out
-
-
-def query_totals(query: StreamingQuery) -> dict[str, int]:
-    """Totals over the progress reports that a query still holds."""
-    counts = Counter()
-    for progress in query.recentProgress:
-        counts.update(count_observed(progress))
-    return with_skipped(counts)

@@ -17,13 +17,6 @@ from accesslens.schemas import FEATURE_NAMES
 from accesslens.sinks.stores import save_bundle
 from accesslens.sources.bundles import load_bundle
 
-# Feature vectors of an ordinary request and of an injection.
-NORMAL_VECTOR = [11.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 3.46, 0.0, 0.0,
-                 1.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 7.30, 107.0, 0.0]
-ATTACK_VECTOR = [9.0, 58.0, 1.0, 6.0, 0.09, 5.0, 11.0, 3.17, 4.65, 3.0,
-                 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 6.72, 20.0, 1.0]
-
-
 def expected(bundle, vectors):
     x = (np.asarray(vectors) - bundle.mean) / bundle.std
     h = x
@@ -44,7 +37,9 @@ def test_training_lowers_the_loss_and_separates(spark, trained):
 
 def test_vectors_are_scored_as_they_arrive(spark, trained):
     bundle, _ = trained
-    df = spark.createDataFrame([(0, NORMAL_VECTOR), (1, ATTACK_VECTOR)], "id int, features array<double>")
+    own = add_features(parse_requests(lines_frame(spark, [NORMAL, ATTACK]), keep=["line_no"])).orderBy("line_no").collect()
+    vectors = [[float(r[n]) for n in FEATURE_NAMES] for r in own]
+    df = spark.createDataFrame(list(enumerate(vectors)), "id int, features array<double>")
     normal, attack = score_features(df, bundle).orderBy("id").collect()
     assert not normal.is_anomaly and attack.is_anomaly and len(normal.drivers) == 3
 

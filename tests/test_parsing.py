@@ -18,14 +18,14 @@ def parse(spark, *lines):
 
 def test_fields_of_a_plain_line(spark):
     (r,) = parse(spark, NORMAL)
-    assert (r.ip, r.ident, r.user, r.method, r.path, r.query) == ("203.0.113.5", "-", "-", "GET", "/index.html", "")
-    assert (r.protocol, r.status, r.bytes) == ("HTTP/1.1", 200, 2326)
-    assert (r.referer, r.user_agent, r.tz_offset, r.raw) == ("https://example.com/", "Mozilla/5.0", "+00:00", NORMAL)
+    assert (r.ip, r.ident, r.user, r.method, r.path, r.query) == ("198.18.4.9", "-", "-", "GET", "/garden/roses", "")
+    assert (r.protocol, r.status, r.bytes) == ("HTTP/1.1", 200, 4410)
+    assert (r.referer, r.user_agent, r.tz_offset, r.raw) == ("https://ref.example/", "Mozilla/5.0 (plain)", "+00:00", NORMAL)
 
 
 def test_attack_target_splits(spark):
     (r,) = parse(spark, ATTACK)
-    assert r.path == "/search" and "<script>" in r.query and r.user_agent == "sqlmap/1.8"
+    assert r.path == "/find" and "<script>" in r.query and r.user_agent == "sqlmap/1.8"
 
 
 def test_lines_without_a_match_are_dropped(spark):

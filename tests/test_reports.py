@@ -26,7 +26,7 @@ def test_scan_of_an_upload(spark, trained, tmp_path):
     s = report.summary.first()
     assert (s.total_lines, s.parsed, s.anomalies, s.anomaly_rate, s.truncated) == (4, 2, 1, 0.5, False)
     (row,) = report.anomalies.collect()
-    assert (row.line_no, row.path) == (4, "/search") and len(row.drivers) == 3
+    assert (row.line_no, row.path) == (4, "/find") and len(row.drivers) == 3
 
 
 def test_an_empty_upload_is_an_error(spark, trained, tmp_path):
@@ -111,14 +111,16 @@ def test_verdict_table(spark, tmp_path):
 
 def test_decimal_rows(spark):
     row = verdict_store.decimal_rows(verdicts(spark, {"score": 0.1, "threshold": 1.2e-5}, {})).collect()
-    assert [str(r.score) for r in row] == ["0.10000000", "0E-8"] and str(row[0].threshold) == "0.00001200"
+    assert [str(r.score) for r in row] == ["0.10000000000000000", "0E-17"] and row[0].score_text == "0.1" and str(row[0].threshold) == "0.00001200000000000"
+    huge = verdict_store.decimal_rows(verdicts(spark, {"score": 1e30, "threshold": 0.14048749062961174})).first()
+    assert huge.score is None and huge.score_text == "1.0E30" and str(huge.threshold) == "0.14048749062961174"
 
 
 def test_usage(spark, tmp_path):
     path = str(tmp_path / "usage")
     summary = spark.sql("SELECT 10L total_lines, 2L anomalies")
     for scan, ip in (("a", "1.1.1.1"), ("b", ""), ("c", "1.1.1.1")):
-        record_scan(summary, path, scan, ip)
+        record_scan(summary, path, scan, "salt", ip)
     totals = usage.usage_totals(spark.read.schema(SCAN_EVENTS).parquet(path)).first()
     assert tuple(totals) == (3, 30, 6, 2)
     assert tuple(usage.usage_totals(spark.createDataFrame([], SCAN_EVENTS)).first()) == (0, 0, 0, 0)
@@ -126,6 +128,6 @@ def test_usage(spark, tmp_path):
 
 def test_visitors(spark):
     df = spark.createDataFrame([(" 1.2.3.4 , 9.9.9.9", "5.5.5.5"), (None, "5.5.5.5"), (" ,x", None)], "f string, p string")
-    rows = df.select(client_ip(F.col("f"), F.col("p")).alias("ip")).select("ip", visitor_hash(F.col("ip")).alias("h")).collect()
+    rows = df.select(client_ip(F.col("f"), F.col("p")).alias("ip")).select("ip", visitor_hash(F.col("ip"), "salt").alias("h")).collect()
     assert [r.ip for r in rows] == ["1.2.3.4", "5.5.5.5", ""]
-    assert rows[2].h == hashlib.sha256(b"logscan-v1|unknown").hexdigest()[:32]
+    assert rows[2].h == hashlib.sha256(b"salt|unknown").hexdigest()[:32]

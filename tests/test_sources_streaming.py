@@ -9,7 +9,7 @@ from accesslens.sinks.stores import store_verdicts
 from accesslens.sources.logs import drop_blank, read_lines, read_numbered_lines, read_requests, stream_lines
 from accesslens.sources.messages import decode_parsed, decode_verdicts
 from accesslens.streaming import stages
-from accesslens.streaming.progress import ProgressTotals, query_totals
+from accesslens.streaming.progress import ProgressTotals
 
 
 @pytest.mark.parametrize("split_bytes", ["700", "4096", "128m"])
@@ -22,13 +22,15 @@ def test_line_numbers_do_not_depend_on_the_splits(spark, tmp_path, split_bytes):
     spark.conf.set("spark.sql.files.maxPartitionBytes", split_bytes)
     spark.conf.set("spark.sql.files.openCostInBytes", "100")
     try:
-        for bound in (10**6, 0):
-            df = read_numbered_lines(spark, str(tmp_path), max_broadcast_splits=bound)
+        for bound in ("10m", "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+            df = read_numbered_lines(spark, str(tmp_path))
             got = {(r.file.rsplit("/", 1)[1], r.line_no): r.value for r in df.collect()}
             assert got == want
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_line_ends_and_bad_bytes(spark, tmp_path):
@@ -47,7 +49,7 @@ def test_requests_and_blank_lines(spark, tmp_path):
 
 def test_keyed_lines_and_shards(spark, tmp_path):
     keyed = messages.keyed_lines(lines_frame(spark, [NORMAL, "junk", "", ATTACK] * 50))
-    assert {r["key"] for r in keyed.collect()} == {"203.0.113.5", "unknown", "198.51.100.7"}
+    assert {r["key"] for r in keyed.collect()} == {"198.18.4.9", "unknown", "198.18.7.1"}
     publish_shards(keyed, str(tmp_path / "s"), 4)
     back = spark.read.parquet(str(tmp_path / "s"))
     assert back.count() == 150 and back.select("key", "shard").distinct().count() == 3
@@ -83,10 +85,9 @@ def run_pipeline(spark, trained, base, listener=None):
 def test_stages_store_what_a_batch_scores(spark, trained, tmp_path):
     base = str(tmp_path)
     publish_text(lines_frame(spark, [NORMAL, "junk", ATTACK]), f"{base}/in")
-    totals = {}
-    for query in run_pipeline(spark, trained, base):
-        totals |= query_totals(query)
-    assert totals == {"ingest.consumed": 3, "ingest.parsed": 2, "ingest.skipped": 1, "score.scored": 2,
+    with ProgressTotals.listening(spark) as seen:
+        seen.wait_for(run_pipeline(spark, trained, base))
+    assert seen.totals() == {"ingest.consumed": 3, "ingest.parsed": 2, "ingest.skipped": 1, "score.scored": 2,
                       "score.anomalies": 1, "store.stored": 2, "store.anomalies": 1}
     publish_text(lines_frame(spark, [SQLI]), f"{base}/in", mode="append")
     run_pipeline(spark, trained, base)
@@ -94,7 +95,7 @@ def test_stages_store_what_a_batch_scores(spark, trained, tmp_path):
     table = verdict_store.read_verdicts(spark, f"{base}/table")
     assert table.count() == 3
     newest = verdict_store.recent_anomalies(table).collect()
-    assert [r.path for r in newest] == ["/products", "/search"]
+    assert [r.path for r in newest] == ["/item", "/find"]
 
     lines = lines_frame(spark, [NORMAL, "junk", ATTACK, SQLI]).withColumnRenamed("line_no", "offset")
     store_verdicts(messages.verdicts(messages.parsed_records(lines), trained[0]), f"{base}/batch")
@@ -116,3 +117,20 @@ def test_fused_query_and_listener(spark, trained, tmp_path):
         spark.streams.removeListener(listener)
     assert listener.totals()["store.stored"] == 2
     assert verdict_store.verdict_stats(verdict_store.read_verdicts(spark, str(tmp_path / "table"))).first().anomalies == 1
+
+
+def test_totals_count_more_batches_than_a_query_remembers(spark, tmp_path):
+    for i in range(130):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{i}.log").write_text(NORMAL + "\n")
+    with ProgressTotals.listening(spark) as seen:
+        query = stages.start_messages(stages.ingest_stage(stream_lines(spark, str(tmp_path / "in"), 1)), str(tmp_path / "out"), str(tmp_path / "c"), once=True)
+        query.awaitTermination()
+        seen.wait_for([query])
+    assert seen.totals()["ingest.consumed"] == 130
+
+
+def test_ids_of_long_partitions_and_late_batches(spark):
+    ids = spark.range(0, 17_000_000, 1, 1).select(verdict_store.verdict_id(1 << 40).alias("id"))
+    low, high = ids.selectExpr("min(id)", "max(id)").first()
+    assert int(low) == 1 << 103 and int(high) - int(low) == 16_999_999
