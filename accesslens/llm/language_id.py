@@ -131,6 +131,8 @@ class Models:
     def entropies(self, text: str | None) -> tuple[np.ndarray, int]:
         """Cross-entropy per character in each language, and the characters scored."""
         total, n = np.zeros(len(self.langs)), 0
+        if not self.langs:
+            return total, n
         for piece in _pieces(text or ""):
             distinct, times = np.unique(piece, return_counts=True)
             total -= times @ self.score(distinct).astype(np.float64)
@@ -216,15 +218,21 @@ def _measure(rows: DataFrame, models, keep: list[str]) -> DataFrame:
 
 
 def train(labelled: DataFrame, model_rows: int = MODEL_ROWS, calibration_rows: int = CALIBRATION_ROWS) -> Models:
-    """Models from all rows (doc_id, lang, text); rows without language or letters teach nothing."""
-    counts = cut_lineage(count_grams(labelled.filter("lang IS NOT NULL")))
+    """Models from rows (doc_id, lang, text); rows without language or letters teach nothing.
+
+    A tenth of the rows, at most calibration_rows of them, is kept from the counts and measures what the models say of
+    texts they have not seen.
+    """
+    labelled = labelled.filter("lang IS NOT NULL")
+    apart = F.pmod(F.xxhash64(F.lit(9), "doc_id", "lang"), F.lit(10)) == 0
+    counts = cut_lineage(count_grams(labelled.filter(~apart)))
     table = bounded_counts(counts, model_rows)
     if table.empty:
         return Models([], [], [], [], [])
     model = build(table)
-    n = labelled.filter("lang IS NOT NULL").count()
-    cut = int(min(1.0, calibration_rows / n) * (1 << 31))
-    sample = labelled.filter(F.col("lang").isNotNull() & (F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 31)) < cut))
+    measuring = labelled.filter(apart)
+    cut = int(min(1.0, calibration_rows / max(1, measuring.count())) * (1 << 31))
+    sample = measuring.filter(F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 31)) < cut)
     shared = labelled.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
