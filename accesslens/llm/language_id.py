@@ -28,6 +28,8 @@ MODEL_ROWS = 1_500_000
 CALIBRATION_ROWS = 4_000
 #: Share of calibration rows that the rejection limit keeps, and how far beyond it lies.
 KEEP_SHARE, MARGIN = 0.999, 2.5
+#: So much above its language's centre, in nats a character and in such spreads, a long text is never rejected.
+LEAST_SPREAD, LEAST_LIMIT = 0.1, 8.0
 #: Characters scored at once.
 CHUNK = 1 << 19
 
@@ -255,9 +257,9 @@ def train(labelled: DataFrame, model_rows: int = MODEL_ROWS, calibration_rows: i
         own = each[rows, true]
         by_lang = [own[true == j] if (true == j).any() else own for j in range(len(model.langs))]
         model.centre = np.array([np.median(x) for x in by_lang])
-        model.spread = np.array([max(1.4826 * np.median(np.abs(x - np.median(x))), 0.02) for x in by_lang])
+        model.spread = np.array([max(1.4826 * np.median(np.abs(x - np.median(x))), LEAST_SPREAD) for x in by_lang])
         far = (own - model.centre[true]) / (model.spread[true] * np.array([model.odds(k) for k in n]))
-        model.limit = float(max(3.0, MARGIN * np.quantile(far, KEEP_SHARE)))
+        model.limit = float(max(LEAST_LIMIT, MARGIN * np.quantile(far, KEEP_SHARE)))
     shared.unpersist()
     return model
 
