@@ -7,7 +7,7 @@ text.  A state inherits its exits from the right part of its token as of the tim
 the left part, so a transition is decided by the gadgets on these two chains and kept in a table once it was asked for.
 
 The arcs' labels are bytes.  A word is encoded by running the automaton over the arcs that spell it: each prefix of a
-word has one accepted sequence, so one arc is kept for each end.  Decoding emits the labels of the arcs.
+word has at most one accepted sequence, so no place is tried twice.  Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -29,8 +29,9 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 _SPACE = r"\t-\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 #: Words and transitions that a task keeps; beyond, the table is emptied and filled anew.
-TABLE_ROWS = 400_000
+TABLE_ROWS = 500_000
 _NEVER = 1 << 60
+_MARKS = frozenset(".,;:?!")
 
 
 def _letters() -> dict[str, int]:
@@ -54,71 +55,86 @@ class Automaton:
         self.enters, self.leaves, self.born, self.cut = {}, {}, {}, {}
         for time, pair in enumerate(merges):
             self._insert(time, *(vocab[p] for p in pair), vocab["".join(pair)])
-        self.arc, self.ends, nodes = {}, {0: -1}, itertools.count(1)
-        for token in vocab.values():
-            node = 0
-            for byte in self.label[token]:
-                node = self.arc.setdefault((node << 8) | byte, None) or self._grow((node << 8) | byte, next(nodes))
-            self.ends[node] = token
+        self.arc = {self.label[token]: token for token in vocab.values()}
+        self.longest = [0] * 256
+        for label in self.arc:
+            self.longest[label[0]] = max(self.longest[label[0]], len(label))
         self.follows: dict[int, bool] = {}
+        self.left_parts, self.right_parts = {}, {}
         self.split = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.words = regex.compile(PATTERN)
-        self.known = _Known(self)
-
-    def _grow(self, key: int, node: int) -> int:
-        self.arc[key] = node
-        return node
+        self.long_blank = regex.compile(rf"[{_SPACE}] [{_SPACE}]|[{_SPACE}] \Z")
+        self.known = _Known(lambda word: self.encode_word(word.encode()))
+        self.spaced = _Known(self._after_blank)
 
     def _insert(self, time: int, u: int, v: int, w: int) -> None:
         """The gadget of one merge."""
-        self.cut.setdefault((u, v), time)
+        self.cut.setdefault(u, {}).setdefault(v, time)
         self.enters.setdefault(w, u)
         self.leaves.setdefault(w, v)
         self.born.setdefault(w, time)
 
-    def may_follow(self, a: int, b: int) -> bool:
-        """Whether arc b leaves the state of a: no gadget cut the parts that met before they became longer tokens."""
-        until, x = _NEVER, a
-        while True:
-            open_until, y = _NEVER, b
+    def _chain(self, known: dict, parts: dict[int, int], token: int) -> list[tuple[int, int]]:
+        """A token's outer parts on one side, each with the time until which it stood alone there."""
+        if token not in known:
+            chain, until, part = [], _NEVER, token
             while True:
-                time = self.cut.get((x, y), _NEVER)
-                if time < until and time <= open_until and time < _NEVER:
-                    return False
-                if y not in self.born:
+                chain.append((part, until))
+                if part not in self.born:
                     break
-                open_until, y = self.born[y], self.enters[y]
-            if x not in self.born:
-                return True
-            until, x = self.born[x], self.leaves[x]
+                until, part = self.born[part], parts[part]
+            known[token] = chain
+        return known[token]
+
+    def may_follow(self, a: int, b: int) -> bool:
+        """Whether arc b leaves the state of a: no gadget cut the parts that met before they became longer tokens."""
+        lefts = self._chain(self.left_parts, self.enters, b)
+        for x, until in self._chain(self.right_parts, self.leaves, a):
+            cuts = self.cut.get(x)
+            if cuts:
+                for y, open_until in lefts:
+                    time = cuts.get(y)
+                    if time is not None and time < until and time <= open_until:
+                        return False
+        return True
 
     def encode_word(self, word: bytes) -> tuple[int, ...]:
-        n, arc, ends, follows = len(word), self.arc, self.ends, self.follows
-        last = [-1] * (n + 1)
-        for at in range(n):
-            state, node = last[at], 0
-            for end in range(at + 1, n + 1):
-                node = arc.get((node << 8) | word[end - 1])
-                if node is None:
-                    break
-                token = ends.get(node, -1)
-                if token < 0 or last[end] >= 0:
-                    continue
-                if at:
+        """Run the automaton, the longest arc first, back from places whence the end can't be reached.
+
+        Only one sequence is accepted up to a place, so a place once left need not be tried again.
+        """
+        n, arc, follows, longest = len(word), self.arc, self.follows, self.longest
+        whole = arc.get(word)
+        if whole is not None:
+            return (whole,)
+        at, state, end = 0, -1, min(n, longest[word[0]])
+        out, before, dead = [], [], set()
+        while True:
+            token = None
+            while end > at:
+                token = arc.get(word[at:end])
+                if token is not None and end not in dead:
+                    if state < 0:
+                        break
                     key = state << 20 | token
                     ok = follows.get(key)
                     if ok is None:
                         if len(follows) >= TABLE_ROWS:
                             follows.clear()
                         ok = follows[key] = self.may_follow(state, token)
-                    if not ok:
-                        continue
-                last[end] = token
-        out = []
-        while n:
-            out.append(last[n])
-            n -= len(self.label[last[n]])
-        return tuple(reversed(out))
+                    if ok:
+                        break
+                end -= 1
+            if end > at:
+                out.append(token)
+                if end == n:
+                    return tuple(out)
+                before.append((at, state, end - 1))
+                at, state, end = end, token, min(n, end + longest[word[end]])
+            else:
+                dead.add(at)
+                at, state, end = before.pop()
+                out.pop()
 
     def encode(self, text: str) -> Iterator[int]:
         if self.split and self.split.search(text):
@@ -130,6 +146,21 @@ class Automaton:
         return self.encode_plain(text)
 
     def encode_plain(self, text: str) -> Iterator[int]:
+        """Text between special tokens: words are looked up from blank to blank where each such blank begins a word."""
+        if self.long_blank.search(text):
+            return self._pieces(text)
+        first, *rest = text.split(" ")
+        return itertools.chain(self._pieces(first), itertools.chain.from_iterable(map(self.spaced.__getitem__, rest)))
+
+    def _after_blank(self, word: str) -> tuple[int, ...]:
+        """A blank and what follows up to the next: letters are one word, and a mark behind them another."""
+        if word.isalpha():
+            return self.encode_word((" " + word).encode())
+        if word[-1:] in _MARKS and word[:-1].isalpha():
+            return self.spaced[word[:-1]] + self.known[word[-1]]
+        return tuple(self._pieces(" " + word))
+
+    def _pieces(self, text: str) -> Iterator[int]:
         return itertools.chain.from_iterable(map(self.known.__getitem__, self.words.findall(text)))
 
     def decode(self, ids) -> str:
@@ -139,13 +170,13 @@ class Automaton:
 class _Known(dict):
     """Words encoded so far."""
 
-    def __init__(self, automaton: Automaton):
-        self.automaton = automaton
+    def __init__(self, encode):
+        self.encode = encode
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= TABLE_ROWS:
             self.clear()
-        ids = self.automaton.encode_word(word.encode())
+        ids = self.encode(word)
         if len(word) <= 64:
             self[word] = ids
         return ids
