@@ -55,6 +55,7 @@ class Lexicon:
                 node = self.next[node][letter]
                 self.reach[node] = max(self.reach[node], edits)
             self.final[node] = (term, term.endswith("*")) if self.final[node] is None or not term.endswith("*") else self.final[node]
+        self.words: dict[str, tuple[str, int] | None] = {}
         self._fresh()
 
     def _fresh(self):
@@ -62,7 +63,6 @@ class Lexicon:
         self.sets: list[frozenset] = []
         self.accept: list[tuple[str, int] | None] = []
         self.table: dict[tuple[int, str], int] = {}
-        self.words: dict[str, tuple[str, int] | None] = {}
         self.start = self._state({(0, 0)})
 
     def _state(self, items) -> int:
@@ -102,7 +102,9 @@ class Lexicon:
         """The term that the word is, its edits; a word without such a term may begin with a stem (edits -1)."""
         if word in self.words:
             return self.words[word]
-        if len(self.words) >= TABLE_ROWS or len(self.table) >= TABLE_ROWS:
+        if len(self.words) >= TABLE_ROWS:
+            self.words.clear()
+        if len(self.table) >= TABLE_ROWS:
             self._fresh()
         state, node, stem = self.start, 0, None
         for letter in word:
@@ -126,7 +128,8 @@ class Lexicon:
         out = np.zeros(len(FACTS))
         lower = (text or "").lower()
         words = _WORD.findall(lower)
-        hits = {w for w in set(words) if self.find(w)} if self.terms else set()
+        known = self.words
+        hits = {w for w in set(words) if (known[w] if w in known else self.find(w))} if self.terms else set()
         if not hits:
             return out
         marks = [m.start() for m in _MARKS.finditer(lower)]
