@@ -1,37 +1,40 @@
 """Language identification by interpolated Kneser-Ney models of characters, one for each language.
 
 Four-grams of normalised text (lower case, each run of non-letters one blank) are counted in Spark over all labelled
-training rows; the shorter orders follow from their types.  A model is a set of sorted arrays: the n-gram's 64-bit code
-(16 bits a character, code points folded), and beside it the fully interpolated log probability in each language, and
-the back-off weight of each context.  A text gets the language of the lowest cross-entropy per character.  The
+training rows; the shorter orders follow from their types, and the discounts from all of them.  A model is a set of sorted arrays:
+the n-gram's 64-bit code (16 bits a character, code points folded), and beside it the fully interpolated log probability
+in each language, and the back-off weight of each context.  No n-gram is left out: they are dealt by their second and
+third last characters into as many parts as their number asks for, a part has all that its n-grams look up, and a task
+holds one part at a time.  A text gets the language of the lowest cross-entropy per character.  The
 temperature of the reported probability and the rejection limit are calibrated on labelled rows.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from accesslens.session import cut_lineage
+from accesslens.session import cut_lineage, scratch_path
 
 ORDER = 4
-#: Bound on the n-grams that a model holds over all languages; rarer ones are left out by count.
-MODEL_ROWS = 1_500_000
+#: N-grams of a part of the models over all languages, and its cells (n-grams times languages).
+PART_ROWS, PART_CELLS = 1_500_000, 1 << 24
 #: Bound on the labelled rows that calibrate temperature and rejection.
 CALIBRATION_ROWS = 4_000
 #: Share of calibration rows that the rejection limit keeps, and how far beyond it lies.
 KEEP_SHARE, MARGIN = 0.999, 2.5
 #: So much above its language's centre, in nats a character and in such spreads, a long text is never rejected.
 LEAST_SPREAD, LEAST_LIMIT = 0.1, 8.0
-#: Characters scored at once.
-CHUNK = 1 << 19
+#: Characters scored at once, and how many times as many are held while the parts take turns.
+CHUNK, HELD = 1 << 19, 8
 
 
 @functools.cache
@@ -107,72 +110,142 @@ class Models:
     logp: list[np.ndarray]
     contexts: list[np.ndarray]
     back: list[np.ndarray]
-    temperature: float = 1.0
-    centre: np.ndarray | None = None
-    spread: np.ndarray | None = None
-    limit: float = np.inf
 
     def score(self, key: np.ndarray, order: int = ORDER) -> np.ndarray:
         """Log probability of each n-gram's last character in each language."""
-        known = self.keys[order - 1]
-        at = np.minimum(np.searchsorted(known, key), len(known) - 1)
-        out = self.logp[order - 1][at]
-        new = known[at] != key
+        out = np.empty((len(key), len(self.langs)), np.float32)
+        at, new = _look_up(self.keys[order - 1], key)
+        out[~new] = self.logp[order - 1][at[~new]]
         if new.any():
             rest = key[new]
             if order == 1:
                 out[new] = self.back[0][0]
             else:
-                context, weights = self.contexts[order - 1], self.back[order - 1]
-                c = rest >> np.uint64(16)
-                i = np.minimum(np.searchsorted(context, c), len(context) - 1)
-                back = np.where((context[i] == c)[:, None], weights[i], 0)
-                out[new] = back + self.score(rest & np.uint64((1 << (16 * (order - 1))) - 1), order - 1)
+                i, other = _look_up(self.contexts[order - 1], rest >> np.uint64(16))
+                back = np.zeros((len(rest), len(self.langs)), np.float32)
+                back[~other] = self.back[order - 1][i[~other]]
+                out[new] = back + self.score(rest & _mask(order - 1), order - 1)
         return out
 
-    def entropies(self, text: str | None) -> tuple[np.ndarray, int]:
-        """Cross-entropy per character in each language, and the characters scored."""
-        total, n = np.zeros(len(self.langs)), 0
-        if not self.langs:
-            return total, n
-        for piece in _pieces(text or ""):
-            distinct, times = np.unique(piece, return_counts=True)
-            total -= times @ self.score(distinct).astype(np.float64)
-            n += len(piece)
-        return total / max(n, 1), n
-
-    def odds(self, n: int) -> float:
-        return float(np.sqrt(1 + 200 / max(n, 1)))
-
-
-def build(counts: pd.DataFrame) -> Models:
-    """Interpolated Kneser-Ney models from (lang, gram, n): n for the longest order, numbers of types below."""
-    langs = sorted(counts["lang"].unique())
-    tables = []  # by order, longest first: for each language its sorted keys and counts
-    top = {lang: part.sort_values("key") for lang, part in counts.assign(key=counts["gram"].to_numpy(np.int64).view(np.uint64)).groupby("lang")}
-    tables.append([(top[x]["key"].to_numpy(), top[x]["n"].to_numpy(np.float64)) for x in langs])
-    for order in range(ORDER - 1, 0, -1):
-        mask = np.uint64((1 << (16 * order)) - 1)
-        tables.append([tuple(np.unique(keys & mask, return_counts=True)) for keys, _ in tables[-1]])
+
+def _mask(order: int) -> np.uint64:
+    return np.uint64((1 << (16 * order)) - 1)
+
+
+def _look_up(known: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each key among the sorted known ones, and which of them are not there."""
+    if not len(known):
+        return np.zeros(len(key), np.int64), np.ones(len(key), bool)
+    at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+    return at, known[at] != key
+
+
+def part_of(key, parts: int):
+    """The part of n-grams of order 3 or 4, by the two characters before the last; a column or an array of longs."""
+    if isinstance(key, Column):
+        mixed = F.shiftright(key, 16).bitwiseAND(F.lit(0xFFFFFFFF)) * F.lit(0x5BD1E995)
+        return F.pmod(F.shiftright(mixed, 16).bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(parts)).cast("int")
+    mixed = ((key.view(np.int64) >> 16) & 0xFFFFFFFF) * 0x5BD1E995
+    return ((mixed >> 16) & 0xFFFFFFFF) % parts
+
+
+def odds(n):
+    return np.sqrt(1 + 200 / np.maximum(n, 1))
+
+
+@dataclass
+class Identifier:
+    """The broadcast parts of the models, and what calibration found."""
+
+    langs: list[str]
+    parts: list[Broadcast]
+    temperature: float = 1.0
+    centre: np.ndarray | None = None
+    spread: np.ndarray | None = None
+    limit: float = np.inf
+
+    def entropies(self, texts: Iterable[str | None], count: int) -> tuple[np.ndarray, np.ndarray]:
+        """Cross-entropy per character of each of count texts in each language, and the characters scored."""
+        total, n = np.zeros((count, len(self.langs))), np.zeros(count, np.int64)
+        held: list[tuple] = []
+        size = 0
+        for i, text in enumerate(texts):
+            for piece in _pieces(text or ""):
+                n[i] += len(piece)
+                if not self.parts:
+                    continue
+                distinct, times = np.unique(piece, return_counts=True)
+                held.append((distinct, times, np.full(len(distinct), i)))
+                size += len(distinct)
+                if size >= CHUNK * min(HELD, len(self.parts)):
+                    self._add(total, *map(np.concatenate, zip(*held)))
+                    held, size = [], 0
+        if held:
+            self._add(total, *map(np.concatenate, zip(*held)))
+        return total / np.maximum(n, 1)[:, None], n
+
+    def _add(self, total: np.ndarray, key: np.ndarray, times: np.ndarray, who: np.ndarray) -> None:
+        part = part_of(key, len(self.parts))
+        step = max(1, min(CHUNK, (1 << 23) // len(self.langs)))
+        for p, shared in enumerate(self.parts):
+            mine = np.flatnonzero(part == p)
+            if not len(mine):
+                continue
+            model = shared.value
+            for start in range(0, len(mine), step):
+                at = mine[start:start + step]
+                row = who[at]
+                edge = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+                total[row[edge]] -= np.add.reduceat(model.score(key[at]) * times[at, None].astype(np.float64), edge, axis=0)
+            if len(self.parts) > 1:
+                del model, shared._value  # one part at a time in memory; it is read again from the worker's file
+
+    def far(self, each: np.ndarray, n: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        """How far beyond the centre of its language each text lies, in spreads for its length."""
+        return (each[np.arange(len(each)), lang] - self.centre[lang]) / (self.spread[lang] * odds(n))
+
+
+def _discount(ones: int, twos: int) -> float:
+    return ones / (ones + 2 * twos) if ones and twos else 0.5
+
+
+def build(counts: pd.DataFrame, lower: list[pd.DataFrame] | None = None, langs: list[str] | None = None, discounts: list[dict[str, float]] | None = None) -> Models:
+    """Interpolated Kneser-Ney models from (lang, gram, n): n for the longest order, numbers of types below.
+
+    Without the other arguments they follow from counts.  For one part of the n-grams pass the tables of the shorter
+    orders, longest first, all languages, and the discounts of each order and language, longest first, over all parts.
+    """
+    langs = sorted(counts["lang"].unique()) if langs is None else langs
+
+    def table(rows):
+        by_lang = dict(iter(rows.assign(key=rows["gram"].to_numpy(np.int64).view(np.uint64)).groupby("lang")))
+        none = np.empty(0, np.uint64), np.empty(0)
+        sort = {x: by_lang[x].sort_values("key") for x in langs if x in by_lang}
+        return [(sort[x]["key"].to_numpy(), sort[x]["n"].to_numpy(np.float64)) if x in sort else none for x in langs]
+
+    tables = [table(counts)]  # by order, longest first: for each language its sorted keys and counts
+    for i, order in enumerate(range(ORDER - 1, 0, -1)):
+        tables.append([tuple(np.unique(keys & _mask(order), return_counts=True)) for keys, _ in tables[-1]] if lower is None else table(lower[i]))
+    if discounts is None:
+        discounts = [{x: _discount((n == 1).sum(), (n == 2).sum()) for x, (_, n) in zip(langs, t)} for t in tables]
     model = Models(langs, [], [], [], [])
-    for order, table in enumerate(reversed(tables), start=1):
-        keys = np.unique(np.concatenate([k for k, _ in table]))
+    for order, table_of in enumerate(reversed(tables), start=1):
+        keys = np.unique(np.concatenate([k for k, _ in table_of]))
         context = np.unique(keys >> np.uint64(16)) if order > 1 else np.zeros(1, np.uint64)
         logp, back = np.empty((len(keys), len(langs)), np.float32), np.zeros((len(context), len(langs)), np.float32)
         if order > 1:
-            lower = np.exp(model.score(keys & np.uint64((1 << (16 * (order - 1))) - 1), order - 1).astype(np.float64))
+            shorter = model.score(keys & _mask(order - 1), order - 1)
         else:
-            lower = np.full((len(keys), len(langs)), 1 / (len(keys) + 1))
-        for j, (own, n) in enumerate(table):
-            ones, twos = (n == 1).sum(), (n == 2).sum()
-            discount = ones / (ones + 2 * twos) if ones and twos else 0.5
+            shorter = np.full((len(keys), len(langs)), np.log(1 / (len(keys) + 1)))
+        place = np.searchsorted(context, keys >> np.uint64(16)) if order > 1 else np.zeros(len(keys), int)
+        for j, (own, n) in enumerate(table_of):
+            discount = discounts[ORDER - order][langs[j]]
             at = np.searchsorted(context, own >> np.uint64(16)) if order > 1 else np.zeros(len(own), int)
             total, kinds = np.bincount(at, n, len(context)), np.bincount(at, minlength=len(context))
             weight = np.where(total > 0, discount * kinds / np.maximum(total, 1e-9), 1.0)
             share = np.zeros(len(keys))
             share[np.searchsorted(keys, own)] = np.maximum(n - discount, 0) / total[at]
-            place = np.searchsorted(context, keys >> np.uint64(16)) if order > 1 else np.zeros(len(keys), int)
-            logp[:, j] = np.log(share + weight[place] * lower[:, j])
+            logp[:, j] = np.log(share + weight[place] * np.exp(shorter[:, j].astype(np.float64)))
             back[:, j] = np.log(weight)
         if order == 1:
             back -= np.float32(np.log(len(keys) + 1))
@@ -180,36 +253,53 @@ def build(counts: pd.DataFrame) -> Models:
     return model
 
 
-def bounded_counts(counts: DataFrame, most: int = MODEL_ROWS) -> pd.DataFrame:
-    """The counts, without those below the least power of two that leaves at most `most` of them.
-
-    Only a histogram by the logarithm of the count and what stays are gathered.
-    """
-    sizes = {int(r["bits"]): r["k"] for r in counts.groupBy(F.floor(F.log2("n")).alias("bits")).agg(F.count("*").alias("k")).collect()}
-    held, least = 0, 0
-    for bits in sorted(sizes, reverse=True):
-        if held + sizes[bits] > most:
-            least = bits + 1
-            break
-        held += sizes[bits]
-    return counts.filter(F.col("n") >= (1 << least)).toPandas()
-
-
-def _measure(rows: DataFrame, models, keep: list[str]) -> DataFrame:
-    """Add lang_pred, entropy, score, accepted to the columns in keep; models is broadcast."""
+def learn(counts: DataFrame, part_rows: int = PART_ROWS, part_cells: int = PART_CELLS) -> Identifier:
+    """Broadcast the models of all n-grams in counts (lang, gram, n), part by part."""
+    spark = counts.sparkSession
+    orders = [cut_lineage(counts)]
+    for order in range(ORDER - 1, 0, -1):
+        suffix = F.col("gram").bitwiseAND(F.lit((1 << (16 * order)) - 1)).alias("gram")
+        orders.append(cut_lineage(orders[-1].groupBy("lang", suffix).agg(F.count("*").alias("n"))))
+    facts = [df.groupBy("lang").agg(F.count("*").alias("all"), F.count_if(F.col("n") == 1).alias("ones"), F.count_if(F.col("n") == 2).alias("twos")).collect() for df in orders]
+    langs = sorted(r["lang"] for r in facts[0])
+    if not langs:
+        return Identifier([], [])
+    discounts = [{r["lang"]: _discount(r["ones"], r["twos"]) for r in of_order} for of_order in facts]
+    rows = sum(r["all"] for r in facts[0])
+    parts = max(1, -(-rows // part_rows), -(-rows * len(langs) // part_cells))
+    short = [df.toPandas() for df in orders[2:]]
+    if parts > 1:
+        paths = [scratch_path(spark, "grams") for _ in range(2)]
+        for df, path in zip(orders[:2], paths):
+            df.withColumn("part", part_of(F.col("gram"), parts)).write.partitionBy("part").parquet(path)
+        schema = "lang string, gram long, n long, part int"
+        of_part = [spark.read.schema(schema).parquet(path) for path in paths]
+    shared = []
+    for p in range(parts):
+        longest, longer = [df.filter(F.col("part") == p).drop("part").toPandas() for df in of_part] if parts > 1 else [df.toPandas() for df in orders[:2]]
+        shared.append(spark.sparkContext.broadcast(build(longest, [longer, *short], langs, discounts)))
+    return Identifier(langs, shared)
+
+
+def _texts(column: pa.Array) -> Iterator[str | None]:
+    return (text.as_py() for text in column)
+
+
+def _measure(rows: DataFrame, model: Identifier, keep: list[str]) -> DataFrame:
+    """Add lang_pred, entropy, score, accepted to the columns in keep."""
     def run(batches):
-        model = models.value
         for batch in batches:
+            each, n = model.entropies(_texts(batch.column(len(keep))), batch.num_rows)
+            known = (n > 0) & bool(model.langs)
+            best = each.argmin(axis=1) if model.langs else np.zeros(len(n), np.int64)
+            far = model.far(each, n, best) if model.centre is not None else np.zeros(len(n))
             out = []
-            for text in batch.column(len(keep)):
-                each, n = model.entropies(text.as_py())
-                if not n or not model.langs:
+            for i in range(len(n)):
+                if not known[i]:
                     out.append(("und", None, 0.0, False))
                     continue
-                best = int(np.argmin(each))
-                gap = (each - each[best]) * min(n, 400) / model.temperature
-                far = (each[best] - model.centre[best]) / (model.spread[best] * model.odds(n)) if model.centre is not None else 0.0
-                out.append((model.langs[best], float(each[best]), float(1 / np.exp(-gap).sum()), bool(far <= model.limit)))
+                gap = (each[i] - each[i, best[i]]) * min(n[i], 400) / model.temperature
+                out.append((model.langs[best[i]], float(each[i, best[i]]), float(1 / np.exp(-gap).sum()), bool(far[i] <= model.limit)))
             names = ["lang_pred", "entropy", "score", "accepted"]
             types = [pa.string(), pa.float64(), pa.float64(), pa.bool_()]
             cols = [pa.array([o[i] for o in out], t) for i, t in enumerate(types)]
@@ -219,7 +309,7 @@ def _measure(rows: DataFrame, models, keep: list[str]) -> DataFrame:
     return rows.select(*keep, "text").mapInArrow(run, f"{schema}, lang_pred string, entropy double, score double, accepted boolean")
 
 
-def train(labelled: DataFrame, model_rows: int = MODEL_ROWS, calibration_rows: int = CALIBRATION_ROWS) -> Models:
+def train(labelled: DataFrame, calibration_rows: int = CALIBRATION_ROWS, part_rows: int = PART_ROWS, part_cells: int = PART_CELLS) -> Identifier:
     """Models from rows (doc_id, lang, text); rows without language or letters teach nothing.
 
     A tenth of the rows, at most calibration_rows of them, is kept from the counts and measures what the models say of
@@ -227,21 +317,17 @@ def train(labelled: DataFrame, model_rows: int = MODEL_ROWS, calibration_rows: i
     """
     labelled = labelled.filter("lang IS NOT NULL")
     apart = F.pmod(F.xxhash64(F.lit(9), "doc_id", "lang"), F.lit(10)) == 0
-    counts = cut_lineage(count_grams(labelled.filter(~apart)))
-    table = bounded_counts(counts, model_rows)
-    if table.empty:
-        return Models([], [], [], [], [])
-    model = build(table)
+    model = learn(count_grams(labelled.filter(~apart)), part_rows, part_cells)
+    if not model.langs:
+        return model
     measuring = labelled.filter(apart)
     cut = int(min(1.0, calibration_rows / max(1, measuring.count())) * (1 << 31))
     sample = measuring.filter(F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 31)) < cut)
-    shared = labelled.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
-            found = [(lang, *shared.value.entropies(text)) for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            found = [f for f in found if f[2]]
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([list(map(float, f[1])) for f in found], pa.list_(pa.float64())), pa.array([f[2] for f in found], pa.int64())], ["lang", "each", "n"])
+            each, n = model.entropies(_texts(batch.column(1)), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(each.tolist(), pa.list_(pa.float64())), pa.array(n)], ["lang", "each", "n"]).filter(pa.array(n > 0))
 
     seen = sample.select("lang", "text").mapInArrow(run, "lang string, each array<double>, n long").toPandas()
     seen = seen[seen["lang"].isin(model.langs)]
@@ -258,9 +344,7 @@ def train(labelled: DataFrame, model_rows: int = MODEL_ROWS, calibration_rows: i
         by_lang = [own[true == j] if (true == j).any() else own for j in range(len(model.langs))]
         model.centre = np.array([np.median(x) for x in by_lang])
         model.spread = np.array([max(1.4826 * np.median(np.abs(x - np.median(x))), LEAST_SPREAD) for x in by_lang])
-        far = (own - model.centre[true]) / (model.spread[true] * np.array([model.odds(k) for k in n]))
-        model.limit = float(max(LEAST_LIMIT, MARGIN * np.quantile(far, KEEP_SHARE)))
-    shared.unpersist()
+        model.limit = float(max(LEAST_LIMIT, MARGIN * np.quantile(model.far(each, n, true), KEEP_SHARE)))
     return model
 
 
@@ -279,24 +363,21 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     model = train(rows.filter(~F.col("held_out")).select("doc_id", "lang", "text"))
-    return _measure(rows, docs.sparkSession.sparkContext.broadcast(model), ["doc_id", "held_out"])
+    return _measure(rows, model, ["doc_id", "held_out"])
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs that identify accepts, all columns unchanged; the text is scored in the same pass."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     model = train(rows.filter(~held_out(F.col("doc_id"))))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
+    at = docs.columns.index(text_col)
 
     def run(batches):
-        model = shared.value
         for batch in batches:
-            mask = []
-            for text in batch.column(names.index(text_col)):
-                each, n = model.entropies(text.as_py())
-                best = int(np.argmin(each)) if n and model.langs else -1
-                mask.append(best >= 0 and (model.centre is None or (each[best] - model.centre[best]) / (model.spread[best] * model.odds(n)) <= model.limit))
+            each, n = model.entropies(_texts(batch.column(at)), batch.num_rows)
+            mask = (n > 0) & bool(model.langs)
+            if model.centre is not None:
+                mask &= model.far(each, n, each.argmin(axis=1)) <= model.limit
             yield batch.filter(pa.array(mask, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

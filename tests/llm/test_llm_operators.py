@@ -325,6 +325,31 @@ def test_language_id(odd, empty, spark):
     assert {x["lang_pred"] for x in nothing} == {"und"}
 
 
+def test_rare_language_beside_a_large_one(spark):
+    r = np.random.default_rng(7)
+    wide = [chr(c) for c in [*range(0x61, 0x7B), *range(0x430, 0x450)]]
+    rows = [(i, "".join(r.choice(wide, 80_000)), "many") for i in range(34)]
+    signs = [chr(c) for c in range(0x4E00, 0x4F90)]
+    rows += [(1000 + i, signs[i] + "".join(r.choice(signs, 50)), "rare") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    found = language_id.identify(docs).filter("doc_id >= 1000").collect()
+    assert len(found) == 30 and all(x["lang_pred"] == "rare" for x in found)
+
+
+def test_parts_of_a_model_are_the_whole(odd, monkeypatch):
+    labelled = odd.select("doc_id", "lang", "text")
+    whole, cut = language_id.train(labelled), language_id.train(labelled, part_rows=500)
+    assert len(whole.parts) == 1 and len(cut.parts) > 5
+    texts = [r["text"] for r in labelled.collect()]
+    want, n = whole.entropies(texts, len(texts))
+    monkeypatch.setattr(language_id, "CHUNK", 64)
+    got, m = cut.entropies(texts, len(texts))
+    assert (n == m).all() and np.allclose(got, want, atol=1e-4) and abs(cut.limit - whole.limit) < 1e-2
+    counted = language_id.count_grams(labelled.filter("lang IS NOT NULL")).toPandas()
+    alone, learnt = language_id.build(counted), language_id.learn(language_id.count_grams(labelled.filter("lang IS NOT NULL"))).parts[0].value
+    assert all((a == b).all() for a, b in zip(alone.keys, learnt.keys)) and all(np.allclose(a, b) for a, b in zip(alone.logp, learnt.logp))
+
+
 def test_lexicon_finds_misspelled_terms():
     lexicon = toxicity.Lexicon({"idiot": 5.0, "worthless": 4.0, "bad": 3.0, "lowe*": 2.0})
 
