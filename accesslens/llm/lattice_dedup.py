@@ -87,16 +87,16 @@ def unit_vectors(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
     return good, out
 
 
-def _signed(rows: DataFrame) -> DataFrame:
-    """(vec_id, digest): the digest of the unit vector, null if it can't link."""
+def _signed(rows: DataFrame, keep: str = "vec_id") -> DataFrame:
+    """The column keep and digest: the digest of the unit vector, null if it can't link."""
     def run(batches):
         for batch in batches:
             good, units = unit_vectors(batch.column(1))
             digest = np.full(batch.num_rows, None, object)
             digest[good] = [hashlib.blake2b(v.tobytes(), digest_size=16).digest() for v in units]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(digest), pa.binary())], ["vec_id", "digest"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(digest), pa.binary())], [keep, "digest"])
 
-    return rows.mapInArrow(run, f"vec_id {rows.schema['vec_id'].dataType.simpleString()}, digest binary")
+    return rows.select(keep, "embedding").mapInArrow(run, f"{keep} {rows.schema[keep].dataType.simpleString()}, digest binary")
 
 
 def _placed(rows: DataFrame, tables: int, probes: int, scale: float) -> DataFrame:
@@ -186,8 +186,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("embedding"))
     signed = cut_lineage(_signed(rows))
     groups = cut_lineage(signed.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("vec_id").alias("least"), F.count("*").alias("times")))
-    chosen = broadcast_if_small(groups.select(F.col("least").alias("_least"), "digest", "times"))
-    one = rows.join(chosen, F.col("vec_id").eqNullSafe(F.col("_least"))).select("embedding", "digest", "times")
+    one = cut_lineage(_signed(rows.select(F.col("embedding").alias("vector"), "embedding"), "vector").filter("digest IS NOT NULL")
+                      .groupBy("digest").agg(F.any_value("vector").alias("vector"), F.count("*").alias("times")).select("vector", "digest", "times"))
     blocks = in_block_pairs(_placed(one, tables, probes, scale), "cell", F.xxhash64("digest"), BLOCK_ROWS)
     verified = cut_lineage(_verified(blocks, least, tables, 1 + probes))
     reached = components(verified.select(F.col("digest").alias("a"), F.col("root").alias("b")))

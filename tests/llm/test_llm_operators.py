@@ -263,6 +263,21 @@ def test_lattice_dedup(spark, monkeypatch, block_rows):
     assert all(by_id[200 + i][2] == by_id[200][2] for i in range(30))
 
 
+@pytest.mark.parametrize("shared", [7, None])
+def test_lattice_dedup_of_different_vectors_under_one_id(spark, shared):
+    axes = np.eye(8)
+    near = [list(map(float, axes[i] + 1e-3 * axes[7])) for i in range(3)]
+    rows = [(shared, list(map(float, axes[i]))) for i in range(6)] + [(shared, list(map(float, axes[5])))] + [(100 + i, v) for i, v in enumerate(near)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = Counter(tuple(r)[:3] for r in lattice_dedup.near_vectors(frame).collect())
+    want = Counter({(shared, 0, shared): 2})
+    for i in range(3):
+        want[(shared, 1, shared or 100 + i)] += 1
+        want[(100 + i, 1, shared or 100 + i)] += 1
+    want[(shared, 1, shared)] += 2
+    assert got == want
+
+
 def test_lattice_dedup_of_nothing(spark):
     assert lattice_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
