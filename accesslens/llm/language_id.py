@@ -1,7 +1,7 @@
 """Language identification by interpolated Kneser-Ney models of characters, one for each language.
 
 Four-grams of normalised text (lower case, each run of non-letters one blank) are counted in Spark over all labelled
-training rows; the shorter orders follow from their types, and the discounts from all of them.  A model is a set of sorted arrays:
+training rows but the few that calibrate; the shorter orders follow from their types, and the discounts from all of them.  A model is a set of sorted arrays:
 the n-gram's 64-bit code (16 bits a character, code points folded), and beside it the fully interpolated log probability
 in each language, and the back-off weight of each context.  No n-gram is left out: they are dealt by their second and
 third last characters into as many parts as their number asks for, a part has all that its n-grams look up, and a task
@@ -312,17 +312,17 @@ def _measure(rows: DataFrame, model: Identifier, keep: list[str]) -> DataFrame:
 def train(labelled: DataFrame, calibration_rows: int = CALIBRATION_ROWS, part_rows: int = PART_ROWS, part_cells: int = PART_CELLS) -> Identifier:
     """Models from rows (doc_id, lang, text); rows without language or letters teach nothing.
 
-    A tenth of the rows, at most calibration_rows of them, is kept from the counts and measures what the models say of
-    texts they have not seen.
+    A tenth of the rows, but no more than about calibration_rows of them, is kept from the counts and measures what the
+    models say of texts they have not seen; all others are counted.
     """
     labelled = labelled.filter("lang IS NOT NULL")
-    apart = F.pmod(F.xxhash64(F.lit(9), "doc_id", "lang"), F.lit(10)) == 0
+    tenth = F.pmod(F.xxhash64(F.lit(9), "doc_id", "lang", "text"), F.lit(10)) == 0
+    cut = int(min(1.0, calibration_rows / max(1, labelled.filter(tenth).count())) * (1 << 31))
+    apart = tenth & (F.pmod(F.xxhash64("doc_id", "lang", "text"), F.lit(1 << 31)) < cut)
     model = learn(count_grams(labelled.filter(~apart)), part_rows, part_cells)
     if not model.langs:
         return model
-    measuring = labelled.filter(apart)
-    cut = int(min(1.0, calibration_rows / max(1, measuring.count())) * (1 << 31))
-    sample = measuring.filter(F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 31)) < cut)
+    sample = labelled.filter(apart)
 
     def run(batches):
         for batch in batches:

@@ -351,6 +351,15 @@ def test_rare_language_beside_a_large_one(spark):
     assert len(found) == 30 and all(x["lang_pred"] == "rare" for x in found)
 
 
+def test_only_calibration_rows_are_not_counted(spark, monkeypatch):
+    r = random.Random(12)
+    rows = [(i if i % 2 else None, "".join(r.choice("abcdefgh") for _ in range(20)), "en") for i in range(600)]
+    counted, learn = [], language_id.learn
+    monkeypatch.setattr(language_id, "learn", lambda counts, *rest: counted.append(counts.agg(F.sum("n")).first()[0]) or learn(counts, *rest))
+    language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), calibration_rows=5)
+    assert 580 <= counted[0] / 21 < 600
+
+
 def test_parts_of_a_model_are_the_whole(odd, monkeypatch):
     labelled = odd.select("doc_id", "lang", "text")
     whole, cut = language_id.train(labelled), language_id.train(labelled, part_rows=500)
