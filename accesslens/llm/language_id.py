@@ -344,7 +344,9 @@ def train(labelled: DataFrame, calibration_rows: int = CALIBRATION_ROWS, part_ro
         by_lang = [own[true == j] if (true == j).any() else own for j in range(len(model.langs))]
         model.centre = np.array([np.median(x) for x in by_lang])
         model.spread = np.array([max(1.4826 * np.median(np.abs(x - np.median(x))), LEAST_SPREAD) for x in by_lang])
-        model.limit = float(max(LEAST_LIMIT, MARGIN * np.quantile(model.far(each, n, true), KEEP_SHARE)))
+        right = each.argmin(axis=1) == true
+        if right.any():  # a wrong label tells nothing of the distance under the predicted language
+            model.limit = float(max(LEAST_LIMIT, MARGIN * np.quantile(model.far(each[right], n[right], true[right]), KEEP_SHARE)))
     return model
 
 
@@ -367,7 +369,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs that identify accepts, all columns unchanged; the text is scored in the same pass."""
+    """The rows of docs that identify accepts, all columns unchanged; the text is scored in the same pass.
+
+    If there is nothing to learn from, every text with a letter stays.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     model = train(rows.filter(~held_out(F.col("doc_id"))))
     at = docs.columns.index(text_col)
@@ -375,7 +380,7 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def run(batches):
         for batch in batches:
             each, n = model.entropies(_texts(batch.column(at)), batch.num_rows)
-            mask = (n > 0) & bool(model.langs)
+            mask = n > 0
             if model.centre is not None:
                 mask &= model.far(each, n, each.argmin(axis=1)) <= model.limit
             yield batch.filter(pa.array(mask, pa.bool_()))

@@ -360,6 +360,24 @@ def test_only_calibration_rows_are_not_counted(spark, monkeypatch):
     assert 580 <= counted[0] / 21 < 600
 
 
+def test_without_labels_texts_with_letters_stay(odd):
+    kept = language_id.keep_identified(odd.withColumn("lang", F.lit(None).cast("string")))
+    assert kept.count() == odd.filter(F.col("text").rlike("[a-zA-Z]")).count()
+
+
+def test_wrong_labels_do_not_widen_the_limit(spark, monkeypatch):
+    r = random.Random(13)
+    rows = []
+    for i in range(500):
+        text = " ".join("".join(r.choice(["abcdefgh", "stuvwxyz"][i % 2]) for _ in range(5)) for _ in range(40))
+        rows.append((i, text, ["xx", "yy"][i % 2]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learn(language_id.count_grams(docs))
+    monkeypatch.setattr(language_id, "learn", lambda *_: model)
+    wrong = docs.withColumn("lang", F.when(F.col("doc_id") % 10 == 0, "yy").otherwise(F.col("lang")))
+    assert language_id.train(wrong).limit < 15
+
+
 def test_parts_of_a_model_are_the_whole(odd, monkeypatch):
     labelled = odd.select("doc_id", "lang", "text")
     whole, cut = language_id.train(labelled), language_id.train(labelled, part_rows=500)
@@ -368,7 +386,7 @@ def test_parts_of_a_model_are_the_whole(odd, monkeypatch):
     want, n = whole.entropies(texts, len(texts))
     monkeypatch.setattr(language_id, "CHUNK", 64)
     got, m = cut.entropies(texts, len(texts))
-    assert (n == m).all() and np.allclose(got, want, atol=1e-4) and abs(cut.limit - whole.limit) < 1e-2
+    assert (n == m).all() and np.allclose(got, want, atol=1e-4) and np.isclose(cut.limit, whole.limit, atol=1e-2)
     counted = language_id.count_grams(labelled.filter("lang IS NOT NULL")).toPandas()
     alone, learnt = language_id.build(counted), language_id.learn(language_id.count_grams(labelled.filter("lang IS NOT NULL"))).parts[0].value
     assert all((a == b).all() for a, b in zip(alone.keys, learnt.keys)) and all(np.allclose(a, b) for a, b in zip(alone.logp, learnt.logp))
