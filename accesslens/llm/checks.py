@@ -27,5 +27,124 @@ FROM marked GROUP BY doc_id
 """
 
 
+OP11 = f"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce([n] || range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS steps
+  FROM range(256) r(n)),
+runs AS (
+  SELECT doc_id, run, count(*) AS times FROM (
+    SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[a-zÀ-ÿ]{{6,}}')) AS run FROM documents)
+  GROUP BY ALL),
+bytes AS (SELECT *, hex(encode(doc_id || ':' || run)) AS code FROM runs),
+hashed AS (
+  SELECT run, times, xor(list_reduce([4294967295] || list_transform(range(1, length(code), 2), lambda i: ('0x' || substr(code, i, 2))::BIGINT),
+                                     lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295) AS h
+  FROM bytes, crc_table),
+words AS (
+  SELECT word, sum(times)::BIGINT AS n FROM (
+    SELECT times, CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5),
+cut AS (
+  SELECT word, n, i, left(word, i - 1) || chr(1) || substr(word, i + 1) AS masked, left(word, i - 1) || substr(word, i + 1) AS shorter
+  FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.masked = b.masked AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.shorter = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.shorter = b.word),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS other, max(n) AS other_n FROM near GROUP BY word),
+forms AS (
+  SELECT w.word, CASE WHEN other_n >= 5 * n THEN other END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * n THEN other_n END AS form_n
+  FROM words w LEFT JOIN best USING (word)),
+paths AS (
+  SELECT word, coalesce(form, word) AS at FROM forms
+  UNION SELECT p.word, f.form FROM paths p JOIN forms f ON p.at = f.word WHERE f.form IS NOT NULL),
+roots AS (SELECT p.word, p.at AS root FROM paths p JOIN forms f ON p.at = f.word WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)
+"""
+
+OP12 = f"""
+WITH RECURSIVE rest AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parted AS (
+  SELECT page_id, {_LOWER.format("regexp_extract(rest, '(?s)^([^/?#]*)', 1)")} AS host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+marks AS (
+  SELECT doc_id, max((coalesce(toxic = 1, false) OR coalesce(quality = 0, false))::INT) AS bad FROM labels
+  WHERE toxic IS NOT NULL OR quality IS NOT NULL GROUP BY doc_id),
+counts AS (
+  SELECT host, count(doc_id)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS k
+  FROM parted LEFT JOIN marks ON doc_id = try_cast(nullif(regexp_extract(path, '^/[a-z]+/([0-9]+)', 1), '') AS BIGINT) GROUP BY host),
+labelled AS (SELECT *, string_split(regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*$', ''), '.') AS labels FROM counts),
+hosts AS (SELECT host, n, k, array_to_string(labels[-2:], '.') AS domain, labels[-1] AS suffix FROM labelled),
+level1 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT (sum(k) + 0.5) / (sum(n) + 1) FROM hosts) AS mean FROM hosts GROUP BY suffix),
+strength1 AS (SELECT {"{strength}"} AS s FROM level1),
+mean1 AS (SELECT suffix, (k + s * mean) / (n + s) AS mean FROM level1, strength1),
+level2 AS (SELECT domain, suffix, mean, sum(n) AS n, sum(k) AS k FROM hosts JOIN mean1 USING (suffix) GROUP BY ALL),
+strength2 AS (SELECT {"{strength}"} AS s FROM level2),
+mean2 AS (SELECT domain, (k + s * mean) / (n + s) AS mean FROM level2, strength2),
+level3 AS (SELECT host, n, k, mean FROM hosts JOIN mean2 USING (domain)),
+strength3 AS (SELECT {"{strength}"} AS s FROM level3),
+posterior AS (SELECT host, n::BIGINT AS n_outcomes, greatest(k + s * mean, 0.5) AS a, greatest(n - k + s * (1 - mean), 0.5) AS b FROM level3, strength3),
+turned AS (
+  SELECT host, n_outcomes, 0.3 >= (a + 1) / (a + b + 2) AS swap, exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * ln(0.3) + b * ln(0.7)) AS front,
+         CASE WHEN swap THEN b ELSE a END AS p, CASE WHEN swap THEN a ELSE b END AS q, CASE WHEN swap THEN 0.7 ELSE 0.3 END AS x FROM posterior),
+fraction AS (
+  SELECT host, 1 AS m, p, q, x, 1.0::DOUBLE AS c, 1 / (1 - (p + q) * x / (p + 1)) AS d, 1 / (1 - (p + q) * x / (p + 1)) AS h FROM turned
+  UNION ALL
+  SELECT host, m + 1, p, q, x, 1 + odd / c1, 1 / (1 + odd * d1), h * d1 * c1 * (1 + odd / c1) / (1 + odd * d1)
+  FROM (SELECT *, 1 / (1 + even * d) AS d1, 1 + even / c AS c1 FROM (
+          SELECT *, m * (q - m) * x / ((p + 2 * m - 1) * (p + 2 * m)) AS even, -(p + m) * (p + q + m) * x / ((p + 2 * m) * (p + 2 * m + 1)) AS odd FROM fraction))
+  WHERE m <= 100 + 5 * sqrt(greatest(p, q))),
+tails AS (
+  SELECT t.host, n_outcomes, CASE WHEN swap THEN front * h / t.p ELSE 1 - front * h / t.p END AS tail
+  FROM turned t JOIN (SELECT host, arg_max(h, m) AS h FROM fraction GROUP BY host) USING (host)),
+ruled AS (
+  SELECT page_id, host, path, CASE
+      WHEN ('.' || host) LIKE '%.example.org' AND path LIKE '/en/1%' THEN 'example.org/en/1'
+      WHEN ('.' || host) LIKE '%.example.org' AND path LIKE '/es/%' THEN 'example.org/es/'
+      WHEN ('.' || host) LIKE '%.com' AND path LIKE '/fr/%' THEN 'com/fr/'
+      WHEN ('.' || host) LIKE '%.com' AND path LIKE '/de/%' THEN 'com/de/'
+      WHEN ('.' || host) LIKE '%.org' AND path LIKE '/%' THEN 'org/' END AS rule
+  FROM parted)
+SELECT page_id, host, path, rule, n_outcomes, CASE
+    WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN tail >= 0.95 THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled JOIN tails USING (host)
+""".replace("{strength}", """CASE WHEN sum(n * (n - 1)) > 0 AND sum(CASE WHEN mean * (1 - mean) > 0 THEN (k - n * mean) ** 2 / (mean * (1 - mean)) - n ELSE 0 END) > 0
+    THEN greatest(1.0, least(10000.0, sum(n * (n - 1)) / sum(CASE WHEN mean * (1 - mean) > 0 THEN (k - n * mean) ** 2 / (mean * (1 - mean)) - n ELSE 0 END) - 1))
+    ELSE 10000.0 END""")
+
+OP13 = """
+WITH texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+marks AS (SELECT doc_id, max(coalesce(quality = 1, false)::INT) AS good, max(coalesce(toxic = 1, false)::INT) AS toxic FROM labels GROUP BY doc_id),
+facts AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         {'A': len(words) < 100, 'B': 100 * list_unique(words) < 80 * len(words),
+          'C': 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 10 * length(text), 'D': regexp_matches(text, '[#$%&*|]'),
+          'E': doc_id > min(doc_id) OVER (PARTITION BY text)} AS fails
+  FROM texts LEFT JOIN marks USING (doc_id)),
+groups AS (
+  SELECT part, fails.A::INT || fails.B::INT || fails.C::INT || fails.D::INT || fails.E::INT AS fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic
+  FROM facts GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.f NOT IN (b.f, c.f, d.f, e.f) AND b.f NOT IN (c.f, d.f, e.f) AND c.f NOT IN (d.f, e.f) AND d.f <> e.f),
+steps AS (SELECT filter_order, step::INT AS step, substr(filter_order, step, 1) AS f FROM orders, range(1, 6) r(step)),
+met AS (
+  SELECT g.part, s.filter_order, s.step, s.f, g.n, g.good, g.toxic, substr(g.fails, ascii(s.f) - 64, 1) = '1' AS fails,
+         len(list_filter(range(1, s.step), lambda i: substr(g.fails, ascii(substr(s.filter_order, i, 1)) - 64, 1) = '1')) > 0 AS before,
+         length(replace(g.fails, '0', '')) = 1 AS only_one
+  FROM groups g, steps s),
+summed AS (
+  SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (WHERE NOT fails AND NOT before), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (WHERE fails AND NOT before), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (WHERE fails AND before), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (WHERE fails AND only_one), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (WHERE fails AND NOT before), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (WHERE fails AND NOT before), 0)::BIGINT AS toxic_lost
+  FROM met GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM summed
+"""
+
+
 def llm_checks() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7, "op10_line_dedup": OP10}
+    return {"op7_exact_dedup": OP7, "op10_line_dedup": OP10, "op11_spelling_variants": OP11, "op12_host_reputation": OP12,
+            "op13_filter_audit": OP13}

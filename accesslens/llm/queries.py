@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accesslens.llm import bpe_automaton, exact_dedup, hilbert_shards, jaccard_join, language_id, lattice_dedup, line_dedup, mixing, quality, toxicity
+from accesslens.llm import (
+    bpe_automaton,
+    exact_dedup,
+    filter_audit,
+    hilbert_shards,
+    host_reputation,
+    jaccard_join,
+    language_id,
+    lattice_dedup,
+    line_dedup,
+    mixing,
+    quality,
+    spelling_variants,
+    toxicity,
+)
 from accesslens.llm.support import table
 
 
@@ -60,7 +74,21 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = host_reputation.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "n_outcomes")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [op1_lattice_dedup, op2_hilbert_shards, op3_toxicity, op4_language_id, op5_bpe_automaton, op6_pivotal_mixing,
-             op7_exact_dedup, op8_jaccard_join, op9_quality, op10_line_dedup]
+             op7_exact_dedup, op8_jaccard_join, op9_quality, op10_line_dedup,
+             op11_spelling_variants, op12_host_reputation, op13_filter_audit]
     return {f.__name__: f for f in named}
