@@ -17,6 +17,9 @@ SPACES = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that a broadcast may hold; all of them are ids and small numbers.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of rows that go to a Python worker at once.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _LOW33 = (1 << 33) - 1
 
 
@@ -24,6 +27,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to Python workers in batches of BATCH_BYTES, unless the session asks for smaller ones.
+
+    Spark's own bound on a batch, 64 MB, is held several times over in each task, in the JVM and in the worker.
+    """
+    now = spark.conf.get(_BATCH, "64m").lower().rstrip("b")
+    held = int(now.rstrip("kmg")) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now[-1], 1)
+    if held <= 0 or held > BATCH_BYTES:
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

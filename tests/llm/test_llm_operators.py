@@ -287,16 +287,70 @@ def path():
     return pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
 
 
-def test_automaton_encodes_as_the_library(path):
-    from tokenizers import Tokenizer
-    library, automaton = Tokenizer.from_file(path), bpe_automaton.compiled(open(path, "rb").read())
+def odd_texts():
     r = random.Random(2)
-    texts = ["", "a" * 999, "x<|endoftext|>y <|endoftext|>", "  \n\n x  ", " 　\x1c\x85 1", "I'm DON'T 'll", "\x00\x01"]
+    texts = ["", "a" * 999, "x<|endoftext|>y <|endoftext|>", "<|endoftext|>", "  \n\n x  ", " 　\x1c\x85 1", "I'm DON'T 'll", "\x00\x01", None, "'", "a'", "'s", " 's",
+             "\n's", "!'s", "'s's're'rex'vel'", "x'r", "e", "'", "s", "  ", " ", "\t", "\u00a0a \u00a0 a", "é'd À²½٣ 三"]
     texts += ["".join(r.choice("aehtn hewor .,'\n1\té") for _ in range(80)) for _ in range(300)]
     texts += ["".join(chr(r.choice([r.randrange(32, 127), r.randrange(160, 0x500), r.randrange(0x2000, 0x3100), r.randrange(0x1F300, 0x1F700)])) for _ in range(50)) for _ in range(200)]
-    for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
-        assert list(automaton.encode(text)) == want.ids
-        assert automaton.decode(want.ids) == library.decode(want.ids, skip_special_tokens=False) == text
+    return texts + ["".join(r.choice("'stmdrevl  \n,") for _ in range(30)) for _ in range(300)]
+
+
+@pytest.mark.parametrize(("slots", "cells", "scalar"), [(1 << 20, 1 << 21, 512), (64, 200, 6)])
+def test_automaton_encodes_as_the_library(path, monkeypatch, slots, cells, scalar):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+    for name, value in (("SLOTS", slots), ("CELLS", cells), ("SCALAR", scalar)):
+        monkeypatch.setattr(bpe_automaton, name, value)
+    library, encoder = Tokenizer.from_file(path), bpe_automaton.Encoder(bpe_automaton.compiled(path))
+    texts = odd_texts()
+    if scalar == 6:
+        texts = texts[:120]
+    want = [x.ids for x in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    for at, size in ((0, len(texts)), (3, 50), (10, 1), (0, 0)):
+        ids = encoder.encode(pa.array(texts, pa.string())[at:at + size])
+        assert ids.to_pylist() == want[at:at + size]
+        assert encoder.decode(ids).to_pylist() == [t or "" for t in texts[at:at + size]]
+    assert encoder.decode(pa.array([[255], None, [220]], pa.list_(pa.int32()))).to_pylist() == [library.decode([255]), "", " "]
+
+
+def test_words_are_cut_as_the_pattern_says():
+    import pyarrow as pa
+    import regex
+    pattern = regex.compile(bpe_automaton.PATTERN)
+    texts = odd_texts()
+    offsets, data = bpe_automaton._bytes(pa.array(texts, pa.string()))
+    starts = bpe_automaton._word_starts(offsets, data, np.empty(0, int))
+    words = [data[a:b].tobytes().decode() for a, b in zip(starts, [*starts[1:], len(data)], strict=True)]
+    assert words == [w for t in texts for w in pattern.findall(t or "")]
+
+
+def test_compiled_table_accepts_what_the_merges_make(tmp_path):
+    import itertools
+    import json
+    r = random.Random(4)
+    for _ in range(6):
+        vocab, merges = list("abc"), []
+        while len(merges) < 14:
+            pair = (r.choice(vocab), r.choice(vocab))
+            if "".join(pair) not in vocab and len("".join(pair)) < 6:
+                merges.append(pair)
+                vocab.append("".join(pair))
+        file = tmp_path / "tokenizer.json"
+        file.write_text(json.dumps({"added_tokens": [], "model": {"vocab": {t: i for i, t in enumerate(vocab)}, "merges": merges}}))
+        encoder = bpe_automaton.Encoder(bpe_automaton.compiled(str(file)))
+        strings = ["".join(x) for n in range(1, 8) for x in itertools.product("abc", repeat=n)]
+        data = np.frombuffer("".join(strings).encode(), np.uint8)
+        flat, sizes = encoder.encode_words(np.append(0, np.cumsum([len(x) for x in strings])), data)
+        got = np.split(flat, np.cumsum(sizes)[:-1])
+        rank = {pair: i for i, pair in enumerate(merges)}
+        for string, ids in zip(strings, got, strict=True):
+            parts = list(string)
+            while pairs := [(rank[p], i) for i, p in enumerate(itertools.pairwise(parts)) if p in rank]:
+                i = min(pairs)[1]
+                parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            assert [vocab[i] for i in ids] == parts
+            assert encoder.encode_word(string.encode()) == ids.tolist()
 
 
 def test_bpe_round_trip(odd, empty, path):
