@@ -22,6 +22,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from accesslens.llm.support import small_batches
 from accesslens.session import cut_lineage, scratch_path
 
 ORDER = 4
@@ -315,6 +316,7 @@ def train(labelled: DataFrame, calibration_rows: int = CALIBRATION_ROWS, part_ro
     A tenth of the rows, but no more than about calibration_rows of them, is kept from the counts and measures what the
     models say of texts they have not seen; all others are counted.
     """
+    small_batches(labelled.sparkSession)
     labelled = labelled.filter("lang IS NOT NULL")
     tenth = F.pmod(F.xxhash64(F.lit(9), "doc_id", "lang", "text"), F.lit(10)) == 0
     cut = int(min(1.0, calibration_rows / max(1, labelled.filter(tenth).count())) * (1 << 31))
@@ -369,20 +371,20 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs that identify accepts, all columns unchanged; the text is scored in the same pass.
+    """The rows of docs that identify accepts, all columns unchanged.  Only texts go to Python, and one boolean comes back.
 
     If there is nothing to learn from, every text with a letter stays.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     model = train(rows.filter(~held_out(F.col("doc_id"))))
-    at = docs.columns.index(text_col)
 
-    def run(batches):
-        for batch in batches:
-            each, n = model.entropies(_texts(batch.column(at)), batch.num_rows)
+    @F.arrow_udf("boolean")
+    def accepted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            each, n = model.entropies(_texts(texts), len(texts))
             mask = n > 0
             if model.centre is not None:
                 mask &= model.far(each, n, each.argmin(axis=1)) <= model.limit
-            yield batch.filter(pa.array(mask, pa.bool_()))
+            yield pa.array(mask, pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.filter(accepted(F.col(text_col)))
