@@ -96,8 +96,8 @@ def interactions(counts: DataFrame) -> DataFrame:
     ends = F.array(F.struct(F.col("first").alias("rank"), F.lit(1).alias("sign")), F.struct(F.col("after").alias("rank"), F.lit(-1).alias("sign")))
     jumps = (counts.join(F.broadcast(spans), "mask").withColumn("end", F.explode(ends))
              .groupBy("part", "step", F.col("end.rank").alias("rank")).agg(*[F.sum(F.col(c) * F.col("end.sign")).alias(c) for c in COUNTS]))
-    bits = spark.createDataFrame([(1 << i,) for i in range(len(FILTERS))], "bit int")
-    fails = (counts.join(F.broadcast(bits), F.col("mask").bitwiseAND(F.col("bit")) > 0).groupBy("part", "bit")
+    bits = F.filter(F.array(*[F.lit(1 << i) for i in range(len(FILTERS))]), lambda bit: F.col("mask").bitwiseAND(bit) > 0)
+    fails = (counts.withColumn("bit", F.explode(bits)).groupBy("part", "bit")
              .agg(F.sum("n").alias("fails"), F.sum(F.when(F.col("mask") == F.col("bit"), F.col("n")).otherwise(0)).alias("alone")))
     parts = counts.groupBy("part").agg(F.sum("n").alias("docs"))
     grid = parts.withColumn("rank", F.explode(F.sequence(F.lit(0), F.lit(RANKS - 1)))).join(F.broadcast(_orders(spark)), "rank")
