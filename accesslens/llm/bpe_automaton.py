@@ -64,21 +64,34 @@ class Automaton:
         self._compile_trie({token: label for token, label in arcs.items() if token in self.made})
 
     def _compile_gadgets(self, merges: list[tuple[int, int, int]]) -> None:
-        """Insert the merges' gadgets in order; cut[u][v] is the time from which v may not follow u.
+        """Insert the merges' gadgets in order; cut[u << 20 | v] is the time from which v may not follow u.
 
-        exits[a] lists the parts whose exits the state of a has, each with the time until which it stood alone at a's
-        right end; entries[b] the parts through which b is entered.  A merge whose parts can't meet any more, or that
+        exits of a are the parts whose exits the state of a has, each with the time until which it stood alone at a's
+        right end; entries of b the parts through which b is entered.  A merge whose parts can't meet any more, or that
         makes a token again, inserts nothing; `made` holds the tokens that have an arc.
         """
-        self.cut: dict[int, dict[int, int]] = {}
-        self.exits, self.entries = {}, {}
+        self.cut: dict[int, int] = {}
         self.made = set(self.label) - {w for _, _, w in merges}
+        exits, entries = ({token: [(token, _NEVER)] for token in self.made} for _ in range(2))
         for time, (u, v, w) in enumerate(merges):
-            if w not in self.made and {u, v} <= self.made and self.may_follow(u, v):
-                self.cut.setdefault(u, {})[v] = time
+            if w not in self.made and {u, v} <= self.made and not self._cut_between(exits[u], entries[v]):
+                self.cut[u << 20 | v] = time
                 self.made.add(w)
-                self.entries[w] = [(w, _NEVER), *((part, min(until, time)) for part, until in self.entries.get(u, [(u, _NEVER)]))]
-                self.exits[w] = [(w, _NEVER), *((part, min(until, time)) for part, until in self.exits.get(v, [(v, _NEVER)]))]
+                entries[w] = [(w, _NEVER), *((part, min(until, time)) for part, until in entries[u])]
+                exits[w] = [(w, _NEVER), *((part, min(until, time)) for part, until in exits[v])]
+        self.exits, self.entries = _Chains(exits), _Chains(entries)
+
+    def _cut_between(self, exits, entries) -> bool:
+        for part, until in exits:
+            for other, open_until in entries:
+                time = self.cut.get(part << 20 | other)
+                if time is not None and time < until and time <= open_until:
+                    return True
+        return False
+
+    def may_follow(self, a: int, b: int) -> bool:
+        """Whether arc b leaves the state of a: no gadget cut the parts that met before they became longer tokens."""
+        return not self._cut_between(self.exits.of(a), self.entries.of(b))
 
     def _compile_trie(self, arcs: dict[int, bytes]) -> None:
         """The trie by arrays: key (node << 8 | byte) and child of each edge in breadth-first order, link (a node's longest
@@ -116,39 +129,52 @@ class Automaton:
         self.edge, self.child = np.array(edges, np.int64), np.array([child[key] for key in edges], np.int32)
         self.link, self.last = np.array(link, np.int32), np.array(last, np.int32)
 
-    def transitions(self) -> tuple[np.ndarray, np.ndarray]:
-        """table[row[node], byte] is the next node: down an edge, or else where the suffix link's transition leads."""
-        nodes, begins = np.unique(self.edge >> 8, return_index=True)
-        row = np.full(len(self.link), -1, np.int32)
-        order = nodes[np.argsort(begins, kind="stable")]
-        row[order] = np.arange(len(order))
-        table = np.zeros((len(order), 256), np.int32)
-        cuts = [*np.sort(begins), len(self.edge)]
-        for i, node in enumerate(order):
-            if node:
-                table[i] = table[self._row(row, self.link[node])]
-            edges = self.edge[cuts[i]:cuts[i + 1]]
-            table[i, edges & 255] = self.child[cuts[i]:cuts[i + 1]]
-        for node in np.flatnonzero(row < 0):
-            row[node] = self._row(row, node)
-        return row, table
-
-    def _row(self, row: np.ndarray, node: int) -> int:
-        while row[node] < 0:
-            node = self.link[node]
-        return row[node]
 
-    def may_follow(self, a: int, b: int) -> bool:
-        """Whether arc b leaves the state of a: no gadget cut the parts that met before they became longer tokens."""
-        entries = self.entries.get(b, ((b, _NEVER),))
-        for part, until in self.exits.get(a, ((a, _NEVER),)):
-            cuts = self.cut.get(part)
-            if cuts:
-                for other, open_until in entries:
-                    time = cuts.get(other)
-                    if time is not None and time < until and time <= open_until:
-                        return False
-        return True
+class _Chains:
+    """Chains of (part, time) by token, as arrays."""
+
+    def __init__(self, chains: dict[int, list[tuple[int, int]]]):
+        sizes = np.zeros(max(chains) + 2, np.int32)
+        for token, chain in chains.items():
+            sizes[token + 1] = len(chain)
+        self.at = np.cumsum(sizes, dtype=np.int32)
+        pairs = np.array([pair for token in sorted(chains) for pair in chains[token]], np.int64)
+        self.part, self.until = pairs[:, 0].astype(np.int32), pairs[:, 1]
+
+    def of(self, token: int) -> list[tuple[int, int]]:
+        held = slice(self.at[token], self.at[token + 1])
+        return list(zip(self.part[held].tolist(), self.until[held].tolist(), strict=True))
+
+
+def _hashed(key: np.ndarray, slots: int) -> np.ndarray:
+    return (key * 0x9E3779B1 >> 12) % slots
+
+
+class _Edges:
+    """The trie's edges in an open hash table."""
+
+    def __init__(self, key: np.ndarray, child: np.ndarray):
+        self.slots = 1 << max(4, int(3 * len(key)).bit_length())
+        self.key, self.child = np.full(self.slots, -1, np.int64), np.zeros(self.slots, np.int32)
+        todo, at = np.arange(len(key)), _hashed(key, self.slots)
+        while len(todo):
+            free = self.key[at[todo]] < 0
+            self.key[at[todo[free]]] = key[todo[free]]
+            here = self.key[at[todo]] == key[todo]
+            self.child[at[todo[here]]] = child[todo[here]]
+            todo = todo[~here]
+            at[todo] = (at[todo] + 1) % self.slots
+
+    def down(self, key: np.ndarray) -> np.ndarray:
+        """The node at the end of each edge, or -1 if there is none."""
+        out, todo, at = np.full(len(key), -1, np.int32), np.arange(len(key)), _hashed(key, self.slots)
+        while len(todo):
+            held = self.key[at[todo]]
+            here = held == key[todo]
+            out[todo[here]] = self.child[at[todo[here]]]
+            todo = todo[~here & (held >= 0)]
+            at[todo] = (at[todo] + 1) % self.slots
+        return out
 
 
 class Encoder:
@@ -156,13 +182,22 @@ class Encoder:
 
     def __init__(self, automaton: Automaton):
         self.automaton = automaton
-        self.row, self.table = automaton.transitions()
+        self.edges = _Edges(automaton.edge, automaton.child)
         self._forget()
         special = sorted(automaton.special, key=len, reverse=True)
         self.split = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
-        tokens = len(automaton.width)
-        self.starts = np.cumsum(automaton.width, dtype=np.int64) - automaton.width
-        self.spelled = np.frombuffer(b"".join(automaton.label.get(i, b"") for i in range(tokens)), np.uint8)
+
+    def _next(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The trie's transitions: down an edge, or else where the suffix link's transition leads."""
+        out, todo = np.zeros(len(node), np.int32), np.arange(len(node))
+        while len(todo):
+            down = self.edges.down(node[todo].astype(np.int64) << 8 | byte[todo])
+            found = down >= 0
+            out[todo[found]] = down[found]
+            todo = todo[~found & (node[todo] > 0)]
+            node = node.copy()
+            node[todo] = self.automaton.link[node[todo]]
+        return out
 
     def _forget(self) -> None:
         self.slots, self.taken = np.full(SLOTS, -1, np.int64), 0
@@ -174,7 +209,7 @@ class Encoder:
         """
         key = before.astype(np.int64) << 20 | token
         out = np.empty(len(key), bool)
-        at = (key * 0x9E3779B1 >> 12) % SLOTS
+        at = _hashed(key, SLOTS)
         todo = np.arange(len(key))
         while len(todo):
             held = self.slots[at[todo]]
@@ -205,7 +240,7 @@ class Encoder:
         """The ids of one word: state[i] is the arc that ends the accepted sequence of the first i bytes."""
         automaton, node, state = self.automaton, 0, [-1]
         for end, byte in enumerate(word, 1):
-            node = self.table[self.row[node], byte]
+            node = int(self._next(np.array([node]), np.array([byte]))[0])
             token = int(automaton.last[node])
             while (before := state[end - automaton.width[token]]) >= 0 and not automaton.may_follow(before, token):
                 token = int(automaton.shorter[token])
@@ -244,7 +279,7 @@ class Encoder:
         node = np.zeros(len(widths), np.int32)
         for end in range(1, longest + 1):
             todo = np.arange(np.searchsorted(widths, end), len(widths))
-            node[todo] = self.table[self.row[node[todo]], data[starts[todo] + (end - 1)]]
+            node[todo] = self._next(node[todo], data[starts[todo] + (end - 1)])
             token = automaton.last[node[todo]]
             while len(todo):
                 before = state[todo, end - automaton.width[token]]
@@ -304,11 +339,20 @@ class Encoder:
             ids.append(np.concatenate([each[0], *(x for pair in zip(between, each[1:], strict=True) for x in pair)]))
         return np.concatenate([*ids, np.empty(0, np.int32)]), np.fromiter(map(len, ids), np.int64, len(ids))
 
+
+class Decoder:
+    """The labels of all tokens, one after another."""
+
+    def __init__(self, automaton: Automaton):
+        self.width = automaton.width.astype(np.int64)
+        self.starts = np.cumsum(self.width) - self.width
+        self.spelled = np.frombuffer(b"".join(automaton.label.get(i, b"") for i in range(len(self.width))), np.uint8)
+
     def decode(self, ids: pa.Array) -> pa.Array:
         """The text that each list of ids spells; broken UTF-8 becomes U+FFFD, null is empty."""
         counts = pc.fill_null(pc.list_value_length(ids), 0).to_numpy().astype(np.int64)
         flat = ids.flatten().to_numpy()
-        out, ends = _gather(self.spelled, self.starts[flat], self.automaton.width[flat].astype(np.int64))
+        out, ends = _gather(self.spelled, self.starts[flat], self.width[flat])
         offsets = np.append(0, ends)[np.append(0, np.cumsum(counts))]
         spelled = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
         try:
@@ -388,17 +432,17 @@ def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np
     return flat[places], ends
 
 
-_ENCODERS: dict[int, Encoder] = {}
-
-
 def compiled(tokenizer_path: str) -> Automaton:
     with open(tokenizer_path, "rb") as f:
         return Automaton(f.read())
 
 
+_ENCODERS: dict[int, Encoder] = {}
+
+
 def _encoder(shared: Broadcast) -> Encoder:
-    """This worker's encoder for a broadcast automaton; its tables serve all tasks of the worker."""
-    automaton = shared.value
+    """This worker's encoder for a broadcast automaton; its table serves all tasks of the worker."""
+    automaton = shared.value[0]
     if id(automaton) not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[id(automaton)] = Encoder(automaton)
@@ -409,7 +453,7 @@ def _with(df: DataFrame, name: str, kind) -> StructType:
     return StructType([f for f in df.schema.fields if f.name != name] + [StructField(name, kind, False)])
 
 
-def _pieces(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _pieces(batch: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that a piece holds few bytes of the column, or one row."""
     at, held = 0, 0
     for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
@@ -420,39 +464,45 @@ def _pieces(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator
     yield batch.slice(at)
 
 
-def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
     """docs with the token ids of each whole text; null counts as empty, which has no tokens.
 
     The automaton is compiled on the driver and broadcast (a few MB, bounded by the vocabulary); all other columns stay,
-    one named like ids_col is replaced.
+    one named like ids_col is replaced.  decoded_col asks for what the ids decode to in the same pass, see decode.
     """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(compiled(tokenizer_path))
-    keep = [c for c in docs.columns if c != ids_col]
+    automaton = compiled(tokenizer_path)
+    shared = docs.sparkSession.sparkContext.broadcast((automaton, Decoder(automaton) if decoded_col else None))
+    new = [ids_col, *[decoded_col] * bool(decoded_col)]
+    keep = [c for c in docs.columns if c not in new]
     text_at = docs.columns.index(text_col)
-    kept_at = [i for i, c in enumerate(docs.columns) if c != ids_col]
+    kept_at = [i for i, c in enumerate(docs.columns) if c not in new]
 
     def run(batches):
-        encoder = _encoder(shared)
+        encoder, decoder = _encoder(shared), shared.value[1]
         for batch in batches:
             for piece in _pieces(batch, text_at):
-                yield pa.RecordBatch.from_arrays([*(piece.column(i) for i in kept_at), encoder.encode(piece.column(text_at))], [*keep, ids_col])
+                ids = encoder.encode(piece.column(text_at))
+                made = [ids, decoder.decode(ids)] if decoder else [ids]
+                yield pa.RecordBatch.from_arrays([*(piece.column(i) for i in kept_at), *made], [*keep, *new])
 
-    return docs.mapInArrow(run, _with(docs, ids_col, ArrayType(IntegerType(), False)))
+    schema = _with(docs, ids_col, ArrayType(IntegerType(), False))
+    if decoded_col:
+        schema = StructType([*[f for f in schema.fields if f.name != decoded_col], StructField(decoded_col, StringType(), False)])
+    return docs.mapInArrow(run, schema)
 
 
 def decode(tokens: DataFrame, tokenizer_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """tokens with the text that the ids spell; special tokens are spelled out, broken UTF-8 becomes U+FFFD, null is empty."""
     small_batches(tokens.sparkSession)
-    shared = tokens.sparkSession.sparkContext.broadcast(compiled(tokenizer_path))
+    shared = tokens.sparkSession.sparkContext.broadcast(Decoder(compiled(tokenizer_path)))
     keep = [c for c in tokens.columns if c != text_col]
 
     def run(batches):
-        encoder = _encoder(shared)
         for batch in batches:
             for at in range(0, max(1, batch.num_rows), 256):
                 piece = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), encoder.decode(piece.column(ids_col))], [*keep, text_col])
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), shared.value.decode(piece.column(ids_col))], [*keep, text_col])
 
     return tokens.mapInArrow(run, _with(tokens, text_col, StringType()))
 
@@ -460,6 +510,6 @@ def decode(tokens: DataFrame, tokenizer_path: str, ids_col: str = "ids", text_co
 def token_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    both = decode(encode(texts, tokenizer_path).select("doc_id", "ids"), tokenizer_path)
+    both = encode(texts, tokenizer_path, decoded_col="decoded")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -302,7 +302,8 @@ def test_automaton_encodes_as_the_library(path, monkeypatch, slots, cells, scala
     from tokenizers import Tokenizer
     for name, value in (("SLOTS", slots), ("CELLS", cells), ("SCALAR", scalar)):
         monkeypatch.setattr(bpe_automaton, name, value)
-    library, encoder = Tokenizer.from_file(path), bpe_automaton.Encoder(bpe_automaton.compiled(path))
+    library, automaton = Tokenizer.from_file(path), bpe_automaton.compiled(path)
+    encoder, decoder = bpe_automaton.Encoder(automaton), bpe_automaton.Decoder(automaton)
     texts = odd_texts()
     if scalar == 6:
         texts = texts[:120]
@@ -310,8 +311,8 @@ def test_automaton_encodes_as_the_library(path, monkeypatch, slots, cells, scala
     for at, size in ((0, len(texts)), (3, 50), (10, 1), (0, 0)):
         ids = encoder.encode(pa.array(texts, pa.string())[at:at + size])
         assert ids.to_pylist() == want[at:at + size]
-        assert encoder.decode(ids).to_pylist() == [t or "" for t in texts[at:at + size]]
-    assert encoder.decode(pa.array([[255], None, [220]], pa.list_(pa.int32()))).to_pylist() == [library.decode([255]), "", " "]
+        assert decoder.decode(ids).to_pylist() == [t or "" for t in texts[at:at + size]]
+    assert decoder.decode(pa.array([[255], None, [220]], pa.list_(pa.int32()))).to_pylist() == [library.decode([255]), "", " "]
 
 
 def test_words_are_cut_as_the_pattern_says():
@@ -358,6 +359,8 @@ def test_bpe_round_trip(odd, empty, path):
     assert set(both.columns) == {*odd.columns, "ids", "decoded"}
     for r in both.collect():
         assert r["decoded"] == (r["text"] or "") and (r["ids"] == []) == (not r["text"])
+    once = bpe_automaton.encode(odd, path, decoded_col="decoded")
+    assert sorted(map(str, once.select(*both.columns).collect())) == sorted(map(str, both.collect()))
     assert bpe_automaton.token_digests(odd, path).filter("doc_id = 100").first()["ids_sha256"] == hashlib.sha256(b"").hexdigest()
     assert bpe_automaton.token_digests(empty, path).count() == 0
 
