@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accesslens.llm.support import ascii_lower, broadcast_if_small
+from accesslens.llm.support import ascii_lower, broadcast_if_small, one_of_equal, whole_row
 from accesslens.session import cut_lineage
 
 KEEP = 4096
@@ -68,9 +68,12 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: int = KEEP) -> DataFrame:
-    """The rows of docs that mark_copies keeps, with all their columns unchanged."""
-    out = cut_lineage(mark_copies(docs, id_col, text_col, keep).filter(~F.col("kept")).select("doc_id", "text_sha256").distinct())
-    gone = broadcast_if_small(out).alias("_gone")
-    return docs.alias("_docs").join(
-        gone, F.col(f"_docs.{id_col}").eqNullSafe(F.col("_gone.doc_id"))
-        & (F.sha2(_normal(F.col(f"_docs.{text_col}")), 256) == F.col("_gone.text_sha256")), "left_anti")
+    """The rows of docs that mark_copies keeps, with all their columns unchanged; of rows that repeat both id and text one.
+
+    A group without ids keeps one row too.
+    """
+    out = cut_lineage(mark_copies(docs, id_col, text_col, keep).filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_sha")).distinct())
+    gone = broadcast_if_small(out)
+    rows = docs.select(whole_row(docs).alias("_row"), F.col(id_col).alias("_own"), F.unhex(F.sha2(_normal(F.col(text_col)), 256)).alias("_text"))
+    kept = rows.join(gone, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_sha")), "left_anti").select("_row.*")
+    return one_of_equal(kept, [F.col(id_col), F.unhex(F.sha2(_normal(F.col(text_col)), 256))])

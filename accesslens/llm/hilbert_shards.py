@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from accesslens.llm.support import broadcast_if_small, numbered
+from accesslens.llm.support import broadcast_if_small, numbered, whole_row
 from accesslens.session import cut_lineage
 
 BITS = 6
@@ -86,13 +86,22 @@ def place_in_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 40, id_col: str = "doc_id", text_col: str = "text",
-                 source_col: str = "source", lang_col: str = "lang") -> None:
+                 source_col: str = "source", lang_col: str = "lang", task_bytes: int = 256 << 20) -> None:
     """Write docs as Parquet, one folder per shard, sorted along the curve, so that readers can prune files.
 
-    Rows that share an id must share their text's checksum to get their own places; each such row is written once.
+    All columns stay; the folders are named `_shard=`, with more underscores in front if docs has such a column.  A task
+    writes about task_bytes of text.  Rows that share an id (or have none) must share their text's checksum to get their
+    own places; each row is written once.  An empty table writes no shard.
     """
-    same = [F.col(id_col).eqNullSafe(F.col("_doc_id")), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")) == F.col("_crc")]
-    places = (place_in_shards(docs, shards, id_col, text_col, source_col, lang_col)
-              .groupBy(F.col("doc_id").alias("_doc_id"), F.col("text_crc32").alias("_crc")).agg(F.min("number").alias("_number"), F.min_by("shard", "number").alias("_shard")))
-    (docs.join(places, same[0] & same[1]).repartitionByRange(shards, "_number").sortWithinPartitions("_number")
-     .drop("_doc_id", "_crc", "_number").write.partitionBy("_shard").parquet(path))
+    name = "_shard"
+    while name in docs.columns:
+        name = f"_{name}"
+    rows = docs.select(whole_row(docs).alias("_row"), F.col(id_col).cast("long").alias("_id"),
+                       F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("_crc"))
+    placed = cut_lineage(place_in_shards(docs, shards, id_col, text_col, source_col, lang_col))
+    total = placed.agg(F.sum("size")).first()[0] or 0
+    places = (placed.groupBy(F.col("doc_id").alias("_id2"), F.col("text_crc32").alias("_crc2"))
+              .agg(F.min("number").alias("_number"), F.min_by("shard", "number").alias("_at")))
+    met = rows.join(places, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_crc") == F.col("_crc2")))
+    ordered = met.repartitionByRange(max(shards, -(-total // task_bytes)), "_number").sortWithinPartitions("_number")
+    ordered.select("_row.*", F.col("_at").alias(name)).write.partitionBy(name).parquet(path)

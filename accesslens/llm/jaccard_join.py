@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from accesslens.llm.support import broadcast_if_small, components, in_block_pairs, roots, runs
+from accesslens.llm.support import broadcast_if_small, components, in_block_pairs, lean, one_of_equal, roots, runs, small_batches, whole_row
 from accesslens.session import cut_lineage
 
 ORDERS = 3
@@ -124,7 +124,7 @@ def signatures(rows: DataFrame, k: int) -> DataFrame:
                 digests.append(_node(tokens)[0] if len(tokens) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary())], ["doc_id", "n_shingles", "digest"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_shingles long, digest binary")
+    return rows.mapInArrow(lean(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_shingles long, digest binary")
 
 
 def _keyed(tokens: np.ndarray, group: int) -> np.ndarray:
@@ -190,7 +190,7 @@ def _requests(rows: DataFrame, tokens_of, bits: int) -> DataFrame:
         if held:
             yield packed()
 
-    return rows.mapInArrow(run, _PACKED)
+    return rows.mapInArrow(lean(run), _PACKED)
 
 
 def _answers(batches):
@@ -264,8 +264,8 @@ def _stars(rows: DataFrame, tokens_of, order: int, percent: int, total: int) ->
     tokens_of gives (node, class, tokens) for each row of a batch; total is the number of all tokens.
     """
     bits = max(10, int(np.ceil(np.log2(max(1, total / BUCKET)))))
-    answered = (_requests(rows, tokens_of, bits).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answers, _PACKED))
-    found = answered.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_prefixes(order, percent), "token long, a long, b long, linked boolean")
+    answered = (_requests(rows, tokens_of, bits).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_answers), _PACKED))
+    found = answered.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(lean(_prefixes(order, percent)), "token long, a long, b long, linked boolean")
     least = F.min("a").over(Window.partitionBy("token", "linked"))
     return found.select("a", F.when(F.col("linked"), F.col("b")).otherwise(least).alias("b")).filter("a <> b")
 
@@ -305,7 +305,7 @@ def _verified(blocks: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([digests[i] for i in some], pa.binary()), pa.array([digests[root[i]] for i in some], pa.binary()), pa.array(n[some], pa.int64())], ["digest", "root", "n_links"])
 
     keys = ["class", "_low", "_high"]
-    return blocks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "digest binary, root binary, n_links long")
+    return blocks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(run), "digest binary, root binary, n_links long")
 
 
 def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", orders: int = ORDERS) -> DataFrame:
@@ -318,6 +318,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     null ids only, the id is null, else nulls are passed over.  Shingles compare as 64-bit hashes.  Other columns of
     docs are not read.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     signed = cut_lineage(signatures(rows, k))
     total = signed.agg(F.sum("n_shingles")).first()[0] or 0
@@ -340,7 +341,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
             yield pa.RecordBatch.from_arrays(out, ["digest", "times", "node", "class", "tokens"]).filter(pa.array(right, pa.bool_()))
 
     sets = cut_lineage(rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("_least"))).select("text", "_digest", "times", "node", "class")
-                       .mapInArrow(sets_of, "digest binary, times long, node long, class long, tokens binary"))
+                       .mapInArrow(lean(sets_of), "digest binary, times long, node long, class long, tokens binary"))
 
     def of_sets(batch):
         for own, group, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -371,15 +372,17 @@ def _with_node(groups: DataFrame) -> DataFrame:
             node = [int.from_bytes(d[:8], "little", signed=True) for d in batch.column("digest").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node, pa.int64())], [*batch.schema.names, "node"])
 
-    return groups.mapInArrow(run, f"digest binary, least {groups.schema['least'].dataType.simpleString()}, times long, node long")
+    return groups.mapInArrow(lean(run), f"digest binary, least {groups.schema['least'].dataType.simpleString()}, times long, node long")
 
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that are the least of their component, all columns unchanged.
 
-    Least is by id, null first, then by a hash of the text; rows that repeat both stay together.
+    Least is by id, null first, then by a hash of the text; of rows that repeat both one stays.
     """
     key = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
     found = jaccard_classes(docs.select(key.alias("_key"), F.col(text_col).alias("text")), k, percent, "_key", "text")
     gone = cut_lineage(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(broadcast_if_small(gone), key == F.col("_gone"), "left_anti")
+    rows = docs.select(whole_row(docs).alias("_row"), key.alias("_key"))
+    kept = rows.join(broadcast_if_small(gone), F.col("_key") == F.col("_gone"), "left_anti").select("_row.*")
+    return one_of_equal(kept, [key])

@@ -9,11 +9,13 @@ for each source.  A source thus misses its target by less than one document.  On
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from accesslens.llm.support import WORD, numbered
+from accesslens.llm.support import WORD, numbered, whole_row
 from accesslens.session import cut_lineage
 
 BLOCK = 128
@@ -123,20 +125,27 @@ def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
     Rows that repeat id, source and text share their copies: they are dealt among them as evenly as possible.
     """
-    keys = [F.col("_docs." + id_col), F.col("_docs." + source_col).cast("string"), F.crc32(F.coalesce(F.col("_docs." + text_col), F.lit("")).cast("binary"))]
-    plan = cut_lineage(mix_sources(docs, id_col, text_col, source_col, most, seed).groupBy("doc_id", "source", "text_crc32")
+    rows = docs.select(whole_row(docs).alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"),
+                       F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("_crc"))
+    plan = cut_lineage(mix_sources(docs, id_col, text_col, source_col, most, seed)
+                       .groupBy(F.col("doc_id").alias("_id2"), F.col("source").alias("_source2"), F.col("text_crc32").alias("_crc2"))
                        .agg(F.sum("copies").cast("int").alias("_copies"), F.count("*").alias("_rows")).filter("_copies > 0"))
-    on = keys[0].eqNullSafe(F.col("_plan.doc_id")) & keys[1].eqNullSafe(F.col("_plan.source")) & (keys[2] == F.col("_plan.text_crc32"))
+    on = F.col("_id").eqNullSafe(F.col("_id2")) & F.col("_source").eqNullSafe(F.col("_source2")) & (F.col("_crc") == F.col("_crc2"))
 
-    def taken(part, copies):
-        return part.select("_docs.*", F.explode(F.sequence(F.lit(1), copies)).alias("_nth")).drop("_nth")
+    def taken(part):
+        return part.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
 
-    met = docs.alias("_docs").join(plan.filter("_rows = 1").alias("_plan"), on)
-    out = taken(met, F.col("_copies"))
+    out = taken(rows.join(plan.filter("_rows = 1"), on))
     if plan.filter("_rows > 1").isEmpty():
         return out
-    again = docs.alias("_docs").join(plan.filter("_rows > 1").alias("_plan"), on)
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
-    each = F.expr("_copies DIV _rows").cast("int")
-    dealt = again.withColumn("_each", each + (nth <= F.expr("_copies % _rows")).cast("int")).filter("_each > 0")
-    return out.unionByName(taken(dealt, F.col("_each")))
+    # equal rows get numbers by task, each task's after those of the tasks before, so a hot key is not gathered in one
+    again = cut_lineage(rows.join(plan.filter("_rows > 1"), on).withColumn("_at", F.monotonically_increasing_id()))
+    again = again.withColumn("_task", F.shiftright("_at", 33))
+    keys = ["_id", "_source", "_crc"]
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_task")) - F.col("_n")
+    begins = again.groupBy(*keys, "_task").agg(F.count("*").alias("_n")).select(*[F.col(c).alias(f"{c}3") for c in [*keys, "_task"]], before.alias("_before"))
+    match = functools.reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"{c}3")) for c in [*keys, "_task"]])
+    nth = F.col("_before") + F.row_number().over(Window.partitionBy(*keys, "_task").orderBy("_at"))
+    each = F.expr("_copies DIV _rows").cast("int") + (F.col("_nth") <= F.expr("_copies % _rows")).cast("int")
+    dealt = again.join(begins, match).withColumn("_nth", nth).withColumn("_copies", each).filter("_copies > 0")
+    return out.unionByName(taken(dealt))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,7 @@ BROADCAST_ROWS = 1_000_000
 #: Bytes of rows that go to a Python worker at once.
 BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_MMAP_THRESHOLD = -3
 _LOW33 = (1 << 33) - 1
 
 
@@ -38,6 +41,33 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
 
 
+@functools.cache
+def _allocator():
+    """The C library, told to return large blocks as soon as they are free; None where it can't be told."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(_MMAP_THRESHOLD, 1 << 20)
+        return libc if hasattr(libc, "malloc_trim") else None
+    except (OSError, AttributeError):
+        return None
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function that gives back the memory it no longer needs.
+
+    Python workers outlive their tasks; without this they hold the largest that any task needed, beside the next stage.
+    """
+    def wrapped(batches: Iterator) -> Iterator:
+        libc = _allocator()
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if libc:
+                libc.malloc_trim(0)
+    return wrapped
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
@@ -53,6 +83,28 @@ def settled(df: DataFrame, *columns: Column) -> DataFrame:
     return df.select(F.explode(F.array(F.struct(*columns))).alias("_row")).select("_row.*")
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of a row as one struct, so that helper columns beside it can have any name."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def one_of_equal(df: DataFrame, keys: list[Column]) -> DataFrame:
+    """df, of rows that agree in all keys only one: the least by a hash of the whole row, null keys being equal.
+
+    Only keys that repeat are shuffled with their rows; the least of each is found before the shuffle, so a hot key
+    sends one row from each task.
+    """
+    names = [f"_key{i}" for i in range(len(keys))]
+    rows = df.select(whole_row(df).alias("_row"), *[k.alias(n) for k, n in zip(keys, names, strict=True)])
+    again = cut_lineage(rows.groupBy(*names).agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n"))
+    if again.isEmpty():
+        return df
+    known = broadcast_if_small(again.select(*[F.col(n).alias(f"{n}_") for n in names]))
+    same = functools.reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"{n}_")) for n in names])
+    least = rows.join(known, same, "left_semi").groupBy(*names).agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row"))
+    return rows.join(known, same, "left_anti").select("_row.*").unionByName(least.select("_row.*"))
+
+
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Add gapless numbers from 0 in the given order; rows equal in all of it get theirs in any order.
 
