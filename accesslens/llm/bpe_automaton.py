@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from accesslens.llm.support import small_batches
+from accesslens.llm.support import lean, small_batches
 
 # How the public byte-level tokenizer splits a text before its merges.
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -489,7 +489,7 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col
     schema = _with(docs, ids_col, ArrayType(IntegerType(), False))
     if decoded_col:
         schema = StructType([*[f for f in schema.fields if f.name != decoded_col], StructField(decoded_col, StringType(), False)])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def decode(tokens: DataFrame, tokenizer_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -504,7 +504,7 @@ def decode(tokens: DataFrame, tokenizer_path: str, ids_col: str = "ids", text_co
                 piece = batch.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), shared.value.decode(piece.column(ids_col))], [*keep, text_col])
 
-    return tokens.mapInArrow(run, _with(tokens, text_col, StringType()))
+    return tokens.mapInArrow(lean(run), _with(tokens, text_col, StringType()))
 
 
 def token_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

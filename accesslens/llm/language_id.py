@@ -22,7 +22,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from accesslens.llm.support import small_batches
+from accesslens.llm.support import lean, small_batches
 from accesslens.session import cut_lineage, scratch_path
 
 ORDER = 4
@@ -98,7 +98,7 @@ def count_grams(labelled: DataFrame) -> DataFrame:
         for lang, (keys, n) in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
-    return (labelled.select("lang", "text").mapInArrow(run, "lang string, gram long, n long")
+    return (labelled.select("lang", "text").mapInArrow(lean(run), "lang string, gram long, n long")
             .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
 
 
@@ -307,7 +307,7 @@ def _measure(rows: DataFrame, model: Identifier, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], *cols], [*keep, *names])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
-    return rows.select(*keep, "text").mapInArrow(run, f"{schema}, lang_pred string, entropy double, score double, accepted boolean")
+    return rows.select(*keep, "text").mapInArrow(lean(run), f"{schema}, lang_pred string, entropy double, score double, accepted boolean")
 
 
 def train(labelled: DataFrame, calibration_rows: int = CALIBRATION_ROWS, part_rows: int = PART_ROWS, part_cells: int = PART_CELLS) -> Identifier:
@@ -331,7 +331,7 @@ def train(labelled: DataFrame, calibration_rows: int = CALIBRATION_ROWS, part_ro
             each, n = model.entropies(_texts(batch.column(1)), batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(each.tolist(), pa.list_(pa.float64())), pa.array(n)], ["lang", "each", "n"]).filter(pa.array(n > 0))
 
-    seen = sample.select("lang", "text").mapInArrow(run, "lang string, each array<double>, n long").toPandas()
+    seen = sample.select("lang", "text").mapInArrow(lean(run), "lang string, each array<double>, n long").toPandas()
     seen = seen[seen["lang"].isin(model.langs)]
     if len(seen):
         each, n, true = np.vstack(seen["each"]), seen["n"].to_numpy(), np.array([model.langs.index(x) for x in seen["lang"]])
@@ -378,8 +378,7 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     model = train(rows.filter(~held_out(F.col("doc_id"))))
 
-    @F.arrow_udf("boolean")
-    def accepted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def judged(batches):
         for texts in batches:
             each, n = model.entropies(_texts(texts), len(texts))
             mask = n > 0
@@ -387,4 +386,8 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 mask &= model.far(each, n, each.argmin(axis=1)) <= model.limit
             yield pa.array(mask, pa.bool_())
 
+    @F.arrow_udf("boolean")
+    def accepted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return lean(judged)(batches)
+
     return docs.filter(accepted(F.col(text_col)))
