@@ -12,31 +12,41 @@ from accesslens.session import scratch_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose language is not recognised: no letters, or beyond the calibrated entropy."""
+    """Drop documents whose language is not recognised: no letters, or beyond the calibrated entropy.
+
+    Null and empty texts have no letters and go.  Rows are judged one by one, so repeated rows stay or go together;
+    without any labelled text all that have letters stay.
+    """
     return language_id.keep_identified(docs)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts keep the one of the largest id."""
+    """Of equal texts (A-Z and a-z the same, null like empty) keep the row of the largest id; of rows equal in both, one."""
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by shingles of five words at a similarity of 0.8 or more keep the document of the least id."""
+    """Of each group linked by shingles of five words at a similarity of 0.8 or more keep the document of the least id.
+
+    Texts without words link with nothing and stay.  A null id is greater than any other; of rows equal in id and text
+    one stays.
+    """
     return jaccard_join.keep_one_of_each(docs, k=5, percent=80)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take each document as often as its source's target weight asks for."""
+    """Take each document as often as its source's target weight asks for: not at all, or up to three times.
+
+    Documents without words have no size and go.  A null source is one source; equal rows are taken each by itself.
+    """
     return mixing.take_mix(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and the digest of what they decode to."""
+    """Token ids of each document, and the digest of what they decode to.  Null texts are empty and have no tokens."""
     path = tokenizer_path()
     kept = docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"))
-    ids = bpe_automaton.encode(kept, path).drop("text")
-    return bpe_automaton.decode(ids, path).select(
+    return bpe_automaton.encode(kept, path, decoded_col="decoded").select(
         "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
