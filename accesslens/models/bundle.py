@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 from importlib import resources
 
 import numpy as np
@@ -41,6 +41,9 @@ class Bundle:
         bundle.check()
         return bundle
 
+    def with_threshold(self, threshold: float) -> Bundle:
+        return replace(self, threshold=float(threshold))
+
     def to_dict(self) -> dict:
         return asdict(self)
 

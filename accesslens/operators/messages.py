@@ -40,12 +40,18 @@ def verdicts(parsed: DataFrame, bundle: Bundle, top_k: int = 3, keep=()) -> Data
         "score", "is_anomaly", "threshold", "drivers")
 
 
+def _encode(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """One JSON message per row; a log's name goes with the offset where the rows have one."""
+    named = [*fields, *[c for c in ("file",) if c in rows.columns]]
+    return rows.select(F.to_json(F.struct(*named), {"ignoreNullFields": "false"}).alias("value"))
+
+
 def encode_parsed(parsed: DataFrame) -> DataFrame:
-    return parsed.select(F.to_json(F.struct(*PARSED_MESSAGE.fieldNames()), {"ignoreNullFields": "false"}).alias("value"))
+    return _encode(parsed, PARSED_MESSAGE.fieldNames())
 
 
 def encode_verdicts(rows: DataFrame) -> DataFrame:
-    return rows.select(F.to_json(F.struct(*VERDICT_MESSAGE.fieldNames()), {"ignoreNullFields": "false"}).alias("value"))
+    return _encode(rows, VERDICT_MESSAGE.fieldNames())
 
 
 def keyed_lines(df: DataFrame, column: str = "value", limit: int | None = None) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accesslens.functions.request_features import status_class
 from accesslens.functions.text import html_escape, mark_fragments
+from accesslens.session import cut_lineage
 
 MAX_REPORTED = 200
 
@@ -63,13 +64,14 @@ def listing_totals(scored: DataFrame) -> DataFrame:
 def with_severity(report: DataFrame, threshold: float) -> DataFrame:
     """Add the ratio to the threshold and the width of a bar relative to the worst row.
 
-    ``report`` is a bounded top list, so the maximum over it fits one task.
+    The worst score is one number, read first, so a report of any length stays distributed.
     """
-    worst = F.max("score").over(Window.partitionBy())
+    report = cut_lineage(report)
+    worst = report.agg(F.max("score")).first()[0]
     return report.select(
         "*",
         F.round(F.col("score") / F.lit(threshold), 1).alias("times_over"),
-        F.round(F.greatest(F.lit(6.0), F.col("score") / worst * 100), 0).cast("int").alias("bar_width"),
+        F.round(F.greatest(F.lit(6.0), F.col("score") / F.lit(worst).cast("double") * 100), 0).cast("int").alias("bar_width"),
     )
 
 

@@ -28,11 +28,8 @@ def standardize(df: DataFrame, bundle: Bundle) -> DataFrame:
     return df.selectExpr(*[scaled.get(c, f"`{c}`") for c in df.columns])
 
 
-def add_errors(df: DataFrame, bundle: Bundle) -> tuple[DataFrame, list[str]]:
-    """Run the network; returns the frame with its squared errors, and SQL for each of them.
-
-    Features come from the twenty named columns, or from ``features`` if those are absent.
-    """
+def _forward(df: DataFrame, bundle: Bundle) -> tuple[DataFrame, list[str], list[str], list[str]]:
+    """Run the network; returns the frame with its columns, the kept ones, the standardized inputs and the outputs."""
     keep = [f"`{c}`" for c in df.columns]
     named = set(FEATURE_NAMES) <= set(df.columns)
     inputs = FEATURE_NAMES if named else [f"get(features, {i})" for i in range(bundle.n_features)]
@@ -43,6 +40,21 @@ def add_errors(df: DataFrame, bundle: Bundle) -> tuple[DataFrame, list[str]]:
         last = depth == len(bundle.weights) - 1
         h, columns = _named(f"h{depth}_", v.layer(h, w, b, not last))
         out = out.selectExpr(*keep, *x, *columns)
+    return out, keep, x, h
+
+
+def reconstruct(df: DataFrame, bundle: Bundle, name: str = "recon") -> DataFrame:
+    """Add what the network makes of each row's standardized features, as an array in their order."""
+    out, keep, _, h = _forward(df, bundle)
+    return settle(out.selectExpr(*keep, f"array({', '.join(h)}) AS {name}"), keep, name)
+
+
+def add_errors(df: DataFrame, bundle: Bundle) -> tuple[DataFrame, list[str]]:
+    """The frame with the squared errors of its rows, and SQL for each of them.
+
+    Features come from the twenty named columns, or from ``features`` if those are absent.
+    """
+    out, keep, x, h = _forward(df, bundle)
     squares = ", ".join(f"({r} - {n}) * ({r} - {n})" for r, n in zip(h, x))
     out = out.selectExpr(*keep, f"array({squares}) AS _errors")
     return settle(out, keep, "_errors"), [f"get(_errors, {i})" for i in range(bundle.n_features)]

@@ -51,3 +51,28 @@ def exact_percentile(df: DataFrame, column: str, pct: float, buckets: int = 4096
         if rank == 0 and n == 2:
             return lo + (hi - lo) * share
     return lo if rank < n - 1 else lo + (above - lo) * share
+
+
+#: Size of the sketches: at this one a rank is off by less than RANK_ERROR of all values (both sides, 99 % confidence).
+SKETCH_SIZE, RANK_ERROR = 1000, 0.005
+
+
+def error_sketches(df: DataFrame, column: str, part: str, size: int = SKETCH_SIZE) -> DataFrame:
+    """One mergeable quantile sketch of ``column`` per ``part`` (a log, a day): ``part, n, sketch``, a few KB each.
+
+    They are filled where the rows lie and merged in the shuffle; keep them, and a later threshold needs no old rows.
+    """
+    values = df.filter(F.col(column).isNotNull())
+    return values.groupBy(F.col(part).alias("part")).agg(
+        F.count("*").alias("n"), F.kll_sketch_agg_double(F.col(column).cast("double"), F.lit(size)).alias("sketch"))
+
+
+def merged_percentile(sketches: DataFrame, pct: float) -> float:
+    """The ``pct``-th percentile over all parts, off by RANK_ERROR of the ranks at most (with the sketches' confidence)."""
+    if not 0 <= pct <= 100:
+        raise ValueError("pct must be between 0 and 100")
+    merged = sketches.agg(F.kll_merge_agg_double("sketch").alias("s"), F.sum("n").alias("n"))
+    row = merged.filter("n > 0").select(F.kll_sketch_get_quantile_double("s", F.lit(pct / 100)).alias("q")).first()
+    if row is None:
+        raise ValueError("no values")
+    return float(row["q"])

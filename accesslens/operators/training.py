@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel, cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from accesslens.functions import autoencoder
@@ -16,7 +17,11 @@ from accesslens.models.bundle import Bundle
 from accesslens.operators.scoring import add_errors, standardize
 from accesslens.operators.selection import exact_percentile
 from accesslens.schemas import FEATURE_NAMES
-from accesslens.session import cut_lineage
+from accesslens.session import broadcast_small, cut_lineage
+from accesslens.sinks import files
+
+#: Rows of one key that go to one task.
+HOT_ROWS = 1000
 
 # The package need not be installed on the workers for this small helper.
 cloudpickle.register_pickle_by_value(autoencoder)
@@ -83,6 +88,37 @@ def _local_round(state, step, round_no, seed, batch, lr, epochs=1):
     return run
 
 
+class Rounds:
+    """The scaler and the rounds that a training run keeps in a folder (nowhere, if it names none)."""
+
+    def __init__(self, spark: SparkSession, path: str | None, settings: dict):
+        self._spark, self._path, self.last, self._scaler = spark, path and path.rstrip("/"), None, None
+        if not path:
+            return
+        if files.exists(spark, f"{self._path}/settings.json"):
+            found = json.loads(files.read_text(spark, f"{self._path}/settings.json"))
+            if {k: found[k] for k in settings} != settings:
+                raise ValueError(f"the folder belongs to a run with {found}, not {settings}")
+            self._scaler = found["scaler"]
+            done = [name for name in files.names(spark, self._path) if name.startswith("round-")]
+            if done:
+                self.last = json.loads(files.read_text(spark, f"{self._path}/{done[-1]}"))
+        self._settings = settings
+
+    def scaler(self, fit) -> list:
+        if self._scaler is None:
+            self._scaler = fit()
+            if self._path:
+                files.write_text(self._spark, f"{self._path}/settings.json", json.dumps({**self._settings, "scaler": self._scaler}))
+        return self._scaler
+
+    def keep(self, state: np.ndarray, step: int, losses: list[float]) -> None:
+        """The round's file appears whole under its name; a run that is killed before repeats the round."""
+        if self._path:
+            row = {"state": state.tolist(), "step": step, "losses": losses}
+            files.write_text(self._spark, f"{self._path}/round-{len(losses):06d}.json", json.dumps(row))
+
+
 def default_partitions(n_rows: int) -> int:
     """How many ways to split the training rows: from the data, not from the cluster."""
     return max(n_rows // 250_000, 4)
@@ -90,28 +126,37 @@ def default_partitions(n_rows: int) -> int:
 
 def train_detector(df: DataFrame, key: str, rounds: int = 60, batch: int = 128, lr: float = 1e-3,
                    pct: float = 99.0, seed: int = 42, partitions: int | None = None,
-                   local_epochs: int = 1) -> tuple[Bundle, list[float]]:
+                   local_epochs: int = 1, resume: str | None = None) -> tuple[Bundle, list[float]]:
     """Train on normal-only feature rows; returns the detector and the loss per round.
 
     Data-parallel with parameter averaging: per round every partition runs Adam
     from the shared state over its rows and the states are averaged by row count.
-    ``key`` identifies rows; a key of more than 1000 rows is spread over the tasks.  The input is
+    ``key`` identifies rows; a key of more than HOT_ROWS rows is spread over as many tasks as its count asks for, by
+    numbers that the rows got before they were written.  The input is
     read once into the shared folder.  Rows are dealt out and ordered by hashes,
-    and the averages are sums of decimals, so a retried task repeats its part; a
-    repeated run may differ in the last digits, as the scaler's averages do.  The
+    and the averages are sums of decimals, so a retried task repeats its part and the order of merging does not
+    matter; a repeated run may differ in the last digits, as the scaler's averages do.  The
     driver only ever sees the averaged state.
+
+    ``resume`` names a folder that keeps the scaler and, after each round, the averaged state and the losses.  A run that
+    finds rounds there goes on after the last of them, with the same input and settings to the same detector; other
+    settings or another number of rows are an error.
     """
-    df = cut_lineage(df.select(F.xxhash64(key).alias("_h"), *FEATURE_NAMES))
-    scaler = fit_scaler(df).orderBy("position").collect()
-    mean, std = [r["mean"] for r in scaler], [r["std"] for r in scaler]
-    n = len(FEATURE_NAMES)
-    if mean[0] is None:
+    spark = df.sparkSession
+    df = cut_lineage(df.select(F.xxhash64(key).alias("_h"), F.monotonically_increasing_id().alias("_id"), *FEATURE_NAMES))
+    n, n_rows = len(FEATURE_NAMES), df.count()
+    if not n_rows:
         raise ValueError("no training rows")
+    parts = partitions or default_partitions(n_rows)
+    settings = {"rows": n_rows, "parts": parts, "batch": batch, "lr": lr, "seed": seed, "local_epochs": local_epochs}
+    kept = Rounds(spark, resume, settings)
+    scaler = kept.scaler(lambda: [(r["mean"], r["std"]) for r in fit_scaler(df).orderBy("position").collect()])
+    mean, std = [m for m, _ in scaler], [s for _, s in scaler]
     blank = Bundle.from_arrays([np.zeros(s) for s in autoencoder.shapes(n)], [np.zeros(s[0]) for s in autoencoder.shapes(n)], mean, std, 0.0)
-    parts = partitions or default_partitions(df.count())
-    hot = cut_lineage(df.groupBy("_h").count().filter(F.col("count") > 1000).select("_h"))
-    spread = F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(1024))).otherwise(0)
-    marked = df.join(hot.withColumn("_hot", F.lit(True)), "_h", "left").withColumn("_spread", spread)
+    hot = cut_lineage(df.groupBy("_h").count().filter(F.col("count") > HOT_ROWS)
+                      .select("_h", F.ceil(F.col("count") / HOT_ROWS).alias("_pieces")))
+    spread = F.pmod("_id", F.coalesce("_pieces", F.lit(1)))
+    marked = df.join(broadcast_small(hot), "_h", "left").withColumn("_spread", spread)
     dealt = standardize(marked, blank).select("_h", "_spread", F.array(*FEATURE_NAMES).alias("x"))
     dealt = (dealt.repartition(parts, "_h", "_spread").sortWithinPartitions("_h", "_spread", "x")
              .select(F.spark_partition_id().alias("part"), "x"))
@@ -120,9 +165,13 @@ def train_detector(df: DataFrame, key: str, rounds: int = 60, batch: int = 128,
     weights = autoencoder.initial(n, seed)
     state = np.concatenate([weights, np.zeros(2 * len(weights))])
     step, losses = 0, []
+    if kept.last is not None:
+        state, step, losses = np.array(kept.last["state"]), kept.last["step"], kept.last["losses"]
+    if len(losses) > rounds:
+        raise ValueError(f"{len(losses)} rounds were done already")
     exact = "decimal(38,18)"
     try:
-        for round_no in range(rounds):
+        for round_no in range(len(losses), rounds):
             run = _local_round(state, step, round_no, seed, batch, lr, local_epochs)
             sums = (dealt.mapInArrow(run, "position int, value double, rows long")
                     .groupBy("position")
@@ -132,6 +181,7 @@ def train_detector(df: DataFrame, key: str, rounds: int = 60, batch: int = 128,
             state, loss, steps = averaged[:-2], averaged[-2], averaged[-1]
             step += int(round(steps))
             losses.append(float(loss))
+            kept.keep(state, step, losses)
     finally:
         dealt.unpersist()
 

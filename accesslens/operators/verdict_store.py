@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from accesslens.operators.reports import rate
-from accesslens.schemas import VERDICT_TABLE
+from accesslens.schemas import DECIMAL_TABLE, VERDICT_TABLE
+from accesslens.sinks.batches import live_batches, read_batches, read_newest_flagged
 
 MAX_RECENT = 500
 
@@ -20,10 +21,10 @@ def verdict_id(batch_id: int) -> Column:
 
 
 def stored_rows(verdicts: DataFrame, batch_id: int = 0) -> DataFrame:
-    """Verdict messages as table rows: id, processing time, and defaults for absent fields."""
+    """Verdict messages as table rows: id, processing time, the log's name if known, and defaults for absent fields."""
     return verdicts.select(
         verdict_id(batch_id).alias("id"), F.current_timestamp().alias("ts"),
-        "offset", "raw", "method", "path", "query", "status", "score", "threshold",
+        F.col("file") if "file" in verdicts.columns else F.lit(None).cast("string").alias("file"), "offset", "raw", "method", "path", "query", "status", "score", "threshold",
         F.coalesce("drivers", F.array().cast("array<string>")).alias("drivers"),
         F.coalesce("is_anomaly", F.lit(False)).alias("is_anomaly"),
     )
@@ -49,17 +50,45 @@ def decimal_rows(verdicts: DataFrame) -> DataFrame:
 
 
 def read_verdicts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(VERDICT_TABLE).parquet(path)
+    """All verdicts that are published."""
+    return read_batches(spark, path, VERDICT_TABLE)
 
 
-def verdict_stats(verdicts: DataFrame) -> DataFrame:
-    """Total, anomalies and rate (one row, zeros for an empty table)."""
-    counts = verdicts.agg(F.count("*").alias("total"), F.count_if("is_anomaly").alias("anomalies"))
+def read_decimals(spark: SparkSession, path: str) -> DataFrame:
+    """All verdicts of a table that ``store_decimals`` wrote."""
+    return read_batches(spark, path, DECIMAL_TABLE)
+
+
+def _with_rate(counts: DataFrame) -> DataFrame:
     return counts.select("total", "anomalies", rate(F.col("anomalies"), F.col("total")).alias("anomaly_rate"))
 
 
-def recent_anomalies(verdicts: DataFrame, limit: int = 50, order: str = "id") -> DataFrame:
-    """The newest flagged verdicts first.  The flag is a directory, so others are not read."""
+def verdict_stats(verdicts: DataFrame) -> DataFrame:
+    """Total, anomalies and rate of a frame of verdicts (one row, zeros for an empty one)."""
+    return _with_rate(verdicts.agg(F.count("*").alias("total"), F.count_if("is_anomaly").alias("anomalies")))
+
+
+def stored_stats(spark: SparkSession, path: str) -> DataFrame:
+    """The same of a whole verdict table, from the counts of its batches: no verdict is read."""
+    return _with_rate(live_batches(spark, path).agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "anomalies")]))
+
+
+def _checked(limit: int) -> int:
     if not 1 <= limit <= MAX_RECENT:
         raise ValueError(f"limit must be between 1 and {MAX_RECENT}")
-    return verdicts.filter("is_anomaly").orderBy(F.desc(order)).limit(limit)
+    return limit
+
+
+def recent_anomalies(verdicts: DataFrame, limit: int = 50, order: str = "id") -> DataFrame:
+    """The newest flagged verdicts of a frame first."""
+    return verdicts.filter("is_anomaly").orderBy(F.desc(order)).limit(_checked(limit))
+
+
+def read_recent(spark: SparkSession, path: str, limit: int = 50, order: str = "id") -> DataFrame:
+    """The newest flagged verdicts of a verdict table first: newest batch first, ``order`` inside it.
+
+    Only the flagged folders of the newest batches that fill the limit are opened, however long the table is.
+    """
+    newest = read_newest_flagged(spark, path, VERDICT_TABLE, _checked(limit))
+    return newest.orderBy(F.desc("batch_id"), F.desc(order)).limit(limit)

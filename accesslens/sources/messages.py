@@ -4,15 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from accesslens.operators.settling import settle
 from accesslens.schemas import PARSED_MESSAGE, VERDICT_MESSAGE
 
 
-def decode_parsed(df: DataFrame, column: str = "value") -> DataFrame:
-    """``offset, raw, record, features`` of parsed-request messages."""
-    return df.select(F.from_json(F.col(column), PARSED_MESSAGE).alias("_m")).select("_m.*")
+def _decode(df: DataFrame, column: str, schema: T.StructType, logs: bool) -> DataFrame:
+    fields = T.StructType([*schema.fields, *[T.StructField("file", T.StringType())] * logs])
+    return settle(df.select(F.from_json(F.col(column), fields).alias("_m")), [], "_m").select("_m.*")
 
 
-def decode_verdicts(df: DataFrame, column: str = "value") -> DataFrame:
-    """The fields of verdict messages; absent ones are null."""
-    return df.select(F.from_json(F.col(column), VERDICT_MESSAGE).alias("_m")).select("_m.*")
+def decode_parsed(df: DataFrame, column: str = "value", logs: bool = False) -> DataFrame:
+    """``offset, raw, record, features`` of parsed-request messages, and ``file`` of those that come from logs."""
+    return _decode(df, column, PARSED_MESSAGE, logs)
+
+
+def decode_verdicts(df: DataFrame, column: str = "value", logs: bool = False) -> DataFrame:
+    """The fields of verdict messages, and ``file`` of those that come from logs; absent ones are null."""
+    return _decode(df, column, VERDICT_MESSAGE, logs)

@@ -8,7 +8,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from accesslens.models.bundle import Bundle
 from accesslens.operators import messages
+from accesslens.sinks.publish import publish_once
 from accesslens.sinks.stores import store_verdicts
+from accesslens.sources.logs import number_lines
 from accesslens.sources.messages import decode_parsed, decode_verdicts
 
 
@@ -19,9 +21,21 @@ def ingest_stage(lines: DataFrame) -> DataFrame:
     return messages.encode_parsed(counted.filter("parsed"))
 
 
-def score_stage(parsed: DataFrame, bundle: Bundle) -> DataFrame:
-    """Parsed-request messages to verdict messages."""
-    scored = messages.verdicts(decode_parsed(parsed), bundle)
+def start_log_ingest(logs: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Logs that arrive in a folder (``stream_logs``) to parsed-request messages that name their file and line.
+
+    Each micro-batch is numbered by itself and published once, as a folder of ``path``; the next stage reads
+    ``path/batch-*``.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        numbered = number_lines(batch)
+        publish_once(messages.encode_parsed(messages.parsed_records(numbered, offset="line_no", keep=["file"])), path, batch_id)
+    return _start(logs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), once)
+
+
+def score_stage(parsed: DataFrame, bundle: Bundle, logs: bool = False) -> DataFrame:
+    """Parsed-request messages to verdict messages; ``logs`` says that they name their file."""
+    scored = messages.verdicts(decode_parsed(parsed, logs=logs), bundle, keep=["file"] if logs else [])
     counted = scored.observe("score", F.count("*").alias("scored"), F.count_if("is_anomaly").alias("anomalies"))
     return messages.encode_verdicts(counted)
 
@@ -56,6 +70,6 @@ def start_store(rows: DataFrame, path: str, checkpoint: str, once: bool = False)
     return _start(counted.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), once)
 
 
-def store_stage(messages_in: DataFrame) -> DataFrame:
-    """Verdict messages to verdict rows, ready for ``start_store``."""
-    return decode_verdicts(messages_in)
+def store_stage(messages_in: DataFrame, logs: bool = False) -> DataFrame:
+    """Verdict messages to verdict rows, ready for ``start_store``; ``logs`` says that they name their file."""
+    return decode_verdicts(messages_in, logs=logs)

@@ -6,6 +6,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+from accesslens.functions.request_features import SPECIAL_CHARS, SUSPICIOUS_TOKENS, TOOL_AGENTS  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -23,28 +25,25 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-NORMAL = '198.18.4.9 - - [01/Jun/2026:08:00:10 +0000] "GET /garden/roses HTTP/1.1" 200 4410 "https://ref.example/" "Mozilla/5.0 (plain)"'
-ATTACK = '198.18.7.1 - - [01/Jun/2026:08:01:00 +0000] "GET /find?text=<script>steal()</script> HTTP/1.1" 200 77 "-" "sqlmap/1.8"'
-SQLI = ('198.18.9.2 - - [01/Jun/2026:12:00:00 +0000] "GET /item?key=7%20OR%201=1%20UNION%20SELECT%20name%20FROM%20accounts-- '
-        'HTTP/1.1" 403 811 "-" "python-requests/2.31"')
-TRAVERSAL = '198.18.9.3 - - [01/Jun/2026:12:02:00 +0000] "GET /show?doc=../../../etc/shadow HTTP/1.1" 403 52 "-" "Nikto/2.5.0"'
+def log_line(target="/", method="GET", status=200, size=512, agent="agent a", referer="-", ip="203.0.113.5", second=0):
+    """One line of the combined format from the fields that a test is about."""
+    time = f"07/Mar/2027:{second // 3600 % 24:02d}:{second // 60 % 60:02d}:{second % 60:02d} +0000"
+    return f'{ip} - - [{time}] "{method} {target} HTTP/1.1" {status} {size} "{referer}" "{agent}"'
+
 
-AGENTS = ["Mozilla/5.0 (plain)", "Mozilla/5.0 (Tablet; like Reader) View/7.1", "Mozilla/5.0 (Desk; rv:99.0) Page/99.0 Kit/12"]
-PAGES = ["/garden/roses", "/", "/seeds", "/style/main.css", "/news/spring-{i}", "/item?key={i}",
-         "/find?text=tool{i}", "/orders", "/enter", "/basket?line={i}"]
+# One line without any signal, and three that each push other features far out:
+# tokens and a tool's agent, special characters, path segments and digits.
+CALM = log_line("/k1/p2", referer="https://from.example/")
+LOUD = log_line("/loud?z=" + "<".join(SUSPICIOUS_TOKENS[:6]), agent=TOOL_AGENTS[2], ip="203.0.113.77")
+DENSE = log_line("/dense?z=" + 2 * SPECIAL_CHARS.replace('"', ""), status=403, ip="203.0.113.78")
+DEEP = log_line("/deep" + "/4096" * 30, status=403)
 
 
-def normal_lines(n=3000):
-    """Ordinary traffic: pages, agents, statuses and sizes in all combinations."""
-    rows = []
-    for i in range(n):
-        page = PAGES[i % len(PAGES)].format(i=i % 50)
-        method = "POST" if page == "/enter" and i % 3 else "GET"
-        status = [200, 200, 200, 200, 304, 404, 301, 500][i // 10 % 8]
-        size = [900, 2326, 5300, 7750, 640, 0][i // 7 % 6]
-        rows.append(f'10.0.{i % 200}.{i % 251} - - [01/Jun/2026:08:{i // 60 % 60:02d}:{i % 60:02d} +0000] '
-                    f'"{method} {page} HTTP/1.1" {status} {size} "https://example.com/" "{AGENTS[i // 3 % 3]}"')
-    return rows
+def calm_lines(n=3000):
+    """Ordinary traffic, with every combination of method, depth, query, status and agent."""
+    return [log_line(f"/k{i % 8}/p{i % 31}" + (f"?n={i % 60}" if i % 3 else ""), "POST" if i % 9 == 0 else "GET",
+                     (200, 200, 204, 302, 200, 404, 500)[i // 9 % 7], 37 * i % 6000, f"agent {'abc'[i % 5 % 3]}", ip=f"10.1.{i % 200}.{i % 251}", second=i)
+            for i in range(n)]
 
 
 def lines_frame(spark, lines):
@@ -56,6 +55,6 @@ def trained(spark):
     from accesslens.operators.featurizing import add_features
     from accesslens.operators.parsing import parse_requests
     from accesslens.operators.training import train_detector
-    features = add_features(parse_requests(lines_frame(spark, normal_lines()), keep=["line_no"]))
+    features = add_features(parse_requests(lines_frame(spark, calm_lines()), keep=["line_no"]))
     bundle, losses = train_detector(features.persist(), "line_no", rounds=25, batch=64, local_epochs=3)
     return bundle, losses

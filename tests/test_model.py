@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import ATTACK, NORMAL, SQLI, TRAVERSAL, lines_frame, normal_lines
+from conftest import LOUD, CALM, DENSE, DEEP, lines_frame, calm_lines
 from pyspark.sql import functions as F
 
 from accesslens.functions import autoencoder
@@ -29,7 +29,7 @@ def expected(bundle, vectors):
 def test_training_lowers_the_loss_and_separates(spark, trained):
     bundle, losses = trained
     assert losses[-1] < losses[0] / 3
-    rows = score_lines(lines_frame(spark, [NORMAL, ATTACK, SQLI, TRAVERSAL]), bundle).orderBy("line_no").collect()
+    rows = score_lines(lines_frame(spark, [CALM, LOUD, DENSE, DEEP]), bundle).orderBy("line_no").collect()
     assert [r.is_anomaly for r in rows] == [False, True, True, True]
     assert rows[1].score > rows[0].score and all(len(r.top_features) == 3 for r in rows)
     assert {"n_special", "query_entropy", "n_suspicious_tokens", "ua_is_tool"} & set(rows[2].drivers)
@@ -37,7 +37,7 @@ def test_training_lowers_the_loss_and_separates(spark, trained):
 
 def test_vectors_are_scored_as_they_arrive(spark, trained):
     bundle, _ = trained
-    own = add_features(parse_requests(lines_frame(spark, [NORMAL, ATTACK]), keep=["line_no"])).orderBy("line_no").collect()
+    own = add_features(parse_requests(lines_frame(spark, [CALM, LOUD]), keep=["line_no"])).orderBy("line_no").collect()
     vectors = [[float(r[n]) for n in FEATURE_NAMES] for r in own]
     df = spark.createDataFrame(list(enumerate(vectors)), "id int, features array<double>")
     normal, attack = score_features(df, bundle).orderBy("id").collect()
@@ -68,19 +68,19 @@ def test_equal_errors_rank_the_later_feature_first(spark):
 
 
 def test_a_filter_on_a_score_does_not_unfold_the_network(spark):
-    scored = score_lines(lines_frame(spark, [NORMAL]), packaged()).filter("is_anomaly")
+    scored = score_lines(lines_frame(spark, [CALM]), packaged()).filter("is_anomaly")
     assert len(scored._jdf.queryExecution().optimizedPlan().toString()) < 400_000
 
 
 def test_both_scorers_agree(spark, trained):
     bundle, _ = trained
-    df = add_features(parse_requests(lines_frame(spark, normal_lines(300) + [ATTACK, SQLI, TRAVERSAL])))
+    df = add_features(parse_requests(lines_frame(spark, calm_lines(300) + [LOUD, DENSE, DEEP])))
     row = score_parity(df, bundle).first()
     assert row.n_rows == 303 and row.max_score_diff < 1e-4 and row.n_driver_mismatches == 0
 
 
 def test_training_repeats_exactly(spark):
-    df = add_features(parse_requests(lines_frame(spark, normal_lines(600)), keep=["line_no"])).persist()
+    df = add_features(parse_requests(lines_frame(spark, calm_lines(600)), keep=["line_no"])).persist()
     first = train_detector(df, "line_no", rounds=3)
     again = train_detector(df.repartition(5), "line_no", rounds=3)
     assert np.allclose(first[1], again[1], rtol=1e-9)
@@ -100,7 +100,7 @@ def test_gradient_matches_differences():
 
 
 def test_scaler_of_a_constant_feature_is_one(spark):
-    df = add_features(parse_requests(lines_frame(spark, normal_lines(500)), keep=["line_no"])).repartition(7)
+    df = add_features(parse_requests(lines_frame(spark, calm_lines(500)), keep=["line_no"])).repartition(7)
     rows = {r.feature: r for r in fit_scaler(df.withColumn("ua_len", F.lit(0.1))).collect()}
     assert rows["ua_len"].std == 1.0 and rows["path_len"].std > 0
 
@@ -122,7 +122,7 @@ def test_percentile_of_nothing_is_an_error(spark):
 
 def test_summary_and_threshold_agree(spark, trained):
     bundle, _ = trained
-    df = add_features(parse_requests(lines_frame(spark, normal_lines())))
+    df = add_features(parse_requests(lines_frame(spark, calm_lines())))
     summary = error_summary(df, bundle)
     assert summary["percentile"] == pytest.approx(bundle.threshold) and summary["max"] >= summary["percentile"]
 

@@ -1,4 +1,8 @@
 import os
+import pathlib
+import shutil
+import subprocess
+import sys
 
 import pytest
 
@@ -37,3 +41,17 @@ def test_entry(spark):
 def test_every_query_has_sql():
     from accesslens.plans.queries import all_queries
     assert set(all_queries()) <= set(CHECKED)
+
+
+def test_the_rest_stands_without_the_llm_folders(tmp_path):
+    root = pathlib.Path(driver.__file__).resolve().parent
+    for pipeline in (True, False):
+        copy = tmp_path / f"copy{pipeline}"
+        shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", "*.json"))
+        shutil.copy(root / "accesslens/models/detector.json", copy / "accesslens/models/detector.json")
+        (copy / "accesslens" / "llm" / "__pycache__").mkdir(parents=True)
+        if not pipeline:
+            (copy / "corpus_pipeline.py").unlink(missing_ok=True)
+        code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) == set(q), set(o) ^ set(q); print(len(q))"
+        done = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, timeout=120, env={**os.environ, "PYTHONPATH": str(copy)})
+        assert done.returncode == 0 and int(done.stdout) > 50, done.stderr

@@ -3,7 +3,7 @@ import html
 import re
 
 import pytest
-from conftest import ATTACK, NORMAL, SQLI, lines_frame, normal_lines
+from conftest import LOUD, CALM, DENSE, lines_frame, calm_lines
 from pyspark.sql import functions as F
 
 from accesslens.functions.text import MARKED_FRAGMENTS
@@ -22,11 +22,11 @@ def write_log(path, lines):
 
 
 def test_scan_of_an_upload(spark, trained, tmp_path):
-    report = scan_upload(spark, write_log(tmp_path / "a.log", [NORMAL, "junk", "", ATTACK]), trained[0])
+    report = scan_upload(spark, write_log(tmp_path / "a.log", [CALM, "junk", "", LOUD]), trained[0])
     s = report.summary.first()
     assert (s.total_lines, s.parsed, s.anomalies, s.anomaly_rate, s.truncated) == (4, 2, 1, 0.5, False)
     (row,) = report.anomalies.collect()
-    assert (row.line_no, row.path) == (4, "/find") and len(row.drivers) == 3
+    assert (row.line_no, row.path) == (4, "/loud") and len(row.drivers) == 3
 
 
 def test_an_empty_upload_is_an_error(spark, trained, tmp_path):
@@ -41,22 +41,22 @@ def test_a_scan_without_requests(spark, trained, tmp_path):
 
 
 def test_report_is_cut_and_says_so(spark, trained, tmp_path):
-    report = scan_upload(spark, write_log(tmp_path / "c.log", [ATTACK] * 205), trained[0])
+    report = scan_upload(spark, write_log(tmp_path / "c.log", [LOUD] * 205), trained[0])
     assert report.summary.first().truncated and report.anomalies.count() == 200
     assert [r.line_no for r in report.anomalies.limit(3).collect()] == [1, 2, 3]
 
 
 def test_evaluation_of_a_labelled_log(spark, trained, tmp_path):
-    log = write_log(tmp_path / "mixed.log", [NORMAL, ATTACK, "junk", SQLI, NORMAL, NORMAL])
+    log = write_log(tmp_path / "mixed.log", [CALM, LOUD, "junk", DENSE, CALM, CALM])
     labels = write_log(tmp_path / "labels.csv", ["line_no,label", "1,0", "2,0", "3,1", "4,1", "5,1", "2,1"])
     result = evaluate_log(spark, log, labels, trained[0])
     q = result.quality.first()
     assert (q.n, q.tp, q.fp, q.fn, q.tn, q.precision) == (4, 2, 0, 1, 1, 1.0) and q.recall == pytest.approx(2 / 3)
-    assert [(r.kind, r.raw) for r in result.misses.collect()] == [("false_negative", NORMAL[:120])]
+    assert [(r.kind, r.raw) for r in result.misses.collect()] == [("false_negative", CALM[:120])]
 
 
 def test_training_from_a_log(spark, tmp_path):
-    bundle, losses = train_from_logs(spark, write_log(tmp_path / "n.log", normal_lines(400) + ["junk"]), rounds=2)
+    bundle, losses = train_from_logs(spark, write_log(tmp_path / "n.log", calm_lines(400) + ["junk"]), rounds=2)
     assert len(losses) == 2 and bundle.threshold > 0
 
 
@@ -100,9 +100,9 @@ def test_verdict_table(spark, tmp_path):
     store_verdicts(verdicts(spark, {"path": "/late", "is_anomaly": True}, {"path": "/x"}), path, 1)
     table = verdict_store.read_verdicts(spark, path)
     assert verdict_store.verdict_stats(table).first().asDict() == {"total": 4, "anomalies": 2, "anomaly_rate": 0.5}
-    recent = verdict_store.recent_anomalies(table, 10)
-    assert [(r.path, r.drivers) for r in recent.collect()] == [("/late", []), ("/p", ["n_special"])]
-    assert "is_anomaly#" in recent._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1][:80]
+    for recent in (verdict_store.recent_anomalies(table, 10), verdict_store.read_recent(spark, path, 10)):
+        assert [(r.path, r.drivers) for r in recent.collect()] == [("/late", []), ("/p", ["n_special"])]
+    assert verdict_store.stored_stats(spark, path).first() == verdict_store.verdict_stats(table).first()
     assert table.select("id").distinct().count() == 4 and table.filter("ts IS NULL").isEmpty()
     for limit in (0, 501):
         with pytest.raises(ValueError):

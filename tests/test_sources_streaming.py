@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from conftest import ATTACK, NORMAL, SQLI, lines_frame
+from conftest import LOUD, CALM, DENSE, lines_frame
 
 from accesslens.operators import messages, verdict_store
 from accesslens.sinks.publish import publish_shards, publish_text
@@ -42,26 +42,26 @@ def test_line_ends_and_bad_bytes(spark, tmp_path):
 
 
 def test_requests_and_blank_lines(spark, tmp_path):
-    (tmp_path / "x.log").write_text(f"{NORMAL}\njunk\n\n{ATTACK}\n")
+    (tmp_path / "x.log").write_text(f"{CALM}\njunk\n\n{LOUD}\n")
     assert read_requests(spark, str(tmp_path / "x.log")).count() == 2
     assert drop_blank(lines_frame(spark, ["a\r\n", "\r\n", "", " "])).count() == 2
 
 
 def test_keyed_lines_and_shards(spark, tmp_path):
-    keyed = messages.keyed_lines(lines_frame(spark, [NORMAL, "junk", "", ATTACK] * 50))
-    assert {r["key"] for r in keyed.collect()} == {"198.18.4.9", "unknown", "198.18.7.1"}
+    keyed = messages.keyed_lines(lines_frame(spark, [CALM, "junk", "", LOUD] * 50))
+    assert {r["key"] for r in keyed.collect()} == {"203.0.113.5", "unknown", "203.0.113.77"}
     publish_shards(keyed, str(tmp_path / "s"), 4)
     back = spark.read.parquet(str(tmp_path / "s"))
     assert back.count() == 150 and back.select("key", "shard").distinct().count() == 3
-    assert messages.keyed_lines(lines_frame(spark, [NORMAL] * 9), limit=5).count() == 5
+    assert messages.keyed_lines(lines_frame(spark, [CALM] * 9), limit=5).count() == 5
 
 
 def test_messages(spark, trained):
-    df = lines_frame(spark, [NORMAL + "\n", "junk", ATTACK]).withColumnRenamed("line_no", "offset")
+    df = lines_frame(spark, [CALM + "\n", "junk", LOUD]).withColumnRenamed("line_no", "offset")
     encoded = messages.encode_parsed(messages.parsed_records(df))
     first = json.loads(encoded.first().value)
     assert set(first) == {"offset", "raw", "record", "features"} and first["raw"].endswith("\n")
-    assert first["record"]["timestamp"] == "2026-06-01T08:00:10+00:00" and len(first["features"]) == 20
+    assert first["record"]["timestamp"] == "2027-03-07T00:00:00+00:00" and len(first["features"]) == 20
     rows = messages.encode_verdicts(messages.verdicts(decode_parsed(encoded), trained[0]))
     out = {r.offset: r for r in decode_verdicts(rows).collect()}
     assert set(out) == {1, 3} and out[3].is_anomaly and not out[1].is_anomaly and len(out[3].drivers) == 3
@@ -84,20 +84,20 @@ def run_pipeline(spark, trained, base, listener=None):
 
 def test_stages_store_what_a_batch_scores(spark, trained, tmp_path):
     base = str(tmp_path)
-    publish_text(lines_frame(spark, [NORMAL, "junk", ATTACK]), f"{base}/in")
+    publish_text(lines_frame(spark, [CALM, "junk", LOUD]), f"{base}/in")
     with ProgressTotals.listening(spark) as seen:
         seen.wait_for(run_pipeline(spark, trained, base))
     assert seen.totals() == {"ingest.consumed": 3, "ingest.parsed": 2, "ingest.skipped": 1, "score.scored": 2,
                       "score.anomalies": 1, "store.stored": 2, "store.anomalies": 1}
-    publish_text(lines_frame(spark, [SQLI]), f"{base}/in", mode="append")
+    publish_text(lines_frame(spark, [DENSE]), f"{base}/in", mode="append")
     run_pipeline(spark, trained, base)
     run_pipeline(spark, trained, base)
     table = verdict_store.read_verdicts(spark, f"{base}/table")
     assert table.count() == 3
     newest = verdict_store.recent_anomalies(table).collect()
-    assert [r.path for r in newest] == ["/item", "/find"]
+    assert [r.path for r in newest] == ["/dense", "/loud"]
 
-    lines = lines_frame(spark, [NORMAL, "junk", ATTACK, SQLI]).withColumnRenamed("line_no", "offset")
+    lines = lines_frame(spark, [CALM, "junk", LOUD, DENSE]).withColumnRenamed("line_no", "offset")
     store_verdicts(messages.verdicts(messages.parsed_records(lines), trained[0]), f"{base}/batch")
     columns = ["raw", "score", "is_anomaly", "drivers"]
     batch = verdict_store.read_verdicts(spark, f"{base}/batch").select(columns)
@@ -105,7 +105,7 @@ def test_stages_store_what_a_batch_scores(spark, trained, tmp_path):
 
 
 def test_fused_query_and_listener(spark, trained, tmp_path):
-    publish_text(lines_frame(spark, [NORMAL, ATTACK]), str(tmp_path / "in"))
+    publish_text(lines_frame(spark, [CALM, LOUD]), str(tmp_path / "in"))
     listener = ProgressTotals()
     spark.streams.addListener(listener)
     try:
@@ -122,7 +122,7 @@ def test_fused_query_and_listener(spark, trained, tmp_path):
 def test_totals_count_more_batches_than_a_query_remembers(spark, tmp_path):
     for i in range(130):
         (tmp_path / "in").mkdir(exist_ok=True)
-        (tmp_path / "in" / f"{i}.log").write_text(NORMAL + "\n")
+        (tmp_path / "in" / f"{i}.log").write_text(CALM + "\n")
     with ProgressTotals.listening(spark) as seen:
         query = stages.start_messages(stages.ingest_stage(stream_lines(spark, str(tmp_path / "in"), 1)), str(tmp_path / "out"), str(tmp_path / "c"), once=True)
         query.awaitTermination()
