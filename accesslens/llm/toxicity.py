@@ -9,6 +9,7 @@ count beside.  A logistic model over these sums, fitted on rows that taught no l
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -22,16 +23,21 @@ from accesslens.llm.language_id import held_out
 from accesslens.session import cut_lineage
 
 WINDOW = 4
-#: Bounds: labelled rows that teach, terms of the lexicon, and states and words that a task keeps before it starts anew.
-TRAINING_ROWS, TERMS, TABLE_ROWS = 100_000, 1000, 300_000
+#: Bounds: labelled rows that teach, and states and words that a task keeps before it starts anew.
+TRAINING_ROWS, TABLE_ROWS = 100_000, 300_000
+#: Letters of the words that a task keeps; longer ones are read anew each time.
+KEPT_LETTERS = 64
 #: A term needs so many toxic texts and so high a log ratio of its rates.
 LEAST_TEXTS, LEAST_RATIO = 5, 3.0
 STEMS = (4, 5, 6)
+#: Letters from which a term allows an edit; an edit of a term of just so many counts apart, as ordinary words are near.
+SHORT = 4
 REPORTING = frozenset("said says say called calls wrote term word words quote quoted quotes citation dit mot wort sagte palabra dijo".split())
 ADDRESS = frozenset("you your youre du dich dein vous toi ton tu eres usted".split())
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
 _MARKS = regex.compile(r"[\"“”„«»]")
-FACTS = ("exact", "stem", "one_edit", "two_edits", "quoted", "addressed", "share", "kinds")
+FACTS = ("exact", "stem", "one_edit", "two_edits", "short_edit", "quoted", "addressed", "share", "kinds")
+_KINDS = FACTS.index("quoted")
 
 
 class Lexicon:
@@ -40,21 +46,22 @@ class Lexicon:
     def __init__(self, terms: dict[str, float]):
         self.terms = terms
         self.next: list[dict[str, int]] = [{}]
-        self.final: list[tuple[str, bool] | None] = [None]
+        self.word: list[str | None] = [None]  # the term that a node spells, and the stem
+        self.stem: list[str | None] = [None]
         self.reach = [0]  # edits that the longest term below a node allows
         for term in sorted(terms):
-            word, edits = term.rstrip("*"), 0 if term.endswith("*") or len(term) < 5 else 1 if len(term) < 8 else 2
-            node = 0
+            node, edits = 0, self._allowed(term)
             self.reach[0] = max(self.reach[0], edits)
-            for letter in word:
+            for letter in term.rstrip("*"):
                 if letter not in self.next[node]:
                     self.next[node][letter] = len(self.next)
                     self.next.append({})
-                    self.final.append(None)
+                    self.word.append(None)
+                    self.stem.append(None)
                     self.reach.append(0)
                 node = self.next[node][letter]
                 self.reach[node] = max(self.reach[node], edits)
-            self.final[node] = (term, term.endswith("*")) if self.final[node] is None or not term.endswith("*") else self.final[node]
+            (self.stem if term.endswith("*") else self.word)[node] = term
         self.words: dict[str, tuple[str, int] | None] = {}
         self._fresh()
 
@@ -82,13 +89,13 @@ class Lexicon:
         if key not in self.states:
             self.states[key] = len(self.sets)
             self.sets.append(key)
-            found = [(edits, self.final[n][0]) for n, edits in best.items() if n >= 0 and self.final[n] and edits <= self._allowed(self.final[n][0])]
+            found = [(edits, self.word[n]) for n, edits in best.items() if n >= 0 and self.word[n] and edits <= self._allowed(self.word[n])]
             self.accept.append((lambda f: (f[1], f[0]))(min(found)) if found else None)
         return self.states[key]
 
     @staticmethod
     def _allowed(term: str) -> int:
-        return 0 if term.endswith("*") or len(term) < 5 else 1 if len(term) < 8 else 2
+        return 0 if term.endswith("*") or len(term) < SHORT else 1 if len(term) < 8 else 2
 
     def _step(self, state: int, letter: str) -> int:
         to = set()
@@ -99,7 +106,7 @@ class Lexicon:
         return self._state(to)
 
     def find(self, word: str) -> tuple[str, int] | None:
-        """The term that the word is, its edits; a word without such a term may begin with a stem (edits -1)."""
+        """The term that the word is, its edits; a word without such a term may be or begin with a stem (edits -1)."""
         if word in self.words:
             return self.words[word]
         if len(self.words) >= TABLE_ROWS:
@@ -115,12 +122,13 @@ class Lexicon:
                 state = self.table[key]
             if node is not None:
                 node = self.next[node].get(letter)
-                if node is not None and self.final[node] and self.final[node][1]:
-                    stem = (self.final[node][0], -1)
+                if node is not None and self.stem[node]:
+                    stem = (self.stem[node], -1)
             if state < 0 and node is None:
                 break
         found = self.accept[state] if state >= 0 else None
-        self.words[word] = found or stem
+        if len(word) <= KEPT_LETTERS:
+            self.words[word] = found or stem
         return found or stem
 
     def facts(self, text: str | None) -> np.ndarray:
@@ -141,16 +149,17 @@ class Lexicon:
             weight = self.terms[term]
             near = set(words[max(0, i - WINDOW):i] + words[i + 1:i + 1 + WINDOW])
             lo, hi = spans[max(0, i - WINDOW)][0], spans[min(len(spans) - 1, i + WINDOW)][1]
-            quoted = (any(lo - 2 <= m < spans[i][0] for m in marks) and any(spans[i][1] <= m <= hi + 2 for m in marks)) or bool(near & REPORTING)
-            if quoted:
-                out[4] += weight
+            before, after = bisect_left(marks, lo - 2), bisect_left(marks, spans[i][1])
+            enclosed = before < len(marks) and marks[before] < spans[i][0] and after < len(marks) and marks[after] <= hi + 2
+            if enclosed or near & REPORTING:
+                out[_KINDS] += weight
             else:
-                out[{0: 0, -1: 1, 1: 2, 2: 3}[edits]] += weight
-                out[5] += bool(near & ADDRESS)
+                out[4 if edits == 1 and len(term) == SHORT else {0: 0, -1: 1, 1: 2, 2: 3}[edits]] += weight
+                out[_KINDS + 1] += bool(near & ADDRESS)
                 seen.add(term)
-        hits_n = out[:4].sum()
-        out[6], out[7] = hits_n / (len(words) + 20), len(seen)
-        out[:6] = np.log1p(out[:6])
+        hits_n = out[:_KINDS].sum()
+        out[_KINDS + 2], out[_KINDS + 3] = hits_n / (len(words) + 20), len(seen)
+        out[:_KINDS + 2] = np.log1p(out[:_KINDS + 2])
         return out
 
 
@@ -166,8 +175,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z @ self.weights[1:] + self.weights[0], -30, 30)))
 
 
-def learn_terms(rows: DataFrame, terms: int = TERMS) -> dict[str, float]:
-    """Words and stems of the toxic rows (text, y) with the log ratio of their rates; at most `terms` of them."""
+def learn_terms(rows: DataFrame) -> dict[str, float]:
+    """Words and stems of the toxic rows (text, y) with the log ratio of their rates: all that have LEAST_TEXTS and LEAST_RATIO.
+
+    The bound on the labelled rows that teach bounds their number too.
+    """
     def run(batches):
         seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for batch in batches:
@@ -184,8 +196,7 @@ def learn_terms(rows: DataFrame, terms: int = TERMS) -> dict[str, float]:
         return {}
     ratio = F.log((F.col("toxic") + 0.5) / (ones + 1)) - F.log((F.col("other") + 0.5) / (n - ones + 1))
     found = (rows.select("text", "y").mapInArrow(run, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-             .filter(F.col("toxic") >= LEAST_TEXTS).withColumn("ratio", ratio).filter(F.col("ratio") >= LEAST_RATIO)
-             .orderBy(F.desc("toxic"), "term").limit(terms).toPandas())
+             .filter(F.col("toxic") >= LEAST_TEXTS).withColumn("ratio", ratio).filter(F.col("ratio") >= LEAST_RATIO).toPandas())
     return dict(zip(found["term"], found["ratio"].astype(float), strict=True))
 
 

@@ -451,7 +451,7 @@ def test_parts_of_a_model_are_the_whole(odd, monkeypatch):
 
 
 def test_lexicon_finds_misspelled_terms():
-    lexicon = toxicity.Lexicon({"idiot": 5.0, "worthless": 4.0, "bad": 3.0, "lowe*": 2.0})
+    lexicon = toxicity.Lexicon({"idiot": 5.0, "worthless": 4.0, "bad": 3.0, "lowe*": 2.0, "scum": 3.0, "abcde": 2.0, "abcde*": 2.0})
 
     def edits(a, b):
         row = list(range(len(b) + 1))
@@ -463,25 +463,81 @@ def test_lexicon_finds_misspelled_terms():
 
     r = random.Random(8)
     for _ in range(2000):
-        word = list(r.choice(["idiot", "worthless", "bad"]))
+        word = list(r.choice(["idiot", "worthless", "bad", "scum"]))
         for _ in range(r.randrange(4)):
             at = r.randrange(len(word) + 1)
             word[at:at + r.randrange(2)] = r.choice(["", "x", "t", "o"])
         word = "".join(word)
-        near = [(edits(word, t), t) for t, most in (("idiot", 1), ("worthless", 2), ("bad", 0)) if edits(word, t) <= most]
+        near = [(edits(word, t), t) for t, most in (("idiot", 1), ("worthless", 2), ("bad", 0), ("scum", 1)) if edits(word, t) <= most]
         want = (min(near)[1], min(near)[0]) if near else None
         assert lexicon.find(word) == want, word
     assert lexicon.find("loweichen") == ("lowe*", -1) and lexicon.find("low") is None
 
 
+def test_a_word_and_its_stem_are_both_found():
+    lexicon = toxicity.Lexicon({"abcde": 2.0, "abcde*": 2.0, "scum": 3.0})
+    assert lexicon.find("abcdefghij") == ("abcde*", -1) and lexicon.find("abcde") == ("abcde", 0) and lexicon.find("abcdx") == ("abcde", 1)
+    assert lexicon.find("skum") == lexicon.find("scumm") == ("scum", 1)
+    assert toxicity.Lexicon({"abcde*": 2.0}).find("abcde") == ("abcde*", -1)
+    fact = dict(zip(toxicity.FACTS, lexicon.facts("you skum"), strict=True))
+    assert fact["short_edit"] > 0 and fact["one_edit"] == 0 and fact["addressed"] > 0
+
+
 def test_context_separates_quotation():
     lexicon = toxicity.Lexicon({"idiot": 5.0})
-    abuse, quoted = lexicon.facts("you are an idiot and more"), lexicon.facts('the word "idiot" is old')
-    assert abuse[0] > 0 and abuse[4] == 0 and abuse[5] > 0
-    assert quoted[0] == 0 and quoted[4] > 0
+    abuse, quoted = (dict(zip(toxicity.FACTS, lexicon.facts(t), strict=True)) for t in ("you are an idiot and more", 'the word "idiot" is old'))
+    assert abuse["exact"] > 0 and abuse["quoted"] == 0 and abuse["addressed"] > 0
+    assert quoted["exact"] == 0 and quoted["quoted"] > 0
     assert not lexicon.facts(None).any() and not lexicon.facts("").any()
 
 
+def facts_by_hand(terms, text):
+    lexicon, lower = toxicity.Lexicon(terms), text.lower()
+    spans = [(m.start(), m.end()) for m in toxicity._WORD.finditer(lower)]
+    words = [lower[a:b] for a, b in spans]
+    marks = [i for i, c in enumerate(lower) if c in '"“”„«»']
+    out, kinds = Counter(), set()
+    for i, w in enumerate(words):
+        found = lexicon.find(w)
+        if not found:
+            continue
+        lo, hi = max(0, i - toxicity.WINDOW), min(len(words) - 1, i + toxicity.WINDOW)
+        near = set(words[lo:i] + words[i + 1:hi + 1])
+        if near & toxicity.REPORTING or (any(spans[lo][0] - 2 <= m < spans[i][0] for m in marks) and any(spans[i][1] <= m <= spans[hi][1] + 2 for m in marks)):
+            out["quoted"] += terms[found[0]]
+            continue
+        out["short_edit" if found[1] == 1 and len(found[0]) == 4 else {0: "exact", -1: "stem", 1: "one_edit", 2: "two_edits"}[found[1]]] += terms[found[0]]
+        out["addressed"] += bool(near & toxicity.ADDRESS)
+        kinds.add(found[0])
+    hits = sum(out[k] for k in ("exact", "stem", "one_edit", "two_edits", "short_edit"))
+    return [np.log1p(out[k]) for k in toxicity.FACTS[:-2]] + [hits / (len(words) + 20) if out else 0, len(kinds)]
+
+
+def test_facts_are_those_by_hand():
+    terms = {"idiot": 5.0, "worthless": 4.0, "scum": 3.0, "lowe*": 2.0}
+    r = random.Random(3)
+    pool = ["idiot", "idoit", "idiotx", "worthles", "wrthlss", "scum", "skum", "lowest", "said", "you", '"', "„", "and", "it,", "x"]
+    for _ in range(300):
+        text = " ".join(r.choice(pool) for _ in range(r.randrange(40)))
+        assert np.allclose(toxicity.Lexicon(terms).facts(text), facts_by_hand(terms, text)), text
+
+
+def test_facts_of_very_long_texts():
+    import time
+    lexicon = toxicity.Lexicon({"idiot": 5.0, "scum": 3.0})
+    start = time.process_time()
+    assert lexicon.facts('"idiot" scum, ' * 300_000)[-1] <= 2
+    assert lexicon.facts("x" * 5_000_000 + " idiot")[-1] == 1
+    assert time.process_time() - start < 60 and max(map(len, lexicon.words)) <= toxicity.KEPT_LETTERS
+
+
+def test_no_term_is_left_out(spark):
+    bad = [f"{'abcdefghij'[i // 100 % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzklmn'[i % 10]}{'opqrstuvwx'[i // 1000]}" for i in range(1300)]
+    rows = [(" ".join(bad[i::10]), 1) for i in range(10)] * 12 + [("calm words here", 0)] * 120
+    found = toxicity.learn_terms(spark.createDataFrame(rows, "text string, y int"))
+    assert set(bad) <= set(found)
+
+
 def labelled(spark, n=400):
     r = random.Random(6)
     rows, labels = [], []
