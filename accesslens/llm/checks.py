@@ -5,6 +5,98 @@ from __future__ import annotations
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+#: crc32 of blobs as lists of byte values: `steps` is the table of single bytes.
+_CRC_TABLE = """crc_table AS (
+  SELECT list(list_reduce([n] || range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS steps
+  FROM range(256) r(n))"""
+
+
+def _crc32(code: str) -> str:
+    """Of a text's bytes in hexadecimal."""
+    bytes_ = f"list_transform(range(1, length({code}), 2), lambda i: ('0x' || substr({code}, i, 2))::BIGINT)"
+    return f"xor(list_reduce([4294967295] || {bytes_}, lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+_COMPONENTS = """reach AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)"""
+
+OP1 = f"""
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND list_count(embedding) = len(embedding)
+    AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AND list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+half AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM vectors x JOIN vectors y ON x.vec_id < y.vec_id AND len(x.v) = len(y.v)
+  WHERE list_cosine_similarity(x.v, y.v) >= 0.95),
+links AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+{_COMPONENTS}
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(b, vec_id)) AS component_id, vec_id <= coalesce(b, vec_id) AS kept
+FROM embeddings LEFT JOIN least ON vec_id = least.a LEFT JOIN counted ON vec_id = counted.a
+"""
+
+
+def _hilbert(bits: int) -> tuple[str, str]:
+    """Common table expressions that turn the axes x0 to x3 of `axes` into `curve`, one step of the loop each."""
+    text, last = "", "axes"
+    for step in [1 << b for b in range(bits - 1, 0, -1)]:
+        for i in range(4):
+            swap = f"(xor(x0, x{i}) & {step - 1})"
+            first = f"CASE WHEN x{i} & {step} > 0 THEN xor(x0, {step - 1}) ELSE xor(x0, {swap}) END"
+            own = f"CASE WHEN x{i} & {step} > 0 THEN x{i} ELSE xor(x{i}, {swap}) END"
+            changed = f"{first} AS x0" if i == 0 else f"{first} AS x0, {own} AS x{i}"
+            if i == 0:
+                changed = f"CASE WHEN x0 & {step} > 0 THEN xor(x0, {step - 1}) ELSE x0 END AS x0"
+            text += f",\nturn{step}_{i} AS (SELECT * REPLACE ({changed}) FROM {last})"
+            last = f"turn{step}_{i}"
+    text += f",\ngray1 AS (SELECT * REPLACE (xor(x1, x0) AS x1) FROM {last}),\ngray2 AS (SELECT * REPLACE (xor(x2, x1) AS x2) FROM gray1)"
+    text += ",\ngray3 AS (SELECT * REPLACE (xor(x3, x2) AS x3) FROM gray2)"
+    flip = "0"
+    for b in range(bits - 1, 0, -1):
+        flip = f"xor({flip}, CASE WHEN x3 & {1 << b} > 0 THEN {(1 << b) - 1} ELSE 0 END)"
+    text += f",\nflipped AS (SELECT *, {flip} AS flip FROM gray3)"
+    terms = [f"(((xor(x{i}, flip) >> {b}) & 1) << {4 * b + 3 - i})" for b in range(bits) for i in range(4)]
+    return text, " + ".join(terms)
+
+
+_TURNS, _CURVE = _hilbert(6)
+
+OP2 = f"""
+WITH {_CRC_TABLE},
+rows AS (
+  SELECT doc_id, source, lang, octet_length(encode(coalesce(text, ''))) + 16 AS size, hex(encode(coalesce(text, ''))) AS code FROM documents),
+sources AS (SELECT source, (row_number() OVER (ORDER BY source NULLS LAST) - 1) * 64 // count(*) OVER () AS x0 FROM (SELECT DISTINCT source FROM rows)),
+langs AS (SELECT lang, (row_number() OVER (ORDER BY lang NULLS LAST) - 1) * 64 // count(*) OVER () AS x1 FROM (SELECT DISTINCT lang FROM rows)),
+axes AS (
+  SELECT doc_id, size, {_crc32("code")} AS text_crc32, x0, x1, least(floor(2 * (ln(size) / ln(2))), 63)::BIGINT AS x2,
+         coalesce(floor((doc_id - min(doc_id) OVER ())::DOUBLE / greatest(1, max(doc_id) OVER () - min(doc_id) OVER ()) * 63), 0)::BIGINT AS x3
+  FROM rows, crc_table JOIN sources ON rows.source IS NOT DISTINCT FROM sources.source JOIN langs ON rows.lang IS NOT DISTINCT FROM langs.lang){_TURNS},
+curved AS (SELECT doc_id, size, text_crc32, {_CURVE} AS curve FROM flipped),
+placed AS (
+  SELECT *, row_number() OVER (ORDER BY curve, doc_id NULLS FIRST, size, text_crc32) - 1 AS number, count(*) OVER () AS n FROM curved)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, (number * 40 // n)::INTEGER AS shard,
+       number - ((number * 40 // n) * n + 39) // 40 AS slot, NULL::INTEGER AS grown_shard, curve::BIGINT AS curve
+FROM placed
+"""
+
+OP8 = f"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+                                 WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM texts),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+half AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM sets x JOIN sets y ON x.shingle = y.shingle AND x.doc_id < y.doc_id
+  JOIN sizes m ON m.doc_id = x.doc_id JOIN sizes o ON o.doc_id = y.doc_id
+  GROUP BY x.doc_id, y.doc_id, m.n, o.n HAVING 100 * count(*) >= 85 * (m.n + o.n - count(*))),
+links AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+{_COMPONENTS}
+SELECT t.doc_id, coalesce(s.n, 0) AS n_shingles, least(t.doc_id, coalesce(b, t.doc_id)) AS component_id, coalesce(counted.n, 0) AS n_links
+FROM texts t LEFT JOIN sizes s USING (doc_id) LEFT JOIN least ON t.doc_id = least.a LEFT JOIN counted ON t.doc_id = counted.a
+"""
+
 OP7 = f"""
 WITH signed AS (SELECT doc_id, sha256({_LOWER.format("coalesce(text, '')")}) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
@@ -28,18 +120,13 @@ FROM marked GROUP BY doc_id
 
 
 OP11 = f"""
-WITH RECURSIVE crc_table AS (
-  SELECT list(list_reduce([n] || range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS steps
-  FROM range(256) r(n)),
+WITH RECURSIVE {_CRC_TABLE},
 runs AS (
   SELECT doc_id, run, count(*) AS times FROM (
     SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[a-zÀ-ÿ]{{6,}}')) AS run FROM documents)
   GROUP BY ALL),
 bytes AS (SELECT *, hex(encode(doc_id || ':' || run)) AS code FROM runs),
-hashed AS (
-  SELECT run, times, xor(list_reduce([4294967295] || list_transform(range(1, length(code), 2), lambda i: ('0x' || substr(code, i, 2))::BIGINT),
-                                     lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295) AS h
-  FROM bytes, crc_table),
+hashed AS (SELECT run, times, {_crc32("code")} AS h FROM bytes, crc_table),
 words AS (
   SELECT word, sum(times)::BIGINT AS n FROM (
     SELECT times, CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM hashed)
@@ -146,5 +233,5 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 
 
 def llm_checks() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7, "op10_line_dedup": OP10, "op11_spelling_variants": OP11, "op12_host_reputation": OP12,
+    return {"op1_lattice_dedup": OP1, "op2_hilbert_shards": OP2, "op7_exact_dedup": OP7, "op8_jaccard_join": OP8, "op10_line_dedup": OP10, "op11_spelling_variants": OP11, "op12_host_reputation": OP12,
             "op13_filter_audit": OP13}
