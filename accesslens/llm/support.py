@@ -174,17 +174,18 @@ def components(links: DataFrame) -> DataFrame:
     """Smallest node reachable from each linked node: (node, component), from links (a, b) of any orientation.
 
     Alternates the large-star and small-star steps until nothing changes; every link then points to the smallest
-    node of its component.  Each step is a minimum by node, pre-aggregated before its shuffle, and a join that Spark
-    can split at a hot node.
+    node of its component.  Each step is a minimum by node, pre-aggregated before its shuffle and written, and a join
+    with it: of up to BROADCAST_ROWS nodes by broadcast, so no link moves to its node, else one that Spark can split at
+    a hot node, as nothing but the join is in its stage.
     """
     edges = cut_lineage(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     last = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("_m")).select("a", F.least("a", "_m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
+        least = cut_lineage(both.groupBy("a").agg(F.min("b").alias("_m")).select("a", F.least("a", "_m").alias("m")))
+        large = cut_lineage(both.filter("b > a").join(broadcast_if_small(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct())
+        low = cut_lineage(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = large.join(broadcast_if_small(low), "a")
         edges = cut_lineage(small.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
                             .union(low.select("a", F.col("m").alias("b"))).distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
