@@ -10,6 +10,7 @@ from accesslens.functions.request_features import feature_array
 from accesslens.operators.featurizing import add_features
 from accesslens.operators.parsing import parse_requests
 from accesslens.operators.scoring import score_features
+from accesslens.operators.settling import settle
 from accesslens.models.bundle import Bundle
 from accesslens.sources.logs import drop_blank
 from accesslens.schemas import PARSED_MESSAGE, VERDICT_MESSAGE
@@ -41,9 +42,12 @@ def verdicts(parsed: DataFrame, bundle: Bundle, top_k: int = 3, keep=()) -> Data
 
 
 def _encode(rows: DataFrame, fields: list[str]) -> DataFrame:
-    """One JSON message per row; a log's name goes with the offset where the rows have one."""
+    """One JSON message per row; a log's name goes with the offset where the rows have one.
+
+    The message is settled: a parser of it would else evaluate the whole record inside its own expression, uncompiled.
+    """
     named = [*fields, *[c for c in ("file",) if c in rows.columns]]
-    return rows.select(F.to_json(F.struct(*named), {"ignoreNullFields": "false"}).alias("value"))
+    return settle(rows.select(F.to_json(F.struct(*named), {"ignoreNullFields": "false"}).alias("value")), [], "value")
 
 
 def encode_parsed(parsed: DataFrame) -> DataFrame:
