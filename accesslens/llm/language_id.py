@@ -362,8 +362,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     Learns from text and non-null language of the rows that are not held out.  `und`, score 0, not accepted: null texts
     and texts without a letter, and every text if there is nothing to learn from.  accepted is false where the
-    cross-entropy is beyond the calibrated limit of the predicted language.  Equal entropies: the first language in
-    code point order.  Other columns of docs are not read.
+    cross-entropy is beyond the calibrated limit of the predicted language.  score is the predicted language's share of
+    exp(-gap / temperature), a gap being the entropy beyond the best one times the characters, 400 at most.  Equal
+    entropies: the first language in code point order.  Other columns of docs are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     model = train(rows.filter(~F.col("held_out")).select("doc_id", "lang", "text"))
