@@ -19,6 +19,8 @@ SPACES = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that a broadcast may hold; all of them are ids and small numbers.
 BROADCAST_ROWS = 1_000_000
+#: Links that a task of a components round takes, and its least tasks.
+LINK_ROWS, LINK_TASKS = 200_000, 8
 #: Bytes of rows that go to a Python worker at once.
 BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -179,17 +181,22 @@ def components(links: DataFrame) -> DataFrame:
     a hot node, as nothing but the join is in its stage.
     """
     edges = cut_lineage(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    last = None
+    n, last = edges.count(), None
+
+    def written(df: DataFrame) -> DataFrame:
+        """As many tasks as a round's rows ask for, at most 2 n: shuffles of few links by many tasks would be mostly empty files."""
+        return cut_lineage(df.coalesce(max(LINK_TASKS, -(-2 * n // LINK_ROWS))))
+
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = cut_lineage(both.groupBy("a").agg(F.min("b").alias("_m")).select("a", F.least("a", "_m").alias("m")))
-        large = cut_lineage(both.filter("b > a").join(broadcast_if_small(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct())
-        low = cut_lineage(large.groupBy("a").agg(F.min("b").alias("m")))
+        least = written(both.groupBy("a").agg(F.min("b").alias("_m")).select("a", F.least("a", "_m").alias("m")))
+        large = written(both.filter("b > a").join(broadcast_if_small(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct())
+        low = written(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(broadcast_if_small(low), "a")
-        edges = cut_lineage(small.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
-                            .union(low.select("a", F.col("m").alias("b"))).distinct())
+        edges = written(small.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+                        .union(low.select("a", F.col("m").alias("b"))).distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == last:
             heads = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(heads)
-        last = now
+        n, last = now[0], now

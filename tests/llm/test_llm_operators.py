@@ -627,3 +627,24 @@ def test_shards_of_clashing_columns_can_be_pruned(twice, odd, empty, spark, tmp_
     shards = {name: spark.read.parquet(str(tmp_path / "c")).filter(rule).select("_shard").distinct().count() for name, rule in (
         ("source", "source = 's3'"), ("lang", "lang = 'l1'"), ("both", "source = 's3' AND doc_id < 5000"), ("id", "doc_id BETWEEN 100 AND 1500"))}
     assert shards["both"] <= 12 and all(n <= 32 for n in shards.values()), shards
+
+def test_components_of_stars_chains_and_nothing(spark):
+    from accesslens.llm.support import components
+    r = random.Random(9)
+    links = [(0, i) for i in range(1, 400)] + [(1000 + i, 1001 + i) for i in range(300)] + [(5000 + r.randrange(300), 5000 + r.randrange(300)) for _ in range(250)]
+    links += [(7, 7)] + links[:50] + [(b, a) for a, b in links[:20]]
+    r.shuffle(links)
+    head = {n: n for pair in links for n in pair}
+
+    def find(n):
+        while head[n] != n:
+            n = head[n]
+        return n
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        head[b] = a
+    linked = {n for a, b in links if a != b for n in (a, b)}
+    got = components(spark.createDataFrame(links, "a long, b long").repartition(13)).collect()
+    assert len(got) == len(linked) and {r["node"]: r["component"] for r in got} == {n: find(n) for n in linked}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([(3, 3)], "a long, b long")).count() == 0
