@@ -82,8 +82,9 @@ def evaluate_log(spark: SparkSession, log_path: str, labels_path: str, bundle: B
 
 
 def evaluate_logs(spark: SparkSession, folder: str, labels_path: str, bundle: Bundle) -> Evaluation:
-    """Score a folder of labelled logs.  Labels name a log by its path below the folder, and a line in it by number."""
-    lines = read_numbered_lines(tune(spark), folder)
+    """Score a folder of labelled logs, and those in folders below it.  Labels name a log by its path below the folder,
+    and a line in it by number."""
+    lines = read_numbered_lines(tune(spark), folder, nested=True)
     named = lines.withColumn("file", normal_name(log_name(F.col("file"), files.qualified(spark, folder))))
     labelled = evaluation.label_join(named, read_file_labels(spark, labels_path), ["file", "line_no"])
     scored = score_lines(labelled, bundle, keep=["file", "line_no", "label"])

@@ -75,9 +75,9 @@ def number_lines(placed: DataFrame) -> DataFrame:
     return add_line_numbers(lines, count_splits(lines))
 
 
-def read_numbered_lines(spark: SparkSession, paths) -> DataFrame:
-    """Lines with their 1-based ``line_no`` in their ``file``."""
-    return number_lines(_placed(spark.read.text, paths))
+def read_numbered_lines(spark: SparkSession, paths, nested: bool = False) -> DataFrame:
+    """Lines with their 1-based ``line_no`` in their ``file``; ``nested`` reads the folders below, too."""
+    return number_lines(_placed(spark.read.option("recursiveFileLookup", nested).text, paths))
 
 
 def read_upload(spark: SparkSession, path: str) -> DataFrame:
