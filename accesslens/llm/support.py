@@ -21,8 +21,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 1_000_000
 #: Links that a task of a components round takes, and its least tasks.
 LINK_ROWS, LINK_TASKS = 200_000, 8
-#: Nodes whose minima a components round broadcasts; each round sends them anew, so fewer than BROADCAST_ROWS.
-NODES = 30_000
 #: Bytes of rows that go to a Python worker at once.
 BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -178,25 +176,24 @@ def components(links: DataFrame) -> DataFrame:
     """Smallest node reachable from each linked node: (node, component), from links (a, b) of any orientation.
 
     Alternates the large-star and small-star steps until nothing changes; every link then points to the smallest
-    node of its component.  Each step is a minimum by node, pre-aggregated before its shuffle and written, and a join
-    with it: of up to NODES nodes by broadcast, so no link moves to its node, else one that Spark can split at
-    a hot node, as nothing but the join is in its stage.
+    node of its component.  Each step is a minimum by node, pre-aggregated before its shuffle, and a join that Spark
+    can split at a hot node.
     """
     edges = cut_lineage(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     n, last = edges.count(), None
 
-    def written(df: DataFrame) -> DataFrame:
+    def few(df: DataFrame) -> DataFrame:
         """As many tasks as a round's rows ask for, at most 2 n: shuffles of few links by many tasks would be mostly empty files."""
-        return cut_lineage(df.coalesce(max(LINK_TASKS, -(-2 * n // LINK_ROWS))))
+        return df.coalesce(max(LINK_TASKS, -(-2 * n // LINK_ROWS)))
 
     while True:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = written(both.groupBy("a").agg(F.min("b").alias("_m")).select("a", F.least("a", "_m").alias("m")))
-        large = written(both.filter("b > a").join(broadcast_if_small(least, NODES), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct())
-        low = written(large.groupBy("a").agg(F.min("b").alias("m")))
-        small = large.join(broadcast_if_small(low, NODES), "a")
-        edges = written(small.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
-                        .union(low.select("a", F.col("m").alias("b"))).distinct())
+        both = few(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+        least = both.groupBy("a").agg(F.min("b").alias("_m")).select("a", F.least("a", "_m").alias("m"))
+        large = few(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")).distinct()
+        low = few(large).groupBy("a").agg(F.min("b").alias("m"))
+        small = few(large).join(low, "a")
+        edges = cut_lineage(few(few(small.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+                                    .union(low.select("a", F.col("m").alias("b")))).distinct()))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == last:
             heads = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
