@@ -193,7 +193,7 @@ ruled AS (
       WHEN ('.' || host) LIKE '%.org' AND path LIKE '/%' THEN 'org/' END AS rule
   FROM parted)
 SELECT page_id, host, path, rule, n_outcomes, CASE
-    WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN tail >= 0.95 THEN 'block' ELSE 'allow' END AS verdict
+    WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN tail >= 0.95 AND (SELECT sum(n) FROM hosts) > 0 THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled JOIN tails USING (host)
 """.replace("{strength}", """CASE WHEN sum(n * (n - 1)) > 0 AND sum(CASE WHEN mean * (1 - mean) > 0 THEN (k - n * mean) ** 2 / (mean * (1 - mean)) - n ELSE 0 END) > 0
     THEN greatest(1.0, least(10000.0, sum(n * (n - 1)) / sum(CASE WHEN mean * (1 - mean) > 0 THEN (k - n * mean) ** 2 / (mean * (1 - mean)) - n ELSE 0 END) - 1))

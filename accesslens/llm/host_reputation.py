@@ -150,7 +150,8 @@ def reputations(counts: DataFrame, hosts: DataFrame, limit: float = LIMIT) -> Da
     overall rate and a strength for each level, four numbers, come to the driver.
     """
     known = cut_lineage(hosts.join(counts, "host", "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("double") for c in ("n", "k")}))
-    every = known.agg(((F.coalesce(F.sum("k"), F.lit(0.0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0.0)) + 1))).first()[0]
+    bad, of = known.agg(F.coalesce(F.sum("k"), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0.0))).first()
+    every = (bad + 0.5) / (of + 1)
 
     def shrunk(groups: DataFrame) -> DataFrame:
         strength = _strength(groups)
@@ -166,7 +167,7 @@ def reputations(counts: DataFrame, hosts: DataFrame, limit: float = LIMIT) -> Da
     domains = means(level(["suffix", "domain"]).join(suffixes, "suffix"), "domain")
     posterior = cut_lineage(shrunk(known.join(domains, "domain")).select(
         "host", F.col("n").cast("long").alias("n"), F.col("k").cast("long").alias("k"), F.greatest("a", F.lit(0.5)).alias("a"), F.greatest("b", F.lit(0.5)).alias("b")))
-    return posterior.select("*", (F.col("a") / (F.col("a") + F.col("b"))).alias("rate"), beta_tail(F.col("a"), F.col("b"), limit).alias("tail"))
+    return posterior.select("*", (F.col("a") / (F.col("a") + F.col("b"))).alias("rate"), (beta_tail(F.col("a"), F.col("b"), limit) if of else F.lit(0.0)).alias("tail"))
 
 
 def page_outcomes(labels: DataFrame) -> DataFrame:
@@ -184,8 +185,8 @@ def judge(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col:
     that a rule fits has the rule's verdict (the longest rule's), others are blocked if tail >= confidence.
 
     Null urls and urls without :// have an empty host and path; all of them together are one host.  A host without
-    outcomes is judged by its domain's, a domain by its suffix's, and without any label each rate is one half with the
-    greatest strength.  Pages may repeat; each counts.  Several label rows of a document are one outcome, bad if one of
+    outcomes is judged by its domain's, a domain by its suffix's; without any outcome nothing is known, each rate is one
+    half, tail is 0, and only rules block.  Pages may repeat; each counts.  Several label rows of a document are one outcome, bad if one of
     them is.  An empty table gives no rows.  Other columns of pages and labels are not read.
     """
     host, path = host_and_path(F.col(url_col))

@@ -80,6 +80,7 @@ def misspelled_rows(seed=3):
                 w = r.choice([w[:at] + w[at + 1:], w[:at] + r.choice("aé÷x") + w[at:], w[:at] + r.choice("äxz") + w[at + 1:]])
             words.append(w.upper() if r.random() < 0.1 else w)
         rows.append((i, r.choice([" ", ", ", "_1"]).join(words), "en"))
+    rows += [(600 + i, " ".join(["abcdefg"] * 60 + ["abcdefgh"] * 15 + ["abcdefghi"] * 4), "en") for i in range(4)]
     rows += [(None, rows[0][1], None), (None, rows[0][1], None), (7, rows[7][1], "en"), (500, None, "en"), (501, "", None), (502, "É ÑANDÚ ñandú", "es")]
     return rows
 
@@ -89,7 +90,7 @@ def test_variants(spark, list_rows, grams, drop_every):
     rows = misspelled_rows()
     words = words_by_hand(rows, 6, 3, drop_every)
     want = variants_by_hand(words, 2)
-    assert sum(w[1] is not None for w in want) > 50 and any(w[2] != w[1] and w[1] for w in want)
+    assert sum(w[1] is not None for w in want) > 50 and any(w[2] != w[1] and w[1] for w in want), "some roots are two forms away"
     got = spelling_variants.variants(documents(spark, rows), least_count=3, ratio=2, drop_every=drop_every, list_rows=list_rows, grams=grams)
     assert sorted(map(tuple, got.collect())) == want
 
