@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 from conftest import LOUD, CALM, lines_frame
+from pyspark.sql import functions as F
 
 from accesslens.functions.request_features import SPECIAL_CHARS, SUSPICIOUS_TOKENS
 from accesslens.operators.featurizing import add_feature_array, add_features, feature_preview
@@ -65,3 +66,11 @@ def test_preview(spark):
     df = add_features(parse_requests(lines_frame(spark, [CALM] * 7), keep=["line_no"]))
     rows = feature_preview(df, "line_no").collect()
     assert len(rows) == 5 and rows[0].path_entropy == round(rows[0].path_entropy, 3)
+
+
+def test_exploding_the_vector_computes_no_feature_twice(spark):
+    df = add_feature_array(add_features(parse_requests(lines_frame(spark, [CALM, LOUD]), keep=["line_no"])))
+    rows = df.select("line_no", F.posexplode("features").alias("position", "value"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == df.select("line_no", "features")._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert rows.count() == 40
