@@ -11,6 +11,7 @@ from accesslens.models.bundle import Bundle, packaged
 from accesslens.operators.featurizing import add_features
 from accesslens.operators.parsing import parse_requests
 from accesslens.operators.scoring import score_features, score_lines, score_parity
+from accesslens.operators import training
 from accesslens.operators.selection import exact_percentile
 from accesslens.operators.training import error_summary, fit_scaler, train_detector
 from accesslens.schemas import FEATURE_NAMES
@@ -87,6 +88,16 @@ def test_training_repeats_exactly(spark):
     assert np.allclose(first[0].weights[0], again[0].weights[0], rtol=1e-7)
 
 
+def test_a_round_gets_blocks_of_rows(spark, monkeypatch):
+    packed, cut = [], training.cut_lineage
+    monkeypatch.setattr(training, "cut_lineage", lambda df: packed.append(cut(df)) or packed[-1])
+    df = add_features(parse_requests(lines_frame(spark, calm_lines(600)), keep=["line_no"]))
+    train_detector(df, "line_no", rounds=1)
+    blocks = packed[-1].collect()
+    assert sum(b.n for b in blocks) == 600 and len(blocks) <= 4
+    assert all(len(b.block) == 8 * 20 * b.n for b in blocks)
+
+
 def test_gradient_matches_differences():
     rng = np.random.default_rng(0)
     flat, x = autoencoder.initial(20, 1), rng.normal(size=(8, 20))
